@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write df as a compressed table into the shared folder and go on from the table.
+
+    For large intermediate results: a checkpoint is not compressed.
+    """
+    path = f"{shared_dir(df.sparkSession)}/corpusloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_column(df: DataFrame, column: str = "text"):
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
