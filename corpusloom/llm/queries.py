@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id, packing, quality_rules, simhash, suffix_tree_lm, token_counts, topk, warc, word_bpe
+from corpusloom.llm import language_id, packing, quality_rules, simhash, suffix_dedup, suffix_tree_lm, token_counts, topk, warc, word_bpe
 from corpusloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=400)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
@@ -57,6 +61,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash": op4_simhash,
