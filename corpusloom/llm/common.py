@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
 import uuid
 
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts may be long, so batches stay short.
 BATCH_ROWS = 512
+#: The folder that holds the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def short_batches(df: DataFrame) -> DataFrame:
     """Let Python workers get short batches, so that long texts fit in memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    known = df.sparkSession.sparkContext.environment
+    paths = known.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:  # where this package is not installed, workers on the same files find it here
+        known["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return df
 
 
@@ -45,6 +53,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing refers to any more.
+
+    Spark removes them when the driver happens to collect its garbage; after a
+    cut in the lineage of a large result that is worth doing at once.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df as a compressed table into the shared folder and go on from the table.
 

@@ -139,7 +139,8 @@ def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     Texts without common lines stay as they are, rows that repeat an id too.
     """
-    kept = judged(with_key(docs), limits).where("kept").groupBy("row_key").agg(F.first("removed_lines").alias("_lines"))
+    # the filter stands above an aggregate: pushed into the measures it would work them out again and again
+    kept = judged(with_key(docs), limits).groupBy("row_key").agg(F.first("removed_lines").alias("_lines"), F.bool_or("kept").alias("_kept")).where("_kept").drop("_kept")
     text = text_column(docs)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text), F.length(text), F.coalesce(F.col("source").cast("string"), F.lit("")))
     out = docs.withColumn("_row", key).join(kept.withColumnRenamed("row_key", "_row"), "_row")

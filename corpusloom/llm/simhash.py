@@ -11,6 +11,7 @@ are folded into distinct fingerprints first, with a map-side combine.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import pyarrow as pa
@@ -107,3 +108,138 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     by_print = labelled.join(smallest, "label").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@dataclass(frozen=True)
+class Sketches:
+    """Settings of near_groups. All shingles are taken once for a text.
+
+    Candidates: `parts` fingerprints of 32 bits over `narrow` words, each within
+    `radius` bits. Verification: a fingerprint of `bits` bits over `wide` words;
+    a pair is near up to `surely` differing bits, not near from `never` on, and
+    in between if the shingles' Jaccard similarity is at least `similarity`.
+    With 512 bits and similarity 0.8 a pair at the bound differs in 78 bits,
+    give or take 8.
+    """
+
+    parts: int = 8
+    narrow: int = 2
+    radius: int = 2
+    bits: int = 512
+    wide: int = 5
+    surely: int = 52
+    never: int = 104
+    similarity: float = 0.8
+
+
+def shingle_hashes(text: str, width: int):
+    """The distinct hashes of a text's shingles, sorted."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n, joined = len(words), b" ".join(words)
+    if n <= width:
+        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = [0, *(ends[: n - width] + 1).tolist()]
+    return np.unique(np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def wide_fingerprint(hashes, bits: int) -> bytes:
+    """A fingerprint of more bits: each hash is stirred anew for every 64 of them."""
+    import numpy as np
+
+    out = []
+    for word in range(bits // 64):
+        h = hashes + np.uint64(word + 1) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(h), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def sketched(texts: DataFrame, s: Sketches) -> DataFrame:
+    """key, parts (array of int) and wide (array of long) of key and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            parts, wide = [], []
+            for t in b.column(1).to_pylist():
+                parts.append(np.frombuffer(wide_fingerprint(shingle_hashes(t, s.narrow), 32 * s.parts), "<i4"))
+                wide.append(np.frombuffer(wide_fingerprint(shingle_hashes(t, s.wide), s.bits), "<i8"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.int32())), pa.array(wide, pa.list_(pa.int64()))], ["key", "parts", "wide"])
+
+    return short_batches(texts).mapInArrow(run, "key long, parts array<int>, wide array<long>")
+
+
+def candidates(sketches: DataFrame, s: Sketches) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of keys that are worth verifying.
+
+    Texts with one and the same part are linked to the smallest and the largest
+    key among them; for different parts within the radius, those keys are
+    paired. A variant gathers at most a ball of distinct parts.
+    """
+    each = sketches.select("key", F.posexplode("parts").alias("part", "value"))
+    ends = each.groupBy("part", "value").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    same = each.join(ends.where(F.col("low") < F.col("high")), ["part", "value"]).select("key", F.explode(F.array("low", "high")).alias("other"))
+    small = [m for m in masks((s.radius + 1) // 2) if -1 < m < 1 << 32]
+    variants = F.explode(F.array(*[F.lit(m if m < 1 << 31 else m - (1 << 32)).cast("int") for m in small]))
+    balls = ends.select("part", "value", F.struct("value", "low", "high").alias("of"), variants.alias("mask")).groupBy("part", F.col("value").bitwiseXOR(F.col("mask")).alias("variant")).agg(F.collect_list("of").alias("met")).where(F.size("met") > 1)
+    crossed = balls.select(F.explode("met").alias("x"), "met").select("x", F.explode("met").alias("y"))
+    near = crossed.where((F.col("x.value") < F.col("y.value")) & (F.bit_count(F.col("x.value").bitwiseXOR(F.col("y.value"))) <= s.radius))
+    other = near.select(F.col("x.low").alias("key"), F.explode(F.array("y.low", "y.high")).alias("other")).union(near.select(F.col("x.high"), F.explode(F.array("y.low", "y.high"))))
+    pairs = same.union(other).where(F.col("key") != F.col("other"))
+    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, s: Sketches) -> DataFrame:
+    """The pairs that are near: by their wide fingerprints or, if these leave it open, by their shingles."""
+    wide = sketches.select("key", "wide")
+    both = pairs.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b")
+    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    measured = cut(both.select("a", "b", apart.alias("apart")).where(F.col("apart") < s.never))
+    unsure = measured.where(F.col("apart") > s.surely).select("a", "b")
+
+    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = shingle_hashes(x, s.wide), shingle_hashes(y, s.wide)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                near.append(common >= s.similarity * (len(p) + len(q) - common))
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    asked = unsure.select("a").union(unsure.select("b")).distinct().toDF("key")
+    needed = texts.join(asked, "key", "left_semi").dropDuplicates(["key"])
+    told = unsure.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    return measured.where(F.col("apart") <= s.surely).select("a", "b").union(short_batches(told).mapInArrow(jaccard, "a long, b long"))
+
+
+def near_groups(docs: DataFrame, s: Sketches = Sketches()) -> DataFrame:
+    """doc_id, key (a hash of the text) and group (the smallest key that near pairs reach) of every row of docs.
+
+    Equal texts have one key and so one group. Null texts count as empty; texts
+    with fewer words than a shingle are one shingle; other columns are ignored.
+    """
+    rows = docs.select("doc_id", F.xxhash64(text_column(docs)).alias("key"))
+    texts = docs.select(F.xxhash64(text_column(docs)).alias("key"), text_column(docs).alias("text"))
+    sketches = cut(sketched(texts, s).groupBy("key").agg(F.first("parts").alias("parts"), F.first("wide").alias("wide")))
+    pairs = candidates(sketches, s)
+    labels = components(verified(pairs, sketches, texts, s))
+    return rows.join(labels, rows.key == labels.node, "left").select("doc_id", "key", F.coalesce("label", "key").alias("group"))
+
+
+def one_of_each(docs: DataFrame, s: Sketches = Sketches()) -> DataFrame:
+    """The rows of docs, all columns, of which no nearer one stays: of each group the row with the smallest id."""
+    groups = near_groups(docs, s)
+    stay = groups.groupBy("group").agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("of")).select(F.col("of.doc_id").alias("_id"), F.col("of.key").alias("_key"))
+    keyed = docs.withColumn("_key", F.xxhash64(text_column(docs))).withColumn("_id", F.col("doc_id"))
+    kept = keyed.join(stay, keyed["_key"].eqNullSafe(stay["_key"]) & keyed["_id"].eqNullSafe(stay["_id"]), "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)
