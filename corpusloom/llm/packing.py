@@ -43,8 +43,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, plan: Plan) -> DataFrame:
         end = plan.end_id.to_bytes(4, "little")
         for b in batches:
             rows, at = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ids = own.encode(text) + end
+            for i, ids in enumerate(own.encode_all(b.column(1).to_pylist())):
+                ids += end
                 for n, start in enumerate(range(0, len(ids) // 4, plan.capacity)):
                     part = ids[4 * start : 4 * (start + plan.capacity)]
                     rows.append((n, start, len(part) // 4, zlib.crc32(part)))
