@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,8 +60,11 @@ def release(spark: SparkSession) -> None:
     Spark removes them when the driver happens to collect its garbage; after a
     cut in the lineage of a large result that is worth doing at once.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.range(1).count()  # the last job's references go when another one comes
+    for _ in range(3):  # the first rounds end what holds the references; removal itself goes on in the background
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -34,16 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, short_batches, text_column
+from corpusloom.llm.common import cut, release, short_batches, text_column
 
 
 @dataclass(frozen=True)
 class Sizes:
     """Entries of a bucket, entries that a task combines at once, bytes of text in a group, and ranges of offsets."""
 
-    bucket_entries: int = 1_500_000
-    combine_entries: int = 2_000_000
-    group_bytes: int = 16_000_000
+    bucket_entries: int = 750_000
+    combine_entries: int = 1_000_000
+    group_bytes: int = 8_000_000
     ranges: int = 4
 
 
@@ -128,10 +128,12 @@ def combined(key, uid, at, buckets: int) -> pa.Table:
     several = size[number] > 1
     first = np.r_[True, number[1:] != number[:-1]] if len(key) else several
     flag = np.where(several, np.where(first, SEVERAL, SETTLED), ALONE).astype(np.uint8)
+    as_read = np.argsort(order)  # runs of one text in a bucket take little room
+    key, uid, at, flag = key[as_read], uid[as_read], at[as_read], flag[as_read]
     bucket = bucket_of(key, buckets)
     spread = flag == SETTLED
     bucket[spread] = (uid[spread] + at[spread].astype(np.uint64)) % np.uint64(buckets)
-    asked = {"key": key, "uid": uid, "at": at, "flag": flag}
+    asked = {"key": np.where(spread, 0, key).astype(np.uint64), "uid": uid, "at": at, "flag": flag}
     table = rows_of(asked, bucket, "bucket")
     return table.add_column(2, "other", pa.array([b""] * table.num_rows, pa.binary()))
 
@@ -201,21 +203,28 @@ def sampled(length: int, buckets: int, sizes: Sizes):
     return run
 
 
-def met(length: int):
+def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they travel."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze(t) for t in b.column(2).to_pylist()], pa.binary())], ["dbucket", "uid", "text"])
+
+
+def met():
     """Texts of a group that have candidates, with these."""
     TEXT = pa.schema([("dbucket", pa.int32()), ("uid", pa.int64()), ("text", pa.binary()), ("first", pa.binary()), ("last", pa.binary()), ("settled_first", pa.binary()), ("settled_last", pa.binary())])
 
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         import numpy as np
-        import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         by_uid = Places(replies)
         out = []
         for bucket, uid, text in zip(*(texts.column(c).to_pylist() for c in ("dbucket", "uid", "text")), strict=True):
             at, _ = by_uid.of(uid)
-            if len(at) and len(text) >= length:
-                out.append((bucket, uid, squeeze(text), np.unique(at).astype("<i4").tobytes(), b"", b"", b""))
+            if len(at):
+                out.append((bucket, uid, text, np.unique(at).astype("<i4").tobytes(), b"", b"", b""))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, TEXT.types, strict=True)], schema=TEXT)
 
     return run
@@ -268,7 +277,11 @@ def windows(length: int, buckets: int, sizes: Sizes):
         bucket = bucket_of(core, buckets)
         spread = flag == SETTLED
         bucket[spread] = (uid[spread] + at[spread].astype(np.uint64)) % np.uint64(buckets)
-        return rows_of({"key": core, "other": outer, "uid": uid, "at": at, "flag": flag | known << 4 | look << 5}, bucket, "bucket")
+        # a settled place of which nothing is known is unique; of the others only the place counts
+        bits, as_read = flag | known << 4 | look << 5, np.argsort(order)
+        as_read = as_read[(bits != SETTLED)[as_read]]
+        core, outer = (np.where(spread, 0, x).astype(np.uint64) for x in (core, outer))
+        return rows_of({c: x[as_read] for c, x in (("key", core), ("other", outer), ("uid", uid), ("at", at), ("flag", bits))}, bucket[as_read], "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -441,7 +454,8 @@ def repeats(docs: DataFrame, length: int, sizes: Sizes = Sizes(), with_text: boo
     v, cover = difference_cover(length)
     buckets = lambda entries: max(1, round(entries / sizes.bucket_entries))
     groups = max(1, -(-total // sizes.group_bytes))
-    whole = given.where(F.octet_length("text") >= length).withColumn("dbucket", F.expr(f"cast(cast(uid as decimal(20,0)) + if(uid < 0, 18446744073709551616BD, 0BD) as decimal(20,0)) % {groups}").cast("int"))
+    group = F.expr(f"cast((cast(uid as decimal(20,0)) + if(uid < 0, 18446744073709551616BD, 0BD)) % {groups} as int)")
+    whole = given.where(F.octet_length("text") >= length).select(group.alias("dbucket"), "uid", "text").mapInArrow(squeezed, "dbucket int, uid long, text binary")
 
     def sort(entries: DataFrame, reduce) -> DataFrame:
         return entries.groupBy("bucket").applyInArrow(reduce, REPLY)
@@ -450,15 +464,15 @@ def repeats(docs: DataFrame, length: int, sizes: Sizes = Sizes(), with_text: boo
         return texts.groupBy("dbucket").cogroup(replies.groupBy("dbucket")).applyInArrow(function, schema)
 
     n = buckets(total * len(cover) / v)
-    blocks = sort(given.mapInArrow(sampled(length, n, sizes), ENTRY), repeated(groups))
-    texts = cut(meet(whole, blocks, met(length), TEXTS))
+    texts = cut(meet(whole, sort(given.mapInArrow(sampled(length, n, sizes), ENTRY), repeated(groups)), met(), TEXTS))
+    release(docs.sparkSession)
     places = texts.agg(F.sum(F.octet_length("first") / 4)).first()[0] or 0
     n = buckets(places * sizes.ranges)
-    ranges = sort(texts.mapInArrow(windows(length, n, sizes), ENTRY), settled(groups))
-    left = cut(meet(texts, ranges, narrowed(length, sizes.ranges), TEXTS))
+    left = cut(meet(texts, sort(texts.mapInArrow(windows(length, n, sizes), ENTRY), settled(groups)), narrowed(length, sizes.ranges), TEXTS))
+    del texts
+    release(docs.sparkSession)
     n = buckets(places * v / sizes.ranges / 4)
-    single = sort(left.mapInArrow(each_start(length, n, sizes), ENTRY), repeated(groups))
-    return meet(left, single, removed(length, with_text), RESULT)
+    return meet(left, sort(left.mapInArrow(each_start(length, n, sizes), ENTRY), repeated(groups)), removed(length, with_text), RESULT)
 
 
 def deduplicate(docs: DataFrame, length: int = 400, sizes: Sizes = Sizes()) -> DataFrame:
