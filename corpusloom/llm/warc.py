@@ -18,6 +18,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,10 @@ SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
 #: Records in one archive file: with segments of bounded length this bounds the file.
 FILE_RECORDS = 4_096
-PARTS = "origin string, number int, total long, kind string, page_id long, refers_to long, digest string, payload_bytes long, block binary"
+#: Bytes of payload for which a task writes archives.
+ARCHIVE_BYTES = 16_000_000
+PARTS = "origin string, number int, total long, kind string, page_id long, refers_to long, digest string, block binary"
+PAGE = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -138,7 +142,9 @@ def write(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES) ->
                 out += records(page_id, url, html, is_response, refers_to, name, segment_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    written = short_batches(told).mapInArrow(run, "record binary").select(F.col("record").cast("string"))
+    # archives of a worthwhile size, so that a large cluster's many tasks do not leave as many small files
+    files = max(1, -(-(given.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // ARCHIVE_BYTES))
+    written = short_batches(told).coalesce(files).mapInArrow(run, "record binary").select(F.col("record").cast("string"))
     written.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
@@ -150,48 +156,52 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     to their total length and payloads that differ from their digest raise.
     """
 
-    def parts(batches: Iterator[pa.RecordBatch], segmented: bool) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in PARTS.split(", ")]
-        types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    def rows(content: bytes, segmented: bool) -> Iterator[tuple]:
+        archive = zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content
+        for fields, block in parsed(archive):
+            number = fields.get("warc-segment-number")
+            if (number is not None) == segmented:
+                whole, page, refers = (int(x) if x else None for x in map(fields.get, ("warc-segment-total-length", "page-id", "refers-to-page-id")))
+                origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
+                yield origin, int(number or 0), whole, fields["warc-type"], page, refers, fields.get("warc-payload-digest", "sha1:").partition(":")[2], block
+
+    def segments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for packed in b.column(0):
-                rows = []
-                content = packed.as_py()
-                archive = zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content
-                for fields, block in parsed(archive):
-                    number = fields.get("warc-segment-number")
-                    if (number is not None) != segmented:
-                        continue
-                    whole = fields.get("warc-segment-total-length")
-                    page, refers = fields.get("page-id"), fields.get("refers-to-page-id")
-                    origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
-                    digest = fields.get("warc-payload-digest", "sha1:").partition(":")[2]
-                    rows.append((origin, int(number or 0), int(whole) if whole else None, fields["warc-type"], int(page) if page else None, int(refers) if refers else None, digest, None, block))
-                yield from pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, types, strict=True)], names=names).to_batches(max_chunksize=512)
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield from batched(rows(packed.as_py(), True), PARTS)
+
+    def plain_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for packed in b.column(0):
+                yield from batched((opened(page, kind, refers, digest, block) for _, _, _, kind, page, refers, digest, block in rows(packed.as_py(), False)), PAGE)
+
+    def whole_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, payloads = [], []
-            for kind, digest, block in zip(*(b.column(c).to_pylist() for c in ("kind", "digest", "block")), strict=True):
-                head, _, body = block.partition(b"\r\n\r\n")
-                if kind == "revisit":
-                    sizes.append(next(int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-                    payloads.append(None)
-                    continue
-                payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                if base32_sha1(payload) != digest:
-                    raise ValueError("a payload differs from its digest")
-                sizes.append(len(payload))
-                payloads.append(payload)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "kind", "refers_to", "digest")), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary())], ["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
+            yield from batched((opened(*x) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), PAGE)
 
     files = short_batches(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)).select("content")
-    plain = files.mapInArrow(lambda x: parts(x, False), PARTS)
-    segments = files.mapInArrow(lambda x: parts(x, True), PARTS)
-    whole = reassembled(segments)
-    out = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-    columns = ("page_id", "kind", "refers_to", "digest", "block")
-    return plain.select(*columns).unionByName(whole.select(*columns)).mapInArrow(decoded, out)
+    whole = reassembled(files.mapInArrow(segments_of, PARTS)).select("page_id", "kind", "refers_to", "digest", "block")
+    return files.mapInArrow(plain_of, PAGE).unionByName(whole.mapInArrow(whole_of, PAGE))
+
+
+def opened(page_id, kind: str, refers_to, digest: str, block: bytes) -> tuple:
+    """A page's row from a whole record."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    if kind == "revisit":
+        size = next(int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+        return page_id, kind, refers_to, digest, size, None
+    payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    if base32_sha1(payload) != digest:
+        raise ValueError("a payload differs from its digest")
+    return page_id, kind, refers_to, digest, len(payload), payload
+
+
+def batched(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of bounded size from rows."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    types = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k] for k in kinds]
+    while part := list(islice(rows, 256)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], list(names))
 
 
 def reassembled(segments: DataFrame) -> DataFrame:
