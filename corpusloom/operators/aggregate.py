@@ -9,7 +9,8 @@ NO_CONTEXT = "No substantive referent contexts after salience filtering"
 
 
 def valid_mean(column: str, ok: Column) -> Column:
-    return F.coalesce(F.avg(F.when(ok, F.col(column))), F.lit(0.0))
+    """The mean, from a rounded sum: the order of summation must not show in the last place."""
+    return F.coalesce(F.try_divide(F.round(F.sum(F.when(ok, F.col(column).cast("double"))), 9), F.count_if(ok)), F.lit(0.0))
 
 
 def weighted(keys: list[str], scored: DataFrame, exclude_technical: bool = True) -> DataFrame:
@@ -19,7 +20,7 @@ def weighted(keys: list[str], scored: DataFrame, exclude_technical: bool = True)
         rows = rows.withColumn("aggregation_weight", F.when(F.coalesce("is_technical_mention", F.lit(False)), 0.0).otherwise(F.col("aggregation_weight")))
     w, ok = F.col("aggregation_weight"), F.col("aggregation_weight") > 0
     share = lambda condition: F.coalesce(F.avg(F.when(ok, condition.cast("double"))), F.lit(0.0))
-    ratio = lambda x: F.coalesce(F.try_divide(F.sum(F.when(ok, w * x)), F.nullif(F.sum(F.when(ok, w)), F.lit(0.0))), F.lit(0.0))
+    ratio = lambda x: F.coalesce(F.try_divide(F.round(F.sum(F.when(ok, w * x)), 9), F.nullif(F.round(F.sum(F.when(ok, w)), 9), F.lit(0.0))), F.lit(0.0))
     technical = F.count_if(F.coalesce("is_technical_mention", F.lit(False)))
     r = lambda x: F.round(x, 6)
     out = rows.groupBy(*keys).agg(
@@ -56,17 +57,22 @@ def by_media_and_referent(scored: DataFrame) -> DataFrame:
 
 
 def summary_matrix(scored: DataFrame) -> DataFrame:
-    return by_media_and_referent(scored).join(dominant_evi(scored.where("aggregation_weight > 0"), ["media_country", "ref_country"]), ["media_country", "ref_country"], "left").na.fill({"dominant_EVI": 0}).orderBy("media_country", "ref_country")
+    return by_media_and_referent(scored).join(dominant_evi(scored, ["media_country", "ref_country"], ok=F.col("aggregation_weight") > 0), ["media_country", "ref_country"], "left").na.fill({"dominant_EVI": 0}).orderBy("media_country", "ref_country")
 
 
-def dominant_evi(scored: DataFrame, keys: list[str], column: str = "EVI_raw") -> DataFrame:
-    """The most frequent rounded value in -10..10; ties to the one nearest the mean, then the larger in magnitude."""
-    values = scored.select(*keys, F.bround(F.col(column).cast("double")).cast("int").alias("v")).where(F.col("v").between(-10, 10))
-    counts = values.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+def dominant_evi(scored: DataFrame, keys: list[str], column: str = "EVI_raw", ok: Column | None = None) -> DataFrame:
+    """The most frequent rounded value in -10..10; ties to the one nearest the mean, then the larger in magnitude; 0 without one.
+
+    ok: which rows count. The condition stands inside the value and not in a
+    filter, which the optimiser would trace through all of a score's columns.
+    """
+    rounded = F.bround(F.col(column).cast("double")).cast("int")
+    counted = rounded.between(-10, 10) if ok is None else rounded.between(-10, 10) & ok
+    counts = scored.select(*keys, F.when(counted, rounded).alias("v")).groupBy(*keys, "v").agg(F.count("*").alias("n"))
     group = Window.partitionBy(*keys)
-    mean = F.sum(F.col("n") * F.col("v")).over(group).cast("double") / F.sum("n").over(group)
-    order = group.orderBy(F.desc("n"), F.abs(F.col("v") - F.col("mean")), F.desc(F.abs("v")), "v")
-    return counts.withColumn("mean", mean).withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*keys, F.col("v").alias("dominant_EVI"))
+    mean = F.try_divide(F.sum(F.col("n") * F.col("v")).over(group).cast("double"), F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).over(group))
+    order = group.orderBy(F.col("v").isNull(), F.desc("n"), F.abs(F.col("v") - F.col("mean")), F.desc(F.abs("v")), "v")
+    return counts.withColumn("mean", mean).withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*keys, F.coalesce("v", F.lit(0)).alias("dominant_EVI"))
 
 
 def reference_summary(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -73,7 +73,7 @@ def rubric(rows: DataFrame, profile: Profile) -> DataFrame:
         prominent = F.when((base > 0) & (in_title | (repeated >= 2) | authority), 1).otherwise(0)
         new |= {f"{label}_score": T.clamp(base + prominent, 0, 10).cast("int"), f"evi_{'pos' if side == 'p' else 'neg'}_hits": repeated, f"{label}_evidence_terms": F.array_join(F.array_sort(F.array_distinct(F.flatten(F.array(*[T.found_terms(F.col(f"{side}_{name}")) for name in profile.rubric])))), "; ")}
         new |= {f"_{side}_{name}": v for name, v in points.items()} | {f"_{side}_salience": prominent}
-    rows = rows.withColumns(new)
+    rows = rows.withColumns({c: T.held(v) for c, v in new.items()})
     rows = rows.withColumn("EVI_raw", (F.col("positive_score") - F.col("negative_score")).cast("int")).withColumn("EVI_norm", F.col("EVI_raw") / F.lit(10.0))
     parts = [F.struct(F.col(f"_p_{n}").alias("positive"), F.col(f"_n_{n}").alias("negative")).alias(f"criterion_{i}_{n}") for i, n in enumerate([*profile.rubric, "salience"], 1)]
     polarity = F.when(F.col("EVI_raw") > 0, "positive").when(F.col("EVI_raw") < 0, "negative").otherwise("neutral")
@@ -138,7 +138,7 @@ def score(contexts: DataFrame, profile: Profile, evi_mode: str = "fine", manual:
         notes.append(F.when(F.col("_evi").isNull(), "manual_evi_missing") if manual is not None else F.lit("manual_evi_missing"))
     if evi_mode == "suggested":
         rows = rows.withColumn("evi_explanation", F.concat(F.lit("Suggested: "), "evi_explanation"))
-    rows = rows.withColumn("EVI_norm", F.col("EVI_raw") / F.lit(10.0)).withColumn("_technical", technical(profile)).withColumns(salience(profile))
+    rows = rows.withColumn("EVI_norm", F.col("EVI_raw") / F.lit(10.0)).withColumn("_technical", T.held(technical(profile))).withColumns({c: T.held(v) for c, v in salience(profile).items()})
     if manual is not None:
         rows = rows.withColumn("referent_salience", F.coalesce("_s", "referent_salience"))
     rows = rows.withColumns({"is_technical_mention": F.col("referent_salience") == 0.0, "technical_reason": F.col("_technical.reason")})

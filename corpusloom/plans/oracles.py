@@ -14,6 +14,11 @@ def quoted(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+def r6(x: str) -> str:
+    """Rounded half up on the decimal text, as Spark does."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), 6) AS DOUBLE)"
+
+
 def among(values) -> str:
     return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 
@@ -126,21 +131,21 @@ def scored() -> str:
     authority = " OR ".join(f"contains(lower(context_text), '{c}')" for c in P.authority)
     acts = " OR ".join(f"contains(lower(target_sentence), '{c}')" for c in [*P.rubric["action"][0], *P.rubric["action"][1], *P.neutral_actions])
     places = "regexp_matches(lower(context_text), '\\b(in|from|di|dari|в|из)\\s+capital\\b') AND FALSE"
-    density = lambda x: f"round(CASE WHEN N_content > 0 THEN greatest(0.0, least(1.0, ({x})::DOUBLE / N_content)) ELSE 0.0 END, 6)"
+    density = lambda x: r6(f"CASE WHEN N_content > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({x})::DOUBLE / N_content)) ELSE 0.0::DOUBLE END")
     return contexts() + f""",
     counted AS (SELECT *, {ev} AS ev, CAST({content} AS INT) AS N_content, {total_of(text, P.ideological_terms)} AS N_ideol, {total_of(text, P.emotional_terms['weak'])} AS N_e_w, {total_of(text, P.emotional_terms['medium'])} AS N_e_m, {total_of(text, P.emotional_terms['strong'])} AS N_e_s, {total_of(text, P.metaphor_terms)} AS N_met FROM contexts),
     points AS (SELECT *, {sides['p'][0]} AS pp, {sides['p'][1]} AS pr, {sides['n'][0]} AS np, {sides['n'][1]} AS nr, ({authority}) AS auth, ({acts}) AS acts, {places} AS place FROM counted),
     rated AS (SELECT *, CAST(least(10, pp + CASE WHEN pp > 0 AND (pr >= 2 OR auth) THEN 1 ELSE 0 END) AS INT) AS positive_score, CAST(least(10, np + CASE WHEN np > 0 AND (nr >= 2 OR auth) THEN 1 ELSE 0 END) AS INT) AS negative_score,
         {density('N_ideol')} AS IDI, {density('N_e_w / 3.0::DOUBLE + 2.0::DOUBLE * N_e_m / 3.0::DOUBLE + N_e_s')} AS EMI, {density('N_met')} AS MTI FROM points),
     judged AS (SELECT *, positive_score - negative_score AS EVI_raw, (positive_score - negative_score) / 10.0::DOUBLE AS EVI_norm, CASE WHEN positive_score + negative_score = 0 AND NOT acts THEN 0.25::DOUBLE WHEN positive_score + negative_score = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS referent_salience FROM rated),
-    scored AS (SELECT *, CASE WHEN EVI_norm = 0 THEN 0.0 ELSE EVI_norm * (1.0 + IDI + EMI + MTI) END AS IP_context, abs(CASE WHEN EVI_norm = 0 THEN 0.0 ELSE EVI_norm * (1.0 + IDI + EMI + MTI) END) AS IP_context_abs, (IDI + EMI + MTI) * EVI_norm AS IP_old, referent_salience AS aggregation_weight FROM judged)"""
+    scored AS (SELECT *, CASE WHEN EVI_norm = 0 THEN 0.0 ELSE EVI_norm * (1.0::DOUBLE + (IDI + EMI + MTI)) END AS IP_context, abs(CASE WHEN EVI_norm = 0 THEN 0.0 ELSE EVI_norm * (1.0::DOUBLE + (IDI + EMI + MTI)) END) AS IP_context_abs, (IDI + EMI + MTI) * EVI_norm AS IP_old, referent_salience AS aggregation_weight FROM judged)"""
 
 
 def weighted(keys: str) -> str:
-    mean = lambda c, n=None: f"round(avg({c}), 6) AS {n or 'mean_' + c}"
-    share = lambda c, n: f"round(avg(({c})::INT::DOUBLE), 6) AS {n}"
+    mean = lambda c, n=None: f"{r6(f'round(sum({c}::DOUBLE), 9) / count(*)')} AS {n or 'mean_' + c}"
+    share = lambda c, n: f"{r6(f'avg(({c})::INT::DOUBLE)')} AS {n}"
     return f"""SELECT {keys}, {mean('IDI')}, {mean('EMI')}, {mean('MTI')}, {mean('EVI_raw')}, {mean('EVI_norm')}, {mean('IP_context', 'mean_IP_unweighted')},
-    round(sum(aggregation_weight * IP_context) / sum(aggregation_weight), 6) AS IP_final, round(sum(aggregation_weight * IP_context_abs) / sum(aggregation_weight), 6) AS IP_abs_final,
+    {r6('round(sum(aggregation_weight * IP_context), 9) / round(sum(aggregation_weight), 9)')} AS IP_final, {r6('round(sum(aggregation_weight * IP_context_abs), 9) / round(sum(aggregation_weight), 9)')} AS IP_abs_final,
     {share('EVI_raw > 0', 'positive_context_share')}, {share('EVI_raw < 0', 'negative_context_share')}, {share('EVI_raw = 0', 'neutral_context_share')}, {share('referent_salience = 1', 'central_context_share')}, {share('referent_salience = 0.25', 'background_context_share')}, {mean('referent_salience')},
     count(*) AS contexts_analyzed, 0::BIGINT AS contexts_excluded, count(*) AS number_of_contexts, 0::BIGINT AS technical_mentions_count, 0::BIGINT AS technical_mentions_excluded, count(DISTINCT doc_id) AS number_of_articles, '' AS warning FROM scored GROUP BY {keys}"""
 
@@ -243,7 +248,7 @@ def all_sql() -> dict[str, str]:
         "context_marker_counts": f"{sc} SELECT context_id, N_content, {', '.join(f'CAST({c} AS INT) AS {c}' for c in ('N_ideol', 'N_e_w', 'N_e_m', 'N_e_s', 'N_met'))}, IDI, EMI, MTI FROM scored",
         "context_evi": f"{sc} SELECT context_id, positive_score, negative_score, EVI_raw, EVI_norm FROM scored",
         "context_salience": f"{sc} SELECT context_id, referent_salience, CASE referent_salience WHEN 0.25 THEN 'background' WHEN 0.5 THEN 'secondary_actor' ELSE 'central_actor' END AS referent_role, FALSE AS is_technical_mention FROM scored",
-        "context_ip": f"{sc} SELECT context_id, round(IP_context, 5) AS ip, round(IP_context_abs, 5) AS ip_abs, round(IP_old, 5) AS ip_old, aggregation_weight FROM scored",
+        "context_ip": f"{sc} SELECT context_id, {r6('IP_context::DOUBLE')} AS ip, {r6('IP_context_abs::DOUBLE')} AS ip_abs, {r6('IP_old::DOUBLE')} AS ip_old, aggregation_weight FROM scored",
         "context_coarse_evi": f"WITH {contexts()}, s AS (SELECT context_id, {total_of('context_text', {t for x in P.rubric.values() for t in x[0]})} - {total_of('context_text', {t for x in P.rubric.values() for t in x[1]})} AS s FROM contexts) SELECT context_id, CAST(CASE WHEN s <= -3 THEN -10 WHEN s < 0 THEN -5 WHEN s = 0 THEN 0 WHEN s < 3 THEN 5 ELSE 10 END AS INT) AS EVI_raw FROM s",
         "multi_ref_contexts": f"WITH {contexts()}, m AS (SELECT doc_id, context_text, count(DISTINCT ref_country) AS n FROM contexts GROUP BY ALL) SELECT context_id, n > 1 AS multi_country_context FROM contexts JOIN m USING (doc_id, context_text)",
         "impact_by_media_ref": f"{sc} {weighted('media_country, ref_country')}",
