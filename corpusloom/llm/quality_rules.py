@@ -78,14 +78,15 @@ def base_measures(rows: DataFrame) -> DataFrame:
     out = out.select(*keep, pair_hash(F.col("h"), 4, n).alias("h"))
     out = out.select(*keep, F.slice("h", F.lit(1), F.greatest(n - 7, F.lit(0))).alias("h"))
     repeats = F.size(F.array_distinct("h")) < F.size("h")
-    out = out.select(*keep, F.when(repeats, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("s"))
+    # behind the random condition, which always holds, filters are not pushed below and the columns not worked out anew for them
+    out = out.select(*keep, F.when((F.rand(0) >= 0.0) & repeats, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("s"))
 
     def place(k: Column) -> Column:
         here = F.get("s", k)
         return F.when((here["h"] == F.get("s", k - 1)["h"]) | (here["h"] == F.get("s", k + 1)["h"]), here["i"])
 
     places = F.sort_array(F.filter(F.transform(F.sequence(F.lit(0), F.size("s") - 1), place), lambda i: i.isNotNull()))
-    out = out.select(*keep, F.when(F.col("s").isNotNull(), places).alias("p"))
+    out = out.select(*keep, F.when((F.rand(0) >= 0.0) & F.col("s").isNotNull(), places).alias("p"))
     covered = F.aggregate(F.zip_with("p", F.slice("p", F.lit(2), F.size("p")), lambda a, b: F.least(F.lit(8), F.coalesce(b - a, F.lit(8)))), F.lit(0), lambda s, x: s + x)
     out = out.select(*keep, F.when(F.col("p").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id, packing, quality_rules, simhash, suffix_dedup, suffix_tree_lm, token_counts, topk, warc, word_bpe
+from corpusloom.llm import language_id, oracles, packing, quality_rules, simhash, suffix_dedup, suffix_tree_lm, token_counts, topk, warc, word_bpe
 from corpusloom.llm.common import table
 
 
@@ -82,4 +82,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries have no SQL: their hashes, tokenizers and models are beyond it."""
+    return oracles.all_sql()
