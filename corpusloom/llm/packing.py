@@ -118,17 +118,20 @@ def packed(lengths, capacity: int):
     bins = np.empty(len(lengths), np.int64)
     found, gaps = sum_of_squares(lengths[order], capacity)
     bins[order] = found
-    loose = gaps[bins] > capacity // 64  # sequences left open are taken apart and packed best fit
-    if loose.any():
-        kept = np.unique(bins[~loose])
-        names = np.full(len(gaps), -1)
-        names[kept] = np.arange(len(kept))
-        again, more = best_fit(lengths[loose], capacity)
-        if len(kept) + more <= len(gaps):
-            bins[~loose] = names[bins[~loose]]
-            bins[loose] = len(kept) + again
-            return bins, len(kept) + more
-    return bins, len(gaps)
+    best, n = bins, len(gaps)
+    # sequences left open are taken apart and packed best fit: those with much room, or all that are not full
+    for room in (capacity // 64, capacity // 256, 0):
+        loose = gaps[bins] > room
+        if loose.any():
+            kept = np.unique(bins[~loose])
+            names = np.full(len(gaps), -1)
+            names[kept] = np.arange(len(kept))
+            again, more = best_fit(lengths[loose], capacity)
+            if len(kept) + more < n:
+                best, n = np.empty_like(bins), len(kept) + more
+                best[~loose] = names[bins[~loose]]
+                best[loose] = len(kept) + again
+    return best, n
 
 
 def pack(docs: DataFrame, tokenizer_path: str, plan: Plan = Plan()) -> DataFrame:
