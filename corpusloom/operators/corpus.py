@@ -79,7 +79,7 @@ def referent_sentences(docs: DataFrame, profile: Profile, most: int | None = 12_
         return T.preprocess(T.tokenize(s, us=True), True, profile.strict_stopwords)
 
     split = docs.select("seq", "source", "year", "country", T.sentences(F.col("text")).alias("sents"))
-    each = split.select("*", F.posexplode("sents").alias("i", "hit_sent")).withColumn("_t", words(F.col("hit_sent")))
+    each = split.select("*", F.posexplode("sents").alias("i", "hit_sent")).withColumn("_t", T.held(words(F.col("hit_sent"))))
     found = [(c, F.get(F.filter("_t", in_set(terms)), F.lit(0))) for c, terms in profile.anchors.items()]
     country, term = None, F.coalesce(*[t for _, t in found])
     for c, t in found:

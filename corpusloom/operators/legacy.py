@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import stats
 from corpusloom.functions import text as T
 from corpusloom.functions.profile import Profile
 
@@ -12,10 +13,13 @@ from corpusloom.functions.profile import Profile
 def around_mentions(text: Column, aliases: list[str], profile: Profile, drop_empty: bool = True) -> Column:
     """The tokens of every sentence with an alias and its neighbours; overlapping neighbourhoods repeat their tokens."""
     tokens = F.transform(T.sentences(text), lambda s: T.preprocess(T.tokenize(s, us=True), True, profile.strict_stopwords))
-    sents = F.filter(tokens, lambda t: F.size(t) > 0) if drop_empty else tokens
     hit = lambda s: F.exists(s, lambda t: T.among(t, aliases))
-    near = F.transform(sents, lambda s, i: F.when(hit(s), F.flatten(F.slice(sents, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)))).otherwise(F.array().cast("array<string>")))
-    return F.flatten(near)
+
+    def near(sents: Column) -> Column:
+        around = lambda i: F.flatten(F.slice(sents, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)))
+        return F.flatten(F.transform(sents, lambda s, i: F.when(hit(s), around(i)).otherwise(F.array().cast("array<string>"))))
+
+    return stats.once(F.filter(tokens, lambda t: F.size(t) > 0) if drop_empty else tokens, near)
 
 
 def document_indices(docs: DataFrame, profile: Profile, aliases: dict[str, list[str]] | None = None) -> DataFrame:
