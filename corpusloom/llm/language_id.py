@@ -25,7 +25,7 @@ from corpusloom.llm.common import short_batches, text_column
 
 #: Words are runs of letters and marks, in lower case.
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 150_000
 MEMO_CHARS = 64
 UNKNOWN = "und"
 
@@ -39,9 +39,9 @@ class Fit:
     is added to every count.
     """
 
-    sample_rows: int = 6_000
+    sample_rows: int = 3_000
     least_count: int = 2
-    longest: int = 5
+    longest: int = 4
     smooth: float = 0.5
 
 

@@ -185,14 +185,18 @@ def candidates(sketches: DataFrame, s: Sketches) -> DataFrame:
     paired. A variant gathers at most a ball of distinct parts.
     """
     each = sketches.select("key", F.posexplode("parts").alias("part", "value"))
-    ends = each.groupBy("part", "value").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    ends = cut(each.groupBy("part", "value").agg(F.min("key").alias("low"), F.max("key").alias("high")))
     same = each.join(ends.where(F.col("low") < F.col("high")), ["part", "value"]).select("key", F.explode(F.array("low", "high")).alias("other"))
     small = [m for m in masks((s.radius + 1) // 2) if -1 < m < 1 << 32]
     variants = F.explode(F.array(*[F.lit(m if m < 1 << 31 else m - (1 << 32)).cast("int") for m in small]))
-    balls = ends.select("part", "value", F.struct("value", "low", "high").alias("of"), variants.alias("mask")).groupBy("part", F.col("value").bitwiseXOR(F.col("mask")).alias("variant")).agg(F.collect_list("of").alias("met")).where(F.size("met") > 1)
-    crossed = balls.select(F.explode("met").alias("x"), "met").select("x", F.explode("met").alias("y"))
-    near = crossed.where((F.col("x.value") < F.col("y.value")) & (F.bit_count(F.col("x.value").bitwiseXOR(F.col("y.value"))) <= s.radius))
-    other = near.select(F.col("x.low").alias("key"), F.explode(F.array("y.low", "y.high")).alias("other")).union(near.select(F.col("x.high"), F.explode(F.array("y.low", "y.high"))))
+    # only the parts travel through the balls, each distinct one once; whose they are is joined to the few that meet
+    parts = ends.select("part", "value")
+    balls = parts.withColumn("mask", variants).groupBy("part", F.col("value").bitwiseXOR(F.col("mask")).alias("variant")).agg(F.collect_list("value").alias("met")).where(F.size("met") > 1)
+    crossed = balls.select("part", F.explode("met").alias("x"), "met").select("part", "x", F.explode("met").alias("y"))
+    near = crossed.where((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= s.radius)).distinct()
+    of = lambda side: ends.select("part", F.col("value").alias(side), F.array_distinct(F.array("low", "high")).alias(f"of_{side}"))
+    met = near.join(of("x"), ["part", "x"]).join(of("y"), ["part", "y"])
+    other = met.select(F.explode("of_x").alias("key"), "of_y").select("key", F.explode("of_y").alias("other"))
     pairs = same.union(other).where(F.col("key") != F.col("other"))
     return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
@@ -241,5 +245,7 @@ def one_of_each(docs: DataFrame, s: Sketches = Sketches()) -> DataFrame:
     groups = near_groups(docs, s)
     stay = groups.groupBy("group").agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("of")).select(F.col("of.doc_id").alias("_id"), F.col("of.key").alias("_key"))
     keyed = docs.withColumn("_key", F.xxhash64(text_column(docs))).withColumn("_id", F.col("doc_id"))
-    kept = keyed.join(stay, keyed["_key"].eqNullSafe(stay["_key"]) & keyed["_id"].eqNullSafe(stay["_id"]), "left_semi")
+    # the key alone deals out the rows, so that dropping repeated rows needs no second shuffle of the texts
+    same_id = (keyed["_id"] == stay["_id"]) | (keyed["_id"].isNull() & stay["_id"].isNull())
+    kept = keyed.join(stay, (keyed["_key"] == stay["_key"]) & same_id, "left_semi")
     return kept.dropDuplicates(["_key"]).select(*docs.columns)
