@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, short_batches, text_column
+from corpusloom.llm.common import cut, release, short_batches, text_column
 
 
 def fingerprint(text: str, width: int) -> int:
@@ -207,6 +207,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, s: Sketche
     both = pairs.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b")
     apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     measured = cut(both.select("a", "b", apart.alias("apart")).where(F.col("apart") < s.never))
+    release(measured.sparkSession)
     unsure = measured.where(F.col("apart") > s.surely).select("a", "b")
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
