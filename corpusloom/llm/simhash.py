@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut, release, short_batches, text_column
@@ -112,24 +112,28 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
 
 @dataclass(frozen=True)
 class Sketches:
-    """Settings of near_groups. All shingles are taken once for a text.
-
-    Candidates: `parts` fingerprints of 32 bits over `narrow` words, each within
-    `radius` bits. Verification: a fingerprint of `bits` bits over `wide` words;
-    a pair is near up to `surely` differing bits, not near from `never` on, and
-    in between if the shingles' Jaccard similarity is at least `similarity`.
-    With 512 bits and similarity 0.8 a pair at the bound differs in 78 bits,
-    give or take 8.
+    """Settings of near_groups.
+
+    Candidates share one of their rarest shingles of `wide` words (see
+    sketched). Verification: a fingerprint of `bits` bits over the same
+    shingles; a pair is near up to `surely` differing bits, not near from
+    `never` on, and in between if the shingles' Jaccard similarity is at least
+    `similarity`. With 512 bits and similarity 0.8 a pair at the bound differs
+    in 78 bits, give or take 8; with fewer than `small` shingles bits differ
+    more, and `never_small` stands for `never`. How frequent a shingle is, is
+    told from one text in `sampled`, for `frequent` shingles at most: this
+    orders the shingles and decides the work, not what is found.
     """
 
-    parts: int = 8
-    narrow: int = 2
-    radius: int = 2
     bits: int = 512
     wide: int = 5
     surely: int = 52
     never: int = 104
+    small: int = 100
+    never_small: int = 160
     similarity: float = 0.8
+    sampled: int = 16
+    frequent: int = 1_000_000
 
 
 def shingle_hashes(text: str, width: int):
@@ -161,52 +165,94 @@ def wide_fingerprint(hashes, bits: int) -> bytes:
     return b"".join(out)
 
 
+def frequent_shingles(texts: DataFrame, s: Sketches):
+    """The shingles in three or more of the sampled texts, sorted, and in how many they are: at most s.frequent, the most frequent ones."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_hashes(t, s.wide) for t in b.column(0).to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
+
+    some = texts.where(F.pmod("key", F.lit(s.sampled)) == 0).dropDuplicates(["key"]).select("text")
+    counts = short_batches(some).mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    got = counts.orderBy(F.desc("n"), "shingle").limit(s.frequent).toArrow()
+    shingles, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
 def sketched(texts: DataFrame, s: Sketches) -> DataFrame:
-    """key, parts (array of int) and wide (array of long) of key and text."""
+    """key, n (shingles), rarest (the first of them in the order of all texts) and wide (array of long) of key and text.
+
+    Two sets of a Jaccard similarity of at least t have t of the larger one's
+    elements in common, so the first n - ceil(t n) + 1 of each, in any one
+    order, have an element in common. Rare shingles come first.
+    """
+    known = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        shingles, counts = known.value
         for b in batches:
-            parts, wide = [], []
+            n, rarest, wide = [], [], []
             for t in b.column(1).to_pylist():
-                parts.append(np.frombuffer(wide_fingerprint(shingle_hashes(t, s.narrow), 32 * s.parts), "<i4"))
-                wide.append(np.frombuffer(wide_fingerprint(shingle_hashes(t, s.wide), s.bits), "<i8"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.int32())), pa.array(wide, pa.list_(pa.int64()))], ["key", "parts", "wide"])
+                h = shingle_hashes(t, s.wide)
+                wide.append(np.frombuffer(wide_fingerprint(h, s.bits), "<i8"))
+                n.append(len(h))
+                first = len(h) - int(np.ceil(s.similarity * len(h) - 1e-6)) + 1
+                if len(shingles):
+                    at = np.minimum(np.searchsorted(shingles, h), len(shingles) - 1)
+                    h = h[np.argsort(np.where(shingles[at] == h, counts[at], 0), kind="stable")]
+                rarest.append(h[:first].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(rarest, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], ["key", "n", "rarest", "wide"])
+
+    return short_batches(texts).mapInArrow(run, "key long, n int, rarest array<long>, wide array<long>")
 
-    return short_batches(texts).mapInArrow(run, "key long, parts array<int>, wide array<long>")
 
+def shared_shingles(sketches: DataFrame) -> DataFrame:
+    """shingle, key, i (its place in the order) and n of the rarest shingles that two or more texts have."""
+    each = sketches.select("key", "n", F.posexplode("rarest").alias("i", "shingle"))
+    held = each.withColumn("texts", F.count("*").over(Window.partitionBy("shingle")))
+    return held.where("texts > 1").select("shingle", "key", "i", "n")
 
-def candidates(sketches: DataFrame, s: Sketches) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of keys that are worth verifying.
 
-    Texts with one and the same part are linked to the smallest and the largest
-    key among them; for different parts within the radius, those keys are
-    paired. A variant gathers at most a ball of distinct parts.
+def may_be_near(s: Sketches) -> Column:
+    """Whether two texts (na, ia; nb, ib) can be near if the shingle is the first that they have in common.
+
+    From there on they have at most the shorter rest in common, and similar
+    texts have t / (1 + t) of both sizes. A near pair passes at its first one.
     """
-    each = sketches.select("key", F.posexplode("parts").alias("part", "value"))
-    ends = cut(each.groupBy("part", "value").agg(F.min("key").alias("low"), F.max("key").alias("high")))
-    same = each.join(ends.where(F.col("low") < F.col("high")), ["part", "value"]).select("key", F.explode(F.array("low", "high")).alias("other"))
-    small = [m for m in masks((s.radius + 1) // 2) if -1 < m < 1 << 32]
-    variants = F.explode(F.array(*[F.lit(m if m < 1 << 31 else m - (1 << 32)).cast("int") for m in small]))
-    # only the parts travel through the balls, each distinct one once; whose they are is joined to the few that meet
-    parts = ends.select("part", "value")
-    balls = parts.withColumn("mask", variants).groupBy("part", F.col("value").bitwiseXOR(F.col("mask")).alias("variant")).agg(F.collect_list("value").alias("met")).where(F.size("met") > 1)
-    crossed = balls.select("part", F.explode("met").alias("x"), "met").select("part", "x", F.explode("met").alias("y"))
-    near = crossed.where((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= s.radius)).distinct()
-    of = lambda side: ends.select("part", F.col("value").alias(side), F.array_distinct(F.array("low", "high")).alias(f"of_{side}"))
-    met = near.join(of("x"), ["part", "x"]).join(of("y"), ["part", "y"])
-    other = met.select(F.explode("of_x").alias("key"), "of_y").select("key", F.explode("of_y").alias("other"))
-    pairs = same.union(other).where(F.col("key") != F.col("other"))
-    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    return rest + F.lit(1e-6) >= (F.col("na") + F.col("nb")) * F.lit(s.similarity / (1 + s.similarity))
+
+
+def star(shared: DataFrame, s: Sketches) -> DataFrame:
+    """Distinct pairs (a, b) of each text and the smallest key that has the shingle."""
+    ordered = Window.partitionBy("shingle").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    first = shared.withColumn("p", F.first(F.struct("key", "i", "n")).over(ordered))
+    pairs = first.select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.i").alias("ia"), F.col("p.n").alias("na"), F.col("i").alias("ib"), F.col("n").alias("nb"))
+    return pairs.where((F.col("a") < F.col("b")) & may_be_near(s)).select("a", "b").distinct()
+
+
+def all_pairs(shared: DataFrame, labels: DataFrame, s: Sketches) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of all texts that have a shingle in common and are not in one component yet."""
+    told = shared.join(labels, shared.key == labels.node, "left").select("shingle", "key", "i", "n", F.coalesce("label", "key").alias("of"))
+    whole = Window.partitionBy("shingle")
+    mixed = cut(told.withColumn("low", F.min("of").over(whole)).withColumn("high", F.max("of").over(whole)).where("low < high").drop("low", "high"))
+    both = mixed.toDF("shingle", "a", "ia", "na", "of_a").join(mixed.toDF("shingle", "b", "ib", "nb", "of_b"), "shingle")
+    return both.where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & may_be_near(s)).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, s: Sketches) -> DataFrame:
     """The pairs that are near: by their wide fingerprints or, if these leave it open, by their shingles."""
-    wide = sketches.select("key", "wide")
-    both = pairs.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b")
+    wide = sketches.select("key", "wide", "n")
+    both = pairs.join(wide.toDF("a", "wide_a", "na"), "a").join(wide.toDF("b", "wide_b", "nb"), "b")
     apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    measured = cut(both.select("a", "b", apart.alias("apart")).where(F.col("apart") < s.never))
+    never = F.when(F.least("na", "nb") < s.small, s.never_small).otherwise(s.never)
+    measured = cut(both.select("a", "b", apart.alias("apart"), never.alias("never")).where(F.col("apart") < F.col("never")).drop("never"))
     release(measured.sparkSession)
     unsure = measured.where(F.col("apart") > s.surely).select("a", "b")
 
@@ -230,14 +276,21 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, s: Sketche
 def near_groups(docs: DataFrame, s: Sketches = Sketches()) -> DataFrame:
     """doc_id, key (a hash of the text) and group (the smallest key that near pairs reach) of every row of docs.
 
+    Every two near texts come into one group. A star over each rare shingle puts
+    most of a large family into one component at little cost; then all pairs
+    that share a shingle and are still apart are verified.
+
     Equal texts have one key and so one group. Null texts count as empty; texts
     with fewer words than a shingle are one shingle; other columns are ignored.
     """
     rows = docs.select("doc_id", F.xxhash64(text_column(docs)).alias("key"))
     texts = docs.select(F.xxhash64(text_column(docs)).alias("key"), text_column(docs).alias("text"))
-    sketches = cut(sketched(texts, s).groupBy("key").agg(F.first("parts").alias("parts"), F.first("wide").alias("wide")))
-    pairs = candidates(sketches, s)
-    labels = components(verified(pairs, sketches, texts, s))
+    sketches = cut(sketched(texts, s).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "rarest", "wide")]))
+    shared = cut(shared_shingles(sketches))
+    release(docs.sparkSession)
+    near = cut(verified(star(shared, s), sketches, texts, s))
+    rest = verified(all_pairs(shared, components(near), s), sketches, texts, s)
+    labels = components(near.union(rest))
     return rows.join(labels, rows.key == labels.node, "left").select("doc_id", "key", F.coalesce("label", "key").alias("group"))
 
 

@@ -139,3 +139,28 @@ def test_near_groups(spark):
     assert groups[1] == groups[2] == groups[3] != groups[4]
     assert groups[5] == groups[6]
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [1, 4, 5]
+
+
+def similarity(x, y):
+    p, q = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x, y))
+    return len(p & q) / len(p | q)
+
+
+def grouped(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id: r.group for r in simhash.near_groups(df).collect()}
+
+
+def test_near_pairs_in_a_large_template_family(spark):
+    rnd = random.Random(4)
+    some = lambda n: [f"w{rnd.randint(0, 50_000)}" for _ in range(n)]
+    template, texts = some(300), []
+    for _ in range(150):
+        own = some(100)
+        texts += [own[:50] + template + own[50:], own[:50] + template + own[50:80] + some(20)]
+    groups = grouped(spark, texts)
+    for i in range(0, len(texts), 2):
+        assert similarity(texts[i], texts[i + 1]) >= 0.8
+        assert groups[i] == groups[i + 1]
+    assert similarity(texts[0], texts[2]) < 0.7
+    assert len(set(groups.values())) == 150
