@@ -164,3 +164,20 @@ def test_near_pairs_in_a_large_template_family(spark):
         assert groups[i] == groups[i + 1]
     assert similarity(texts[0], texts[2]) < 0.7
     assert len(set(groups.values())) == 150
+
+
+@pytest.mark.parametrize("words", [30, 120, 400])
+def test_near_pairs_edited_in_one_block(spark, words):
+    rnd = random.Random(words)
+    some = lambda n: [f"w{int(rnd.paretovariate(0.7))}" for _ in range(n)]
+    texts, asked = [], []
+    for k in range(120):
+        base = some(words)
+        n = round(words * rnd.uniform(0.03, 0.2))
+        at = rnd.randint(0, words - n)
+        texts += [base, (base + some(n), base[: words - n], base[:at] + some(n) + base[at + n :])[k % 3]]
+        if similarity(*texts[-2:]) >= 0.8:
+            asked.append(len(texts) - 2)
+    groups = grouped(spark, texts)
+    assert len(asked) > 60
+    assert [i for i in asked if groups[i] != groups[i + 1]] == []
