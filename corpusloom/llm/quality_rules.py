@@ -22,14 +22,16 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is common if over `share` of a host's distinct texts and over `least_docs` of them hold it.
+    """A line is common if over `least_docs` distinct texts of a host hold it, however many it has.
 
+    In small hosts over `share` of the texts are enough, if they are over `few_docs`.
     A document is depleted if fewer than `least_words` words stay, or if over
     `most_removed` of its words are in common lines.
     """
 
     share: float = 0.05
     least_docs: int = 25
+    few_docs: int = 5
     least_words: int = 10
     most_removed: float = 0.8
 
@@ -103,8 +105,8 @@ def lines_of(rows: DataFrame) -> DataFrame:
 def common_lines(rows: DataFrame, lines: DataFrame, limits: Limits) -> DataFrame:
     """host and line of the lines that too many distinct texts of the host hold."""
     hosts = rows.groupBy("host").agg(F.count_distinct("text_key").alias("host_texts"))
-    held = lines.groupBy("host", "line").agg(F.count_distinct("text_key").alias("texts")).where(F.col("texts") > limits.least_docs)
-    return held.join(hosts, "host").where(F.col("texts") > limits.share * F.col("host_texts")).select("host", "line")
+    held = lines.groupBy("host", "line").agg(F.count_distinct("text_key").alias("texts")).where(F.col("texts") > min(limits.few_docs, limits.least_docs))
+    return held.join(hosts, "host").where((F.col("texts") > limits.least_docs) | (F.col("texts") > limits.share * F.col("host_texts"))).select("host", "line")
 
 
 def removed_words(rows: DataFrame, limits: Limits) -> DataFrame:

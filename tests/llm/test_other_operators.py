@@ -104,6 +104,17 @@ def test_common_lines(spark):
     assert quality_rules.verdicts(df.where("false")).count() == 0
 
 
+def test_common_lines_of_small_and_large_hosts(spark):
+    body = lambda i: " ".join(f"word{i}x{k}" for k in range(30))
+    notice = "Read more in our newsletter every day"
+    hosts = {"small": (8, 20), "rare": (5, 20), "large": (30, 1500), "seldom": (20, 1500)}  # texts with the line, texts
+    rows = [(f"{h} {i}", body(i) + ("\n" + notice if i < held else ""), h) for h, (held, n) in hosts.items() for i in range(n)]
+    rows += [(f"same {i}", body(0) + "\n" + notice, "copies") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = quality_rules.verdicts(df).where("removed_words > 0").collect()
+    assert Counter(r.doc_id.split()[0] for r in got) == {"small": 8, "large": 30}
+
+
 def test_topk(spark):
     rnd = random.Random(4)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(12)]) for i in range(300)]
