@@ -2,8 +2,8 @@
 
 A document goes where the sum, over all residual gaps, of the squared counts of
 open sequences with that gap becomes smallest; a perfect fit closes a sequence.
-Documents come longest first. Sequences that are still open at the end are
-taken apart and their documents packed once more, best fit first.
+Documents come longest first, and a new sequence is opened only for one that no
+open sequence takes.
 
 Only lengths matter to the choice, so texts never travel: documents become
 pieces where they are read, and the pieces (a few numbers each) are dealt into
@@ -57,81 +57,43 @@ def pieces(docs: DataFrame, tokenizer_path: str, plan: Plan) -> DataFrame:
 
 
 def sum_of_squares(lengths, capacity: int):
-    """The sequence (from 0) of each length, in the order given, and the sequences' gaps."""
+    """The sequence (from 0) of each length, in the order given, and how many sequences there are.
+
+    Of the open sequences that take a piece, one whose gap makes the squared
+    counts smallest gets it; a new sequence is opened only if none takes it.
+    """
     import numpy as np
 
     counts = np.zeros(capacity + 1, np.int64)  # open sequences by gap
     where: list[list[int]] = [[] for _ in range(capacity + 1)]
-    gaps: list[int] = []
-    out = np.empty(len(lengths), np.int64)
+    out, used = np.empty(len(lengths), np.int64), 0
     for i, size in enumerate(lengths.tolist()):
-        gap, low = 0, 2 * counts[capacity - size] + 1 if size < capacity else 0
-        if counts[size]:
-            gap, low = (size, 1 - 2 * counts[size]) if 1 - 2 * counts[size] <= low else (gap, low)
-        if size < capacity:
-            # from gap g to g - size: (n[g] - 1)^2 + (n[g - size] + 1)^2 - n[g]^2 - n[g - size]^2
-            change = np.where(counts[size + 1 : capacity] > 0, 2 * (counts[1 : capacity - size] - counts[size + 1 : capacity] + 1), 1 << 40)
-            if len(change):
-                g = int(change.argmin())
-                if change[g] <= low:
-                    gap = g + size + 1
-        if gap:
+        there = counts[size:capacity]  # gaps from size on
+        if there.any():
+            # gap g becomes g - size: (n[g] - 1)^2 + (n[g - size] + 1)^2 - n[g]^2 - n[g - size]^2
+            change = 2 * (counts[: capacity - size] - there + 1)
+            change[0] = 1 - 2 * there[0]  # a full sequence has no gap to count
+            change[there == 0] = 1 << 40
+            gap = size + int(change.argmin())
             bin_ = where[gap].pop()
             counts[gap] -= 1
         else:
-            bin_, gap = len(gaps), capacity
-            gaps.append(capacity)
-        rest = gap - size
-        gaps[bin_] = rest
-        out[i] = bin_
-        if rest:
-            where[rest].append(bin_)
-            counts[rest] += 1
-    return out, np.array(gaps, np.int64)
-
-
-def best_fit(lengths, capacity: int):
-    """The sequence of each length, longest first, each into the smallest gap that takes it."""
-    import bisect
-
-    import numpy as np
-
-    out, open_gaps, used = np.empty(len(lengths), np.int64), [], 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        size = int(lengths[i])
-        at = bisect.bisect_left(open_gaps, (size, -1))
-        if at < len(open_gaps):
-            gap, bin_ = open_gaps.pop(at)
-        else:
-            gap, bin_, used = capacity, used, used + 1
+            bin_, gap, used = used, capacity, used + 1
         out[i] = bin_
         if gap > size:
-            bisect.insort(open_gaps, (gap - size, bin_))
+            where[gap - size].append(bin_)
+            counts[gap - size] += 1
     return out, used
 
 
 def packed(lengths, capacity: int):
-    """The sequence of each length, and how many sequences there are."""
+    """The sequence of each length, longest first, and how many sequences there are."""
     import numpy as np
 
     order = np.argsort(-lengths, kind="stable")
     bins = np.empty(len(lengths), np.int64)
-    found, gaps = sum_of_squares(lengths[order], capacity)
-    bins[order] = found
-    best, n = bins, len(gaps)
-    # sequences left open are taken apart and packed best fit: those with much room, or all that are not full
-    for room in (capacity // 64, capacity // 256, 0):
-        loose = gaps[bins] > room
-        if loose.any():
-            kept = np.unique(bins[~loose])
-            names = np.full(len(gaps), -1)
-            names[kept] = np.arange(len(kept))
-            again, more = best_fit(lengths[loose], capacity)
-            if len(kept) + more < n:
-                best, n = np.empty_like(bins), len(kept) + more
-                best[~loose] = names[bins[~loose]]
-                best[loose] = len(kept) + again
-    return best, n
+    bins[order], n = sum_of_squares(lengths[order], capacity)
+    return bins, n
 
 
 def pack(docs: DataFrame, tokenizer_path: str, plan: Plan = Plan()) -> DataFrame:
@@ -149,8 +111,7 @@ def pack(docs: DataFrame, tokenizer_path: str, plan: Plan = Plan()) -> DataFrame
     def run(group: pa.Table) -> pa.Table:
         import numpy as np
 
-        order = np.lexsort(tuple(group.column(c).fill_null(-1).to_numpy() for c in ("ids_crc32", "start", "doc_id")))  # the same at every attempt
-        group = group.take(pa.array(order))
+        group = group.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32")])  # the same at every attempt
         lengths = group.column("length").to_numpy()
         bins, _ = packed(lengths, plan.capacity)
         offsets = np.empty(len(bins), np.int64)

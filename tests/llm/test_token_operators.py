@@ -101,6 +101,51 @@ def test_packing(spark, word):
     assert packing.pack(documents(spark).where("false"), tokenizer("word_bpe_49k.json"), plan).count() == 0
 
 
+def first_fit(lengths, capacity):
+    gaps = []
+    for size in lengths:
+        at = next((i for i, g in enumerate(gaps) if g >= size), None)
+        if at is None:
+            gaps.append(capacity - size)
+        else:
+            gaps[at] -= size
+    return len(gaps)
+
+
+def test_places_by_sum_of_squares():
+    """Each piece goes where a plain count of all squares is smallest."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    lengths = rnd.integers(1, 40, 300)
+    got, used = packing.sum_of_squares(lengths, 40)
+    gaps = []
+    for size, bin_ in zip(lengths.tolist(), got.tolist(), strict=True):
+        squares = {}
+        for g in {g for g in gaps if g >= size}:
+            after = [*gaps, g - size]
+            after.remove(g)
+            squares[g] = sum(after.count(x) ** 2 for x in set(after) if x)
+        if bin_ == len(gaps):
+            assert not squares
+            gaps.append(40 - size)
+        else:
+            assert squares[gaps[bin_]] == min(squares.values())
+            gaps[bin_] -= size
+    assert used == len(gaps)
+
+
+def test_packing_reaches_the_bound(spark):
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), tokenizer("word_bpe_49k.json")).collect()
+    used, bound = len({r.sequence_id for r in rows}), -(-sum(r.length for r in rows) // 2048)
+    assert used <= bound + 1
+
+
+def test_packing_of_text_ids(spark):
+    df = spark.createDataFrame([("b", "one", 1), (None, "two", 2), ("a", None, 3), ("b", "one", 1)], "doc_id string, text string, deal int")
+    assert sorted((r.doc_id or "", r.length > 0) for r in packing.pack(df, tokenizer("word_bpe_49k.json")).collect()) == [("", True), ("a", True), ("b", True), ("b", True)]
+
+
 def test_packing_is_tight():
     import numpy as np
 
@@ -109,4 +154,4 @@ def test_packing_is_tight():
         bins, n = packing.packed(lengths, 2048)
         assert np.bincount(bins, weights=lengths).max() <= 2048
         assert len(np.unique(bins)) == n
-        assert n <= (loss * -(-lengths.sum() // 2048) if loss else 1.03 * packing.best_fit(lengths, 2048)[1])
+        assert n <= (loss * -(-lengths.sum() // 2048) if loss else 1.03 * first_fit(sorted(lengths.tolist(), reverse=True), 2048))
