@@ -126,11 +126,30 @@ def test_topk(spark):
         if i % 50 == 0:
             others = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for m, (j, v) in enumerate(exact) if m != n and len(v) == len(q))
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(others[:5])]
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, topk.Blocks(queries=3, candidates=70, dimensions=3))
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, topk.Blocks(queries=3, candidates=70, dimensions=3, seeds=40))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert topk.top_k(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_bounds_drop_candidates():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    vectors = rnd.normal(size=(4000, 64))
+    vectors = np.floor(256 * vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.int64)
+    vertical, mass = np.ascontiguousarray(vectors.T), (vectors.astype(float) ** 2).sum(axis=1)
+    floor = topk.floors(vectors[:20], np.arange(20), vectors[:1000], np.arange(1000), 5)
+    shares = []
+    for i in range(20):
+        shares.append([])
+        at, score = topk.best(vectors[i], vertical, mass, 6, 8, floor[i], shares[-1])
+        want = np.sort(vectors @ vectors[i])[::-1][:6]
+        assert sorted(score.tolist(), reverse=True)[:6] == want.tolist()
+    alive = np.mean(shares, axis=0).round(3)
+    print("alive by block of 8 of 64 dimensions:", alive.tolist())
+    assert alive[3] < 0.3
+
+
 def test_language(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
