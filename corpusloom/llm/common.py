@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts may be long, so batches stay short.
 BATCH_ROWS = 512
+#: How columns of our own begin that stand beside columns of any name.
+OWN = "corpusloom 3f9c1e "
 #: The folder that holds the package.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -34,8 +36,8 @@ def short_batches(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is missing (tests, a single machine) a temporary
-    folder is made.
+    Where it names none, a local master uses a temporary folder; on a cluster,
+    whose executors would not see that, it is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -43,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     own = tempfile.mkdtemp(prefix="corpusloom-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -61,10 +65,10 @@ def release(spark: SparkSession) -> None:
     cut in the lineage of a large result that is worth doing at once.
     """
     spark.range(1).count()  # the last job's references go when another one comes
-    for _ in range(3):  # the first rounds end what holds the references; removal itself goes on in the background
+    for _ in range(2):  # the first round ends what holds the references; removal itself goes on in the background
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+        time.sleep(0.3)
 
 
 def stage(df: DataFrame) -> DataFrame:

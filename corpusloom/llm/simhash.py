@@ -15,10 +15,10 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, release, short_batches, text_column
+from corpusloom.llm.common import OWN, cut, release, short_batches, text_column
 
 
 def fingerprint(text: str, width: int) -> int:
@@ -112,57 +112,80 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
 
 @dataclass(frozen=True)
 class Sketches:
-    """Settings of near_groups.
-
-    Candidates share one of their rarest shingles of `wide` words (see
-    sketched). Verification: a fingerprint of `bits` bits over the same
-    shingles; a pair is near up to `surely` differing bits, not near from
-    `never` on, and in between if the shingles' Jaccard similarity is at least
-    `similarity`. With 512 bits and similarity 0.8 a pair at the bound differs
-    in 78 bits, give or take 8; with fewer than `small` shingles bits differ
-    more, and `never_small` stands for `never`. How frequent a shingle is, is
-    told from one text in `sampled`, for `frequent` shingles at most: this
-    orders the shingles and decides the work, not what is found.
+    """Settings of near_groups: words of a shingle, least similarity, and how the search goes about it.
+
+    What is found does not depend on the rest: radius is that of the SimHash
+    balls, rounds the number of stars that are tried before all pairs; how
+    frequent a shingle is, is told from one text in `sampled`, for `frequent`
+    shingles at most, which orders the shingles and decides the work.
     """
 
-    bits: int = 512
     wide: int = 5
-    surely: int = 52
-    never: int = 104
-    small: int = 100
-    never_small: int = 160
     similarity: float = 0.8
-    sampled: int = 16
+    radius: int = 2
+    rounds: int = 2
+    sampled: int = 8
     frequent: int = 1_000_000
 
 
-def shingle_hashes(text: str, width: int):
-    """The distinct hashes of a text's shingles, sorted."""
+#: 64-bit words of the parity bits.
+PARITY_WORDS = 8
+PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
+
+
+class WordHashes(dict):
+    """The hash of each word; forgets all when it has learnt many."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= 100_000:
+            self.clear()
+        found = xxh64_intdigest(word, 42)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
+def stirred(h):
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_hashes(text: str, width: int, known: WordHashes):
+    """The distinct hashes of a text's shingles, sorted; a shorter text is one shingle."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    n, joined = len(words), b" ".join(words)
-    if n <= width:
-        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = [0, *(ends[: n - width] + 1).tolist()]
-    return np.unique(np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64))
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - width + 1)
+    h = np.full(n, len(words) if len(words) < width else width, np.uint64)
+    for k in range(min(width, len(words))):
+        h = stirred(h * np.uint64(0x9E3779B97F4A7C15) + each[k : k + n])
+    return np.unique(h)
 
 
-def wide_fingerprint(hashes, bits: int) -> bytes:
-    """A fingerprint of more bits: each hash is stirred anew for every 64 of them."""
+def majority(hashes) -> int:
+    """The 64-bit SimHash fingerprint of distinct shingles, as a signed number."""
     import numpy as np
 
-    out = []
-    for word in range(bits // 64):
-        h = hashes + np.uint64(word + 1) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(h), bitorder="little").tobytes())
-    return b"".join(out)
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def parity(hashes):
+    """512 bits, each telling whether an odd number of the hashes fall on it, as signed 64-bit words.
+
+    A shingle that only one of two texts has changes one bit, so the bits of two
+    texts differ in no more places than their shingles do.
+    """
+    import numpy as np
+
+    place = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 9)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=64 * PARITY_WORDS) & 1, bitorder="little").view("<i8")
 
 
 def frequent_shingles(texts: DataFrame, s: Sketches):
@@ -170,8 +193,9 @@ def frequent_shingles(texts: DataFrame, s: Sketches):
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for b in batches:
-            found = [shingle_hashes(t, s.wide) for t in b.column(0).to_pylist()]
+            found = [shingle_hashes(t.as_py(), s.wide, known) for t in b.column(0)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
 
@@ -184,7 +208,7 @@ def frequent_shingles(texts: DataFrame, s: Sketches):
 
 
 def sketched(texts: DataFrame, s: Sketches) -> DataFrame:
-    """key, n (shingles), rarest (the first of them in the order of all texts) and wide (array of long) of key and text.
+    """key, n (shingles), rarest (the first of them in the order of all texts), fp (SimHash) and the parity words of key and text.
 
     Two sets of a Jaccard similarity of at least t have t of the larger one's
     elements in common, so the first n - ceil(t n) + 1 of each, in any one
@@ -196,27 +220,31 @@ def sketched(texts: DataFrame, s: Sketches) -> DataFrame:
         import numpy as np
 
         shingles, counts = known.value
+        words = WordHashes()
         for b in batches:
-            n, rarest, wide = [], [], []
-            for t in b.column(1).to_pylist():
-                h = shingle_hashes(t, s.wide)
-                wide.append(np.frombuffer(wide_fingerprint(h, s.bits), "<i8"))
+            n, rarest, fp, bits = [], [], [], []
+            for t in b.column(1):
+                h = shingle_hashes(t.as_py(), s.wide, words)
                 n.append(len(h))
+                fp.append(majority(h))
+                bits.append(parity(h))
                 first = len(h) - int(np.ceil(s.similarity * len(h) - 1e-6)) + 1
                 if len(shingles):
                     at = np.minimum(np.searchsorted(shingles, h), len(shingles) - 1)
                     h = h[np.argsort(np.where(shingles[at] == h, counts[at], 0), kind="stable")]
                 rarest.append(h[:first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(rarest, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], ["key", "n", "rarest", "wide"])
+            words_of_bits = np.array(bits, np.int64).reshape(-1, PARITY_WORDS)
+            columns = [b.column(0), pa.array(n, pa.int32()), pa.array(rarest, pa.list_(pa.int64())), pa.array(fp, pa.int64()), *(pa.array(np.ascontiguousarray(words_of_bits[:, i])) for i in range(PARITY_WORDS))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "rarest", "fp", *PARITY])
 
-    return short_batches(texts).mapInArrow(run, "key long, n int, rarest array<long>, wide array<long>")
+    return short_batches(texts).mapInArrow(run, "key long, n int, rarest array<long>, fp long, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def shared_shingles(sketches: DataFrame) -> DataFrame:
     """shingle, key, i (its place in the order) and n of the rarest shingles that two or more texts have."""
     each = sketches.select("key", "n", F.posexplode("rarest").alias("i", "shingle"))
-    held = each.withColumn("texts", F.count("*").over(Window.partitionBy("shingle")))
-    return held.where("texts > 1").select("shingle", "key", "i", "n")
+    held = sketches.select(F.explode("rarest").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1")
+    return each.join(held, "shingle", "left_semi").select("shingle", "key", "i", "n")
 
 
 def may_be_near(s: Sketches) -> Column:
@@ -229,77 +257,118 @@ def may_be_near(s: Sketches) -> Column:
     return rest + F.lit(1e-6) >= (F.col("na") + F.col("nb")) * F.lit(s.similarity / (1 + s.similarity))
 
 
-def star(shared: DataFrame, s: Sketches) -> DataFrame:
-    """Distinct pairs (a, b) of each text and the smallest key that has the shingle."""
-    ordered = Window.partitionBy("shingle").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    first = shared.withColumn("p", F.first(F.struct("key", "i", "n")).over(ordered))
-    pairs = first.select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.i").alias("ia"), F.col("p.n").alias("na"), F.col("i").alias("ib"), F.col("n").alias("nb"))
-    return pairs.where((F.col("a") < F.col("b")) & may_be_near(s)).select("a", "b").distinct()
+def few_apart(s: Sketches) -> Column:
+    """Whether the parity bits of two texts (na, nb) differ in no more places than near texts' shingles do."""
+    apart = None
+    for p in PARITY:
+        here = F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b")))
+        apart = here if apart is None else apart + here
+    return apart <= (F.col("na") + F.col("nb")) * F.lit((1 - s.similarity) / (1 + s.similarity)) + F.lit(1e-6)
+
 
+def bits_of(sketches: DataFrame, side: str) -> DataFrame:
+    return sketches.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), *[F.col(p).alias(f"{p}_{side}") for p in PARITY])
 
-def all_pairs(shared: DataFrame, labels: DataFrame, s: Sketches) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of all texts that have a shingle in common and are not in one component yet."""
-    told = shared.join(labels, shared.key == labels.node, "left").select("shingle", "key", "i", "n", F.coalesce("label", "key").alias("of"))
-    whole = Window.partitionBy("shingle")
-    mixed = cut(told.withColumn("low", F.min("of").over(whole)).withColumn("high", F.max("of").over(whole)).where("low < high").drop("low", "high"))
-    both = mixed.toDF("shingle", "a", "ia", "na", "of_a").join(mixed.toDF("shingle", "b", "ib", "nb", "of_b"), "shingle")
-    return both.where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & may_be_near(s)).select("a", "b").distinct()
+
+def ball_pairs(sketches: DataFrame, s: Sketches) -> DataFrame:
+    """Pairs (a, b) of texts whose SimHash fingerprints are equal or linked through balls: each fingerprint's smallest key stands for it."""
+    distinct = cut(sketches.groupBy("fp").agg(F.min("key").alias("first")))
+    own = sketches.join(distinct, "fp").where(F.col("key") != F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b"))
+    linked = links(distinct, s.radius)
+    firsts = distinct.select("fp", "first")
+    across = linked.join(firsts.toDF("a", "first_a"), "a").join(firsts.toDF("b", "first_b"), "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return own.union(across)
+
+
+def star(shared: DataFrame, labels: DataFrame | None, turn: int, s: Sketches) -> DataFrame:
+    """Distinct pairs (a, b) of each text and one text that has the shingle, where they are not in one component yet.
+
+    Which text it is changes with the shingle and the turn.
+    """
+    of = F.col("key") if labels is None else F.coalesce("label", "key")
+    told = (shared if labels is None else shared.join(labels, shared.key == labels.node, "left")).select("shingle", "key", "i", "n", of.alias("of"))
+    centre = told.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("shingle", "key", F.lit(turn)).alias("h"), "key", "i", "n", "of")).alias("c"))
+    both = told.join(centre, "shingle").where((F.col("of") != F.col("c.of")) & (F.col("key") != F.col("c.key")))
+    pairs = both.select("key", F.col("c.key").alias("other"), F.col("i").alias("ia"), F.col("n").alias("na"), F.col("c.i").alias("ib"), F.col("c.n").alias("nb")).where(may_be_near(s))
+    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
+def all_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, s: Sketches) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of all texts that have a shingle in common, may be near by both bounds and are not in one component yet."""
+    told = cut(shared.join(labels, shared.key == labels.node, "left").select("shingle", "key", "i", "n", F.coalesce("label", "key").alias("of")))
+    several = told.groupBy("shingle").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("shingle")
+    mixed = cut(told.join(several, "shingle", "left_semi").join(sketches.select("key", *PARITY), "key"))
+    a, b = (mixed.select("shingle", F.col("key").alias(x), F.col("i").alias(f"i{x}"), F.col("n").alias(f"n{x}"), F.col("of").alias(f"of_{x}"), *[F.col(p).alias(f"{p}_{x}") for p in PARITY]) for x in "ab")
+    met = a.join(b, (a.shingle == b.shingle) & (a.a < b.b) & (a.of_a != b.of_b) & may_be_near(s) & few_apart(s))
+    return met.select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, s: Sketches) -> DataFrame:
-    """The pairs that are near: by their wide fingerprints or, if these leave it open, by their shingles."""
-    wide = sketches.select("key", "wide", "n")
-    both = pairs.join(wide.toDF("a", "wide_a", "na"), "a").join(wide.toDF("b", "wide_b", "nb"), "b")
-    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    never = F.when(F.least("na", "nb") < s.small, s.never_small).otherwise(s.never)
-    measured = cut(both.select("a", "b", apart.alias("apart"), never.alias("never")).where(F.col("apart") < F.col("never")).drop("never"))
-    release(measured.sparkSession)
-    unsure = measured.where(F.col("apart") > s.surely).select("a", "b")
+    """The pairs that are near: the parity bits turn down most others, the shingles of both texts decide."""
+    left = cut(pairs.join(bits_of(sketches, "a"), "a").join(bits_of(sketches, "b"), "b").where(few_apart(s)).select("a", "b").distinct())
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        known = WordHashes()
         for b in batches:
             near = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = shingle_hashes(x, s.wide), shingle_hashes(y, s.wide)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = shingle_hashes(x.as_py(), s.wide, known), shingle_hashes(y.as_py(), s.wide, known)
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                near.append(common >= s.similarity * (len(p) + len(q) - common))
+                near.append(common + 1e-9 >= s.similarity * (len(p) + len(q) - common))
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    asked = unsure.select("a").union(unsure.select("b")).distinct().toDF("key")
+    asked = left.select("a").union(left.select("b")).distinct().toDF("key")
     needed = texts.join(asked, "key", "left_semi").dropDuplicates(["key"])
-    told = unsure.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return measured.where(F.col("apart") <= s.surely).select("a", "b").union(short_batches(told).mapInArrow(jaccard, "a long, b long"))
+    told = left.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    near = cut(short_batches(told).mapInArrow(jaccard, "a long, b long"))
+    release(near.sparkSession)
+    return near
+
+
+def text_key(docs: DataFrame) -> Column:
+    return F.xxhash64(text_column(docs))
 
 
 def near_groups(docs: DataFrame, s: Sketches = Sketches()) -> DataFrame:
     """doc_id, key (a hash of the text) and group (the smallest key that near pairs reach) of every row of docs.
 
-    Every two near texts come into one group. A star over each rare shingle puts
-    most of a large family into one component at little cost; then all pairs
-    that share a shingle and are still apart are verified.
+    Every two near texts come into one group. Most are linked through SimHash
+    balls and, as similar texts' fingerprints may differ in more bits than a
+    ball holds, through stars over their rarest shingles, each with work in
+    proportion to the texts. What is still apart after these is compared with
+    all that shares a rare shingle, as far as two exact bounds allow.
 
     Equal texts have one key and so one group. Null texts count as empty; texts
-    with fewer words than a shingle are one shingle; other columns are ignored.
+    with fewer words than a shingle are one shingle; very long ones are read
+    whole; other columns are ignored. No rows give no rows.
     """
-    rows = docs.select("doc_id", F.xxhash64(text_column(docs)).alias("key"))
-    texts = docs.select(F.xxhash64(text_column(docs)).alias("key"), text_column(docs).alias("text"))
-    sketches = cut(sketched(texts, s).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "rarest", "wide")]))
+    rows = docs.select("doc_id", text_key(docs).alias("key"))
+    texts = docs.select(text_key(docs).alias("key"), text_column(docs).alias("text"))
+    sketches = cut(sketched(texts, s).dropDuplicates(["key"]))
     shared = cut(shared_shingles(sketches))
     release(docs.sparkSession)
-    near = cut(verified(star(shared, s), sketches, texts, s))
-    rest = verified(all_pairs(shared, components(near), s), sketches, texts, s)
+    near = verified(ball_pairs(sketches, s).union(star(shared, None, 0, s)), sketches, texts, s)
+    labels = components(near)
+    for turn in range(1, s.rounds):
+        near = near.union(verified(star(shared, labels, turn, s), sketches, texts, s))
+        labels = components(near)
+    rest = verified(all_pairs(shared, labels, sketches, s), sketches, texts, s)
     labels = components(near.union(rest))
     return rows.join(labels, rows.key == labels.node, "left").select("doc_id", "key", F.coalesce("label", "key").alias("group"))
 
 
 def one_of_each(docs: DataFrame, s: Sketches = Sketches()) -> DataFrame:
-    """The rows of docs, all columns, of which no nearer one stays: of each group the row with the smallest id."""
+    """The rows of docs, all columns, of which no nearer one stays: of each group the row with the smallest id.
+
+    Of rows that repeat an id and text one stays; a null id comes last.
+    """
+    id_, key = f"{OWN}id", f"{OWN}key"
     groups = near_groups(docs, s)
-    stay = groups.groupBy("group").agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("of")).select(F.col("of.doc_id").alias("_id"), F.col("of.key").alias("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(text_column(docs))).withColumn("_id", F.col("doc_id"))
+    stay = groups.groupBy("group").agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("of")).select(F.col("of.doc_id").alias(id_), F.col("of.key").alias(key))
+    keyed = docs.withColumns({key: text_key(docs), id_: F.col("doc_id")})
     # the key alone deals out the rows, so that dropping repeated rows needs no second shuffle of the texts
-    same_id = (keyed["_id"] == stay["_id"]) | (keyed["_id"].isNull() & stay["_id"].isNull())
-    kept = keyed.join(stay, (keyed["_key"] == stay["_key"]) & same_id, "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    same_id = (keyed[id_] == stay[id_]) | (keyed[id_].isNull() & stay[id_].isNull())
+    kept = keyed.join(stay, (keyed[key] == stay[key]) & same_id, "left_semi")
+    return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
