@@ -12,6 +12,7 @@ they are bounded too and every worker holds them whole.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import short_batches, text_column
 
-#: Words are runs of letters and marks, in lower case.
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Characters of words that are neither letters nor decimal digits: fractions, letter numbers and the like.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTER = rf"[^\W\d_{NUMERALS}]"
+#: Words are runs of letters, in lower case.
+WORD = re.compile(rf"{LETTER}+(?:['’]{LETTER}+)*")
 MEMO_ENTRIES = 150_000
 MEMO_CHARS = 64
 UNKNOWN = "und"
@@ -138,8 +142,8 @@ def learn(labelled: DataFrame, fit: Fit = Fit()) -> Model:
     return Model(list(zip(*(got.column(i).to_pylist() for i in range(4)), strict=True)), fit)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of docs with its columns (text and any others) and lang_pred and score at the end."""
+def predict(docs: DataFrame, model: Model, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Every row of docs with its columns (text and any others) and at the end the language and its share, so named."""
 
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
@@ -149,11 +153,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         own = sent.value
         for b in batches:
             got = [own.predict(t or "") for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, lang_pred, score])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(lang_pred, StringType()), StructField(score, DoubleType())])
     return short_batches(docs).mapInArrow(run, schema)
 
 
@@ -168,8 +172,11 @@ def identify(docs: DataFrame, fit: Fit = Fit()) -> DataFrame:
     docs: doc_id, text and lang; other columns are ignored, whatever their
     names. The model learns from rows that are not held out and have a
     language; lang, source and doc_id are no inputs of a prediction. Texts that
-    are null or without a letter are und with score 0, and so is every text if
-    there is nothing to learn from. Repeated rows stay; no rows give no rows.
+    are null or without a letter (Unicode category L) are und with score 0, and
+    so is every text if there is nothing to learn from. A text of which no word
+    and no character is known gets the first language in order with an even
+    share. Very long texts are read whole; languages with equal scores go by
+    their names. Repeated rows stay; no rows give no rows.
     """
     fold = held_out(F.col("doc_id"), 4, 2)
     model = learn(docs.where(~fold), fit)
