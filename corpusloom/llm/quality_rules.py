@@ -13,11 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_column
+from corpusloom.llm.common import OWN, text_column
 
 SPACES = r"[\x20\x09-\x0D]+"
 A_WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
+#: Names of our own columns beside those of docs.
+LINES, ROW, KEPT = (f"{OWN}{x}" for x in ("lines", "row", "kept"))
 
 
 @dataclass(frozen=True)
@@ -143,12 +145,12 @@ def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     Texts without common lines stay as they are, rows that repeat an id too.
     """
     # the filter stands above an aggregate: pushed into the measures it would work them out again and again
-    kept = judged(with_key(docs), limits).groupBy("row_key").agg(F.first("removed_lines").alias("_lines"), F.bool_or("kept").alias("_kept")).where("_kept").drop("_kept")
+    kept = judged(with_key(docs), limits).groupBy("row_key").agg(F.first("removed_lines").alias(LINES), F.bool_or("kept").alias(KEPT)).where(F.col(KEPT)).drop(KEPT)
     text = text_column(docs)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text), F.length(text), F.coalesce(F.col("source").cast("string"), F.lit("")))
-    out = docs.withColumn("_row", key).join(kept.withColumnRenamed("row_key", "_row"), "_row")
-    stay = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(A_WORD) | ~F.array_contains("_lines", line_key(x))), "\n")
-    whole = F.col("_lines").isNull()
+    out = docs.withColumn(ROW, key).join(kept.withColumnRenamed("row_key", ROW), ROW)
+    stay = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(A_WORD) | ~F.array_contains(LINES, line_key(x))), "\n")
+    whole = F.col(LINES).isNull()
     new = {"text": F.when(whole, F.col("text")).otherwise(stay)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(stay)).cast(docs.schema["n_chars"].dataType)

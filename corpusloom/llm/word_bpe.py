@@ -207,7 +207,7 @@ class WordBpe:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text."""
-        if self.special is not None and any(self.special.search(t) for t in texts if "<|" in t):
+        if self.special is not None and any(map(self.special.search, texts)):
             return [b"".join(struct.pack("<I", self.specials[p]) if p in self.specials else self.plain([p])[0] for p in self.special.split(t)) if self.special.search(t) else self.plain([t])[0] for t in texts]
         return self.plain(texts)
 
