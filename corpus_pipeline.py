@@ -1,8 +1,12 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of documents. run() writes each stage's result to the
-shared folder and goes on from the copy.
+last return the columns of docs, whatever they are called. run() writes each
+stage's result to the shared folder and goes on from the copy.
+
+In every stage a null text counts as empty, texts are read whole however long
+they are, rows that repeat are rows like others (the near-duplicate stage keeps
+one of them) and no rows give no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import language_id, packing, quality_rules, simhash, suffix_dedup
-from corpusloom.llm.common import stage, table
+from corpusloom.llm.common import OWN, stage, table
 from corpusloom.llm.queries import tokenizer
 
 #: A text whose best language has a smaller share than this is rejected.
@@ -21,19 +25,20 @@ PASSAGE_BYTES = 200
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or in no language that the labels know, go; a missing lang is filled in."""
-    told = language_id.predict(docs, language_id.learn(docs))
-    kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Texts without a letter (null and empty ones too), or in no language that the labels know, go; a missing lang is filled in. Ties go to the first language by name."""
+    lang, share = f"{OWN}lang", f"{OWN}share"
+    told = language_id.predict(docs, language_id.learn(docs), lang, share)
+    kept = told.where((F.col(lang) != language_id.UNKNOWN) & (F.col(share) >= LEAST_LANGUAGE_SHARE))
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that fail the base rules or lose too much with their host's common lines go; those lines go too."""
+    """Texts that fail the base rules or lose too much with their host's common lines go; those lines go too. A null source is a host of its own."""
     return quality_rules.cleaned(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near texts (five-word shingles, similarity 0.8) the one with the smallest id stays."""
+    """Of each group of near texts (five-word shingles, similarity 0.8) the one with the smallest id stays; a null id comes last."""
     return simhash.one_of_each(docs)
 
 
@@ -43,7 +48,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids."""
+    """Token sequences of at most 2048 ids; an empty text is one piece of one id."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
