@@ -12,7 +12,6 @@ they are bounded too and every worker holds them whole.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,11 +23,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import short_batches, text_column
 
-#: Characters of words that are neither letters nor decimal digits: fractions, letter numbers and the like.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTER = rf"[^\W\d_{NUMERALS}]"
-#: Words are runs of letters, in lower case.
-WORD = re.compile(rf"{LETTER}+(?:['’]{LETTER}+)*")
+#: Words are runs of letters, in lower case; the numerals among them (fractions, letter numbers) are taken out afterwards.
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 MEMO_ENTRIES = 150_000
 MEMO_CHARS = 64
 UNKNOWN = "und"
@@ -49,6 +45,18 @@ class Fit:
     smooth: float = 0.5
 
 
+def words_of(text: str) -> Counter:
+    """How often each word occurs; a word has a letter (Unicode category L)."""
+    found = Counter(WORD.findall(text.lower()))
+    for word in [w for w in found if not w.isalpha()]:
+        letters = "".join(c for c in word if c.isalpha() or c in "'’").strip("'’")
+        if letters != word:
+            times = found.pop(word)
+            if letters:
+                found[letters] += times
+    return found
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f" {word} "
     return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word)
@@ -86,7 +94,7 @@ class Model:
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language and its share of the probability; und and 0 without a letter."""
-        words = Counter(WORD.findall(text.lower()))
+        words = words_of(text)
         if not words:
             return UNKNOWN, 0.0
         if not self.langs:
@@ -126,7 +134,7 @@ def learn(labelled: DataFrame, fit: Fit = Fit()) -> Model:
         found: Counter = Counter()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.update((lang, w) for w in WORD.findall(text.lower()))
+                found.update({(lang, w): n for w, n in words_of(text).items()})
         counts: Counter = Counter()
         for (lang, word), times in found.items():
             counts[lang, 0, word] += times
