@@ -41,8 +41,8 @@ from corpusloom.llm.common import cut, release, short_batches, text_column
 class Sizes:
     """Entries of a bucket, entries that a task combines at once, bytes of text in a group, and ranges of offsets."""
 
-    bucket_entries: int = 750_000
-    combine_entries: int = 1_000_000
+    bucket_entries: int = 500_000
+    combine_entries: int = 500_000
     group_bytes: int = 8_000_000
     ranges: int = 4
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from corpusloom.llm.common import short_batches, text_column
 
 #: Chunks that a worker remembers before it starts anew, the longest fragment merged in rows, and the rank of no pair.
-MEMO_ENTRIES = 900_000
+MEMO_ENTRIES = 400_000
 SHORT = 32
 NONE = 2**31 - 1
 #: The code points with the Unicode property White_Space.
