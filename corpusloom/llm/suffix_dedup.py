@@ -1,9 +1,9 @@
 """Exact substring deduplication by a distributed difference-cover suffix sort.
 
 A string of `length` bytes is removed wherever it starts more than once. Only
-suffixes at positions of a difference cover modulo v are sorted: for any two
-starts i and j there is one k < v with i + k and j + k both in the cover, so
-two equal strings meet at a sampled position k bytes on. The steps:
+suffixes at positions of a difference cover modulo v are sorted at first: for
+any two starts i and j there is one k < v with i + k and j + k both in the
+cover, so two equal strings meet at a sampled position k bytes on. The steps:
 
 1. Sampled blocks (the `length - v + 1` bytes at a sampled position, which
    every string over that position's offsets contains) are named and sorted.
@@ -13,14 +13,21 @@ two equal strings meet at a sampled position k bytes on. The steps:
    range of strings repeats, all of them do; where the part that the strings of
    a range share is unique, none does; either way the range is settled.
 3. The remaining suffixes, at any position of an unsettled range, are merged
-   with one of each settled class that they may equal: sorted by their first
-   `length` bytes, where adjacent equal ones repeat.
-
-Names are 64-bit hashes; sorting means dealing them to buckets by range and
-sorting each bucket. A task sends a name that it holds several times only once
-(a map-side combine), so a bucket gets at most one entry for a name and task,
-however many copies there are. Texts move once to meet their candidates, then
-only the texts that have any.
+   with one of each settled class that they may equal, and sorted.
+4. Adjacent prefixes are compared: whatever was found to repeat is compared,
+   byte by byte, with its neighbour in the sorted order. Neighbouring starts
+   with neighbouring partners are compared as one stretch.
+
+Names are hashes, so the order is that of the names and not of the alphabet.
+Unequal names tell strings apart for certain; equal ones only route them to
+each other and step 4 decides. If it ever finds a difference, all is done again
+with other names, so the result is exact whatever the hashes do.
+
+Sorting means dealing names to buckets by range and sorting each bucket. A task
+sends a name that it holds several times only once (a map-side combine), so a
+bucket gets at most one entry for a name and task, however many copies there
+are, and each place is compared with one neighbour only. Texts move once to
+meet their candidates, then only the texts that have any.
 """
 
 from __future__ import annotations
@@ -34,17 +41,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, release, short_batches, text_column
+from corpusloom.llm.common import OWN, cut, release, short_batches, text_column
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """Entries of a bucket, entries that a task combines at once, bytes of text in a group, and ranges of offsets."""
+    """Entries of a bucket, entries that a task combines at once, bytes of text in a group, and ranges of offsets.
+
+    name_bits: how many bits of a name count, at each attempt (fewer for tests, which force equal names so).
+    """
 
     bucket_entries: int = 500_000
     combine_entries: int = 500_000
     group_bytes: int = 8_000_000
     ranges: int = 4
+    name_bits: tuple[int, ...] = (64, 64, 64)
+
+
+class Names:
+    """Names of strings, other ones at each attempt."""
+
+    def __init__(self, sizes: Sizes, attempt: int):
+        self.attempt = attempt
+        self.mask = (1 << 64) - (1 << (64 - sizes.name_bits[attempt]))
+
+    def of(self, strings, kind: int = 0):
+        import numpy as np
+        from xxhash import xxh3_64_intdigest
+
+        seed = kind << 8 | self.attempt
+        return np.fromiter((xxh3_64_intdigest(x, seed) for x in strings), np.uint64) & np.uint64(self.mask)
 
 
 @lru_cache(maxsize=8)
@@ -72,7 +98,9 @@ def difference_cover(length: int) -> tuple[int, tuple[int, ...]]:
 
 
 ENTRY = "bucket int, key binary, other binary, uid binary, at binary, flag binary"
-REPLY = "dbucket int, uid binary, at binary, kind binary"
+REPLY = "dbucket int, uid binary, at binary, kind binary, near_uid binary, near_at binary"
+#: Starts in a row that equal as many in another text: the first start, how many, the other text and its first start.
+CLAIM = [("s", "<i4"), ("n", "<i4"), ("u", "<u8"), ("q", "<i4")]
 #: Flags of an entry: it is alone in its task; it stands for several of its name there; it need not be asked about.
 ALONE, SEVERAL, MIXED, SETTLED = 0, 1, 2, 3
 
@@ -118,41 +146,57 @@ def runs(*columns):
     return number, np.bincount(number) if n else np.zeros(0, np.int64)
 
 
+def before(values, firsts):
+    """Each value's predecessor, its own value where a run begins."""
+    import numpy as np
+
+    return np.where(firsts, values, np.r_[values[:1], values[:-1]])
+
+
+def starts_of(number):
+    import numpy as np
+
+    return np.r_[True, number[1:] != number[:-1]] if len(number) else np.zeros(0, bool)
+
+
 def combined(key, uid, at, buckets: int) -> pa.Table:
-    """Entries of one task: names held several times are sent once, their other places as settled."""
+    """Entries of one task: names held several times are sent once, their other places as settled, with their neighbour as key and other."""
     import numpy as np
 
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((at, uid, key))
     key, uid, at = key[order], uid[order], at[order]
     number, size = runs(key)
-    several = size[number] > 1
-    first = np.r_[True, number[1:] != number[:-1]] if len(key) else several
+    several, first = size[number] > 1, starts_of(number)
     flag = np.where(several, np.where(first, SEVERAL, SETTLED), ALONE).astype(np.uint8)
-    as_read = np.argsort(order)  # runs of one text in a bucket take little room
-    key, uid, at, flag = key[as_read], uid[as_read], at[as_read], flag[as_read]
-    bucket = bucket_of(key, buckets)
     spread = flag == SETTLED
+    bucket = bucket_of(key, buckets)
     bucket[spread] = (uid[spread] + at[spread].astype(np.uint64)) % np.uint64(buckets)
-    asked = {"key": np.where(spread, 0, key).astype(np.uint64), "uid": uid, "at": at, "flag": flag}
-    table = rows_of(asked, bucket, "bucket")
-    return table.add_column(2, "other", pa.array([b""] * table.num_rows, pa.binary()))
+    asked = {"key": np.where(spread, before(uid, first), key), "other": np.where(spread, before(at, first), 0).astype(np.int32), "uid": uid, "at": at, "flag": flag}
+    as_read = np.argsort(order)  # runs of one text in a bucket take little room
+    return rows_of({c: x[as_read] for c, x in asked.items()}, bucket[as_read], "bucket")
+
+
+def replies(groups: int, uid, at, kind, near_uid, near_at) -> pa.Table:
+    import numpy as np
+
+    return rows_of({"uid": uid, "at": at, "kind": kind.astype(np.uint8), "near_uid": near_uid, "near_at": near_at.astype(np.int32)}, (uid % np.uint64(groups)).astype(np.int32), "dbucket")
 
 
 def repeated(groups: int):
-    """For a bucket: the places whose name occurs more than once."""
+    """For a bucket: the places whose name occurs more than once, each with its neighbour in the order."""
 
     def run(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        key, uid, at, flag = (unpacked(table, c, t) for c, t in (("key", "<u8"), ("uid", "<u8"), ("at", "<i4"), ("flag", "u1")))
-        asked = flag != SETTLED
-        place = np.flatnonzero(asked)
-        place = place[np.argsort(key[place], kind="stable")]
+        key, other, uid, at, flag = (unpacked(table, c, t) for c, t in (("key", "<u8"), ("other", "<i4"), ("uid", "<u8"), ("at", "<i4"), ("flag", "u1")))
+        place = np.flatnonzero(flag != SETTLED)
+        place = place[np.lexsort((at[place], uid[place], key[place]))]
         number, size = runs(key[place])
         told = np.bincount(number, weights=flag[place] == SEVERAL, minlength=len(size)) > 0 if len(place) else np.zeros(0, bool)
-        hit = np.r_[place[((size > 1) | told)[number]] if len(place) else place, np.flatnonzero(~asked)]
-        kind = np.zeros(len(hit), np.uint8)
-        return rows_of({"uid": uid[hit], "at": at[hit], "kind": kind}, (uid[hit] % np.uint64(groups)).astype(np.int32), "dbucket")
+        hit = ((size > 1) | told)[number] if len(place) else np.zeros(0, bool)
+        near, own, rest = before(place, starts_of(number))[hit], place[hit], np.flatnonzero(flag == SETTLED)
+        both = np.r_[own, rest]
+        return replies(groups, uid[both], at[both], np.zeros(len(both)), np.r_[uid[near], key[rest]], np.r_[at[near], other[rest]])
 
     return run
 
@@ -179,12 +223,11 @@ class Task:
                 yield part
 
 
-def sampled(length: int, buckets: int, sizes: Sizes):
+def sampled(length: int, buckets: int, sizes: Sizes, names: Names):
     """Step 1: names of the blocks at sampled positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        from xxhash import xxh3_64_intdigest as name
 
         v, cover = difference_cover(length)
         core, cover = length - v + 1, np.array(cover)
@@ -196,7 +239,7 @@ def sampled(length: int, buckets: int, sizes: Sizes):
                     continue
                 at = (np.arange(0, len(text), v)[:, None] + cover).ravel()
                 at = at[at <= len(text) - core]
-                key = np.array([name(text[p : p + core]) for p in at.tolist()], np.uint64)
+                key = names.of(text[p : p + core] for p in at.tolist())
                 yield from task.add(key, np.full(len(at), uid & (1 << 64) - 1, np.uint64), at.astype(np.int32))
         yield from task.flush()
 
@@ -214,41 +257,69 @@ def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def met():
     """Texts of a group that have candidates, with these."""
-    TEXT = pa.schema([("dbucket", pa.int32()), ("uid", pa.int64()), ("text", pa.binary()), ("first", pa.binary()), ("last", pa.binary()), ("settled_first", pa.binary()), ("settled_last", pa.binary())])
+    TEXT = pa.schema([("dbucket", pa.int32()), ("uid", pa.int64()), ("text", pa.binary()), ("first", pa.binary()), ("last", pa.binary()), ("settled_first", pa.binary()), ("settled_last", pa.binary()), ("claims", pa.binary())])
 
-    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         import numpy as np
 
-        by_uid = Places(replies)
+        by_uid = Places(told)
         out = []
         for bucket, uid, text in zip(*(texts.column(c).to_pylist() for c in ("dbucket", "uid", "text")), strict=True):
-            at, _ = by_uid.of(uid)
+            at = by_uid.of(uid)[0]
             if len(at):
-                out.append((bucket, uid, text, np.unique(at).astype("<i4").tobytes(), b"", b"", b""))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, TEXT.types, strict=True)], schema=TEXT)
+                out.append((bucket, uid, text, np.unique(at).astype("<i4").tobytes(), b"", b"", b"", b""))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, TEXT.types, strict=True)], schema=TEXT)
 
     return run
 
 
-TEXTS = "dbucket int, uid long, text binary, first binary, last binary, settled_first binary, settled_last binary"
+TEXTS = "dbucket int, uid long, text binary, first binary, last binary, settled_first binary, settled_last binary, claims binary"
 
 
 class Places:
-    """Replies by document."""
+    """Replies by document: at, kind, near_uid and near_at."""
 
-    def __init__(self, replies: pa.Table):
+    def __init__(self, told: pa.Table):
         import numpy as np
 
-        uid, at, kind = (unpacked(replies, c, t) for c, t in (("uid", "<u8"), ("at", "<i4"), ("kind", "u1")))
+        uid, *rest = (unpacked(told, c, t) for c, t in (("uid", "<u8"), ("at", "<i4"), ("kind", "u1"), ("near_uid", "<u8"), ("near_at", "<i4")))
         order = np.argsort(uid, kind="stable")
-        self.uid, self.at, self.kind = uid[order], at[order], kind[order]
+        self.uid, self.rest = uid[order], [x[order] for x in rest]
 
     def of(self, uid: int):
         import numpy as np
 
         u = np.uint64(uid & (1 << 64) - 1)
         s, e = np.searchsorted(self.uid, u, "left"), np.searchsorted(self.uid, u, "right")
-        return self.at[s:e], self.kind[s:e]
+        return [x[s:e] for x in self.rest]
+
+
+def claims_of(uid: int, s, n, u, q):
+    """Claims (see CLAIM) without those of a place about itself."""
+    import numpy as np
+
+    own = np.uint64(uid & (1 << 64) - 1)
+    out = np.empty(len(s), CLAIM)
+    out["s"], out["n"], out["u"], out["q"] = s, n, u, q
+    return out[(out["u"] != own) | (out["s"] != out["q"])]
+
+
+def stretched(claims, length: int):
+    """Claims about the same two texts at the same distance, put together where the bytes that they cover touch."""
+    import numpy as np
+
+    if not len(claims):
+        return claims
+    shift = claims["s"].astype(np.int64) - claims["q"]
+    claims = claims[np.lexsort((claims["s"], shift, claims["u"]))]
+    shift = claims["s"].astype(np.int64) - claims["q"]
+    end = claims["s"].astype(np.int64) + claims["n"]
+    # a short claim after a long one may begin a new stretch where the long one still goes on: compared twice, which does no harm
+    new = np.r_[True, (claims["u"][1:] != claims["u"][:-1]) | (shift[1:] != shift[:-1]) | (claims["s"][1:] > end[:-1] + length - 1)]
+    first = np.flatnonzero(new)
+    out = claims[first]
+    out["n"] = np.maximum.reduceat(end, first) - out["s"]
+    return out
 
 
 def offset_ranges(v: int, ranges: int) -> list[tuple[int, int]]:
@@ -256,18 +327,17 @@ def offset_ranges(v: int, ranges: int) -> list[tuple[int, int]]:
     return [(k, min(k + step, v) - 1) for k in range(0, v, step)]
 
 
-def windows(length: int, buckets: int, sizes: Sizes):
+def windows(length: int, buckets: int, sizes: Sizes, names: Names):
     """Step 2: names of what the strings of a range of offsets share (key), and of the window that holds them all (other)."""
 
     def make(core, outer, uid, at) -> pa.Table:
         import numpy as np
 
-        order = np.lexsort((outer, core))
+        order = np.lexsort((at, uid, outer, core))
         core, outer, uid, at = core[order], outer[order], uid[order], at[order]
         group, group_size = runs(core)
         kind, kind_size = runs(core, outer)
-        first_of_kind = np.r_[True, kind[1:] != kind[:-1]]
-        first = np.r_[True, group[1:] != group[:-1]]
+        first_of_kind, first = starts_of(kind), starts_of(group)
         kinds = np.bincount(group, weights=first_of_kind)[group]
         # of a shared part in several windows here, one entry is sent and each window's first is looked at position by position
         flag = np.full(len(core), SETTLED, np.uint8)
@@ -277,16 +347,16 @@ def windows(length: int, buckets: int, sizes: Sizes):
         bucket = bucket_of(core, buckets)
         spread = flag == SETTLED
         bucket[spread] = (uid[spread] + at[spread].astype(np.uint64)) % np.uint64(buckets)
-        # a settled place of which nothing is known is unique; of the others only the place counts
+        # a settled place of which nothing is known is unique; of the others only the place and its neighbour count
         bits, as_read = flag | known << 4 | look << 5, np.argsort(order)
         as_read = as_read[(bits != SETTLED)[as_read]]
-        core, outer = (np.where(spread, 0, x).astype(np.uint64) for x in (core, outer))
+        core = np.where(spread, before(uid, first_of_kind), core)
+        outer = np.where(spread, before(at, first_of_kind).astype(np.uint64), outer)
         return rows_of({c: x[as_read] for c, x in (("key", core), ("other", outer), ("uid", uid), ("at", at), ("flag", bits))}, bucket[as_read], "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import zstandard
-        from xxhash import xxh3_64_intdigest as name
 
         v, _ = difference_cover(length)
         spans = offset_ranges(v, sizes.ranges)
@@ -294,19 +364,15 @@ def windows(length: int, buckets: int, sizes: Sizes):
         grow = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for uid, packed, places in zip(*(b.column(c).to_pylist() for c in ("uid", "text", "first")), strict=True):
-                text, core, outer, at = grow(packed), [], [], []
-                n, own = len(text), uid & (1 << 64) - 1
-                for p in np.frombuffer(places, "<i4").tolist():
-                    for r, (k0, k1) in enumerate(spans):
-                        low, high = max(k0, p + length - n), min(k1, p)
-                        if low > high:
-                            continue
-                        core.append(name(text[p - k0 : p + length - k1], r))  # r, else two ranges could take one place for two
+                text, own, places = grow(packed), uid & (1 << 64) - 1, np.frombuffer(places, "<i4").tolist()
+                n = len(text)
+                for r, (k0, k1) in enumerate(spans):  # a range's number is part of its names, else two ranges could take one place for two
+                    here = [p for p in places if max(k0, p + length - n) <= min(k1, p)]
+                    if here:
+                        core = names.of((text[p - k0 : p + length - k1] for p in here), r)
                         # a window that the text's ends cut short equals no other
-                        outer.append(name(text[p - k1 : p + length - k0], r) if (low, high) == (k0, k1) else name(b"%d %d %d" % (own, p, r)))
-                        at.append(p * len(spans) + r)
-                if at:
-                    yield from task.add(np.array(core, np.uint64), np.array(outer, np.uint64), np.full(len(at), own, np.uint64), np.array(at, np.int64).astype(np.int32))
+                        outer = names.of((text[p - k1 : p + length - k0] if p >= k1 and p + length - k0 <= n else b"%d %d" % (own, p) for p in here), r)
+                        yield from task.add(core, outer, np.full(len(here), own, np.uint64), (np.array(here, np.int64) * len(spans) + r).astype(np.int32))
         yield from task.flush()
 
     return run
@@ -324,20 +390,21 @@ def settled(groups: int):
 
         core, outer, uid, at, bits = (unpacked(table, c, t) for c, t in (("key", "<u8"), ("other", "<u8"), ("uid", "<u8"), ("at", "<i4"), ("flag", "u1")))
         flag, known, look = bits & 15, (bits >> 4 & 1).astype(bool), (bits >> 5 & 1).astype(bool)
-        asked = np.flatnonzero(flag != SETTLED)
-        asked = asked[np.lexsort((outer[asked], core[asked]))]
-        known, look = known.copy(), look.copy()
+        spread = flag == SETTLED
+        near_uid, near_at = np.where(spread, core, uid), np.where(spread, outer.astype(np.int64).astype(np.int32), at)
+        asked = np.flatnonzero(~spread)
+        asked = asked[np.lexsort((at[asked], uid[asked], outer[asked], core[asked]))]
         if len(asked):
             group, group_size = runs(core[asked])
             kind, kind_size = runs(core[asked], outer[asked])
-            first_of_kind = np.r_[True, kind[1:] != kind[:-1]]
+            first_of_kind = starts_of(kind)
             mixed = (np.bincount(group, weights=first_of_kind) > 1) | (np.bincount(group, weights=flag[asked] == MIXED) > 0)
             shared = (group_size > 1) | (np.bincount(group, weights=flag[asked] >= SEVERAL) > 0)
             known[asked] |= kind_size[kind] > 1
             look[asked] |= mixed[group] & shared[group] & (first_of_kind | ~known[asked])
+            near_uid[asked], near_at[asked] = before(uid[asked], first_of_kind), before(at[asked], first_of_kind)
         hit = np.flatnonzero(known | look)
-        reply = (known * REPEATS + look * LOOK).astype(np.uint8)
-        return rows_of({"uid": uid[hit], "at": at[hit], "kind": reply[hit]}, (uid[hit] % np.uint64(groups)).astype(np.int32), "dbucket")
+        return replies(groups, uid[hit], at[hit], (known * REPEATS + look * LOOK)[hit], near_uid[hit], near_at[hit])
 
     return run
 
@@ -345,25 +412,29 @@ def settled(groups: int):
 def narrowed(length: int, ranges: int):
     """Texts of a group with the starts that are to be looked at, and those known to repeat, as first and last ones of ranges."""
 
-    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         import numpy as np
         import zstandard
 
         v, _ = difference_cover(length)
         spans = offset_ranges(v, ranges)
-        by_uid, grow, out = Places(replies), zstandard.ZstdDecompressor().decompress, []
+        low, high = (np.array([s[x] for s in spans]) for x in (0, 1))
+        by_uid, grow, out = Places(told), zstandard.ZstdDecompressor().decompress, []
         for row in texts.to_pylist():
-            at, kind = by_uid.of(row["uid"])
+            at, kind, near_uid, near_at = by_uid.of(row["uid"])
             if not len(at):
                 continue
             n = len(grow(row["text"]))
             p, r = at // len(spans), at % len(spans)
-            k0, k1 = (np.array([s[x] for s in spans])[r] for x in (0, 1))
+            k0, k1 = low[r], high[r]
             first, last = np.maximum(p - k1, 0), np.minimum(p - k0, n - length)
             for names, bit in ((("first", "last"), LOOK), (("settled_first", "settled_last"), REPEATS)):
                 own = (kind & bit) > 0
                 for name, values in zip(names, united(first[own], last[own]), strict=True):
                     row[name] = values.astype("<i4").tobytes()
+            own = (kind & REPEATS) > 0
+            claims = claims_of(row["uid"], (p - k1)[own], (k1 - k0 + 1)[own], near_uid[own], (near_at // len(spans) - k1)[own])
+            row["claims"] = stretched(claims, length).tobytes()
             out.append(row)
         return pa.Table.from_pylist(out, schema=texts.schema)
 
@@ -388,13 +459,12 @@ def starts_in(first: bytes, last: bytes):
     return np.concatenate([np.zeros(0, np.int64), *(np.arange(s, e + 1) for s, e in zip(np.frombuffer(first, "<i4").tolist(), np.frombuffer(last, "<i4").tolist(), strict=True))])
 
 
-def each_start(length: int, buckets: int, sizes: Sizes):
+def each_start(length: int, buckets: int, sizes: Sizes, names: Names):
     """Step 3: names of the strings at single positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import zstandard
-        from xxhash import xxh3_64_intdigest as name
 
         task = Task(lambda *c: combined(*c, buckets), sizes.combine_entries)
         grow = zstandard.ZstdDecompressor().decompress
@@ -403,53 +473,99 @@ def each_start(length: int, buckets: int, sizes: Sizes):
                 at = starts_in(first, last)
                 if len(at):
                     text = grow(packed)
-                    key = np.array([name(text[i : i + length]) for i in at.tolist()], np.uint64)
+                    key = names.of(text[i : i + length] for i in at.tolist())
                     yield from task.add(key, np.full(len(at), uid & (1 << 64) - 1, np.uint64), at.astype(np.int32))
         yield from task.flush()
 
     return run
 
 
-RESULT = "uid long, full_sha256 string, n_removed long, n_spans long, kept_sha256 string, kept binary"
+PROOF = pa.struct([("dbucket", pa.int32()), ("uid", pa.int64()), ("at", pa.int32()), ("bytes", pa.binary())])
+RESULT = pa.schema([("uid", pa.int64()), ("full_sha256", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("differs", pa.bool_()), ("proofs", pa.list_(PROOF))])
+RESULT_SQL = "uid long, full_sha256 string, n_removed long, n_spans long, kept_sha256 string, kept binary, differs boolean, proofs array<struct<dbucket: int, uid: long, at: int, bytes: binary>>"
+
 
+def removed(length: int, groups: int, with_text: bool):
+    """The texts of a group without the bytes of repeated strings.
 
-def removed(length: int, with_text: bool):
-    """The texts of a group without the bytes of repeated strings."""
-    names = [x.split()[0] for x in RESULT.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    differs: a start of the text is not what another one of it was said to be.
+    proofs: bytes that other texts are said to have, to be compared there.
+    """
 
-    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         import numpy as np
         import zstandard
 
-        by_uid, grow, out = Places(replies), zstandard.ZstdDecompressor().decompress, []
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        by_uid, grow, out = Places(told), zstandard.ZstdDecompressor().decompress, []
         for row in texts.to_pylist():
-            text = grow(row["text"])
-            at, _ = by_uid.of(row["uid"])
+            uid, text = row["uid"], grow(row["text"])
+            at, _, near_uid, near_at = by_uid.of(uid)
+            ok = at <= len(text) - length
+            at, near_uid, near_at = at[ok], near_uid[ok], near_at[ok]
+            claims = np.r_[np.frombuffer(row["claims"], CLAIM), claims_of(uid, at, 1, near_uid, near_at)]
             at = np.unique(at).astype(np.int64)
-            at = at[at <= len(text) - length]
             known = [np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("settled_first", "settled_last")]
             first, last = united(np.r_[at, known[0]], np.r_[at, known[1]] + length - 1)
             if not len(first):
                 continue
             ends = (last + 1).tolist()
             kept = b"".join([text[s:e] for s, e in zip([0, *ends], [*first.tolist(), len(text)], strict=True)])
-            out.append((row["uid"], hashlib.sha256(text).hexdigest(), len(text) - len(kept), len(first), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=names)
+            differs, proofs = False, []
+            for s, n, u, q in stretched(claims, length).tolist():
+                part, other = text[max(s, 0) : s + n + length - 1], u - (1 << 64) if u >> 63 else u
+                if len(part) < n + length - 1:
+                    differs = True  # no such place: a name stood for something else
+                elif other == uid:
+                    differs |= q < 0 or text[q : q + len(part)] != part
+                else:
+                    proofs.append({"dbucket": u % groups, "uid": other, "at": q, "bytes": squeeze(part)})
+            digests = hashlib.sha256(text).hexdigest(), len(text) - len(kept), len(first), hashlib.sha256(kept).hexdigest()
+            out.append((uid, *digests, squeeze(kept) if with_text else None, differs, proofs))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(RESULT), RESULT.types, strict=True)], schema=RESULT)
 
     return run
 
 
-def row_key(docs: DataFrame):
+def compared(texts: pa.Table, proofs: pa.Table) -> pa.Table:
+    """Step 4, for a group: the texts that differ from what was said of them."""
+    import zstandard
+
+    grow = zstandard.ZstdDecompressor().decompress
+    own: dict[int, list[bytes]] = {}
+    for uid, text in zip(texts.column("uid").to_pylist(), texts.column("text").to_pylist(), strict=True):
+        own.setdefault(uid, []).append(text)
+    proofs, wrong = proofs.sort_by("uid"), []
+    held, whole = None, []
+    for uid, at, packed in zip(proofs.column("uid").to_pylist(), proofs.column("at").to_pylist(), proofs.column("bytes"), strict=True):
+        if uid != held:
+            held, whole = uid, [grow(t) for t in own.get(uid, [])]
+        part = grow(packed.as_py())
+        if at < 0 or not whole or any(t[at : at + len(part)] != part for t in whole):
+            wrong.append(uid)
+    return pa.table({"uid": pa.array(wrong, pa.int64())})
+
+
+def row_key(docs: DataFrame, attempt: int = 0):
     """Names a row by id and text; rows equal in both may share it."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_column(docs))
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_column(docs), F.lit(attempt))
 
 
-def repeats(docs: DataFrame, length: int, sizes: Sizes = Sizes(), with_text: bool = False) -> DataFrame:
-    """uid (see row_key), full_sha256, n_removed, n_spans, kept_sha256 and kept of the rows that lose bytes."""
+def repeats(docs: DataFrame, length: int, sizes: Sizes = Sizes(), with_text: bool = False) -> tuple[DataFrame, int]:
+    """uid, full_sha256, n_removed, n_spans, kept_sha256 and kept (compressed) of the rows that lose bytes, and the attempt that names them (see row_key)."""
     if length < 1:
         raise ValueError("length must be positive")
-    given = short_batches(docs).select(row_key(docs).alias("uid"), text_column(docs).cast("binary").alias("text"))
+    for attempt in range(len(sizes.name_bits)):
+        found, wrong = attempted(docs, length, sizes, with_text, attempt)
+        if not wrong:
+            return found, attempt
+    raise RuntimeError("strings of equal names differed at every attempt")
+
+
+def attempted(docs: DataFrame, length: int, sizes: Sizes, with_text: bool, attempt: int) -> tuple[DataFrame, bool]:
+    """What repeats() returns, and whether any of it was found to be wrong."""
+    names = Names(sizes, attempt)
+    given = short_batches(docs).select(row_key(docs, attempt).alias("uid"), text_column(docs).cast("binary").alias("text"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     v, cover = difference_cover(length)
     buckets = lambda entries: max(1, round(entries / sizes.bucket_entries))
@@ -460,19 +576,23 @@ def repeats(docs: DataFrame, length: int, sizes: Sizes = Sizes(), with_text: boo
     def sort(entries: DataFrame, reduce) -> DataFrame:
         return entries.groupBy("bucket").applyInArrow(reduce, REPLY)
 
-    def meet(texts: DataFrame, replies: DataFrame, function, schema: str) -> DataFrame:
-        return texts.groupBy("dbucket").cogroup(replies.groupBy("dbucket")).applyInArrow(function, schema)
+    def meet(texts: DataFrame, told: DataFrame, function, schema: str) -> DataFrame:
+        return texts.groupBy("dbucket").cogroup(told.groupBy("dbucket")).applyInArrow(function, schema)
 
     n = buckets(total * len(cover) / v)
-    texts = cut(meet(whole, sort(given.mapInArrow(sampled(length, n, sizes), ENTRY), repeated(groups)), met(), TEXTS))
+    texts = cut(meet(whole, sort(given.mapInArrow(sampled(length, n, sizes, names), ENTRY), repeated(groups)), met(), TEXTS))
     release(docs.sparkSession)
     places = texts.agg(F.sum(F.octet_length("first") / 4)).first()[0] or 0
     n = buckets(places * sizes.ranges)
-    left = cut(meet(texts, sort(texts.mapInArrow(windows(length, n, sizes), ENTRY), settled(groups)), narrowed(length, sizes.ranges), TEXTS))
+    left = cut(meet(texts, sort(texts.mapInArrow(windows(length, n, sizes, names), ENTRY), settled(groups)), narrowed(length, sizes.ranges), TEXTS))
     del texts
     release(docs.sparkSession)
     n = buckets(places * v / sizes.ranges / 4)
-    return meet(left, sort(left.mapInArrow(each_start(length, n, sizes), ENTRY), repeated(groups)), removed(length, with_text), RESULT)
+    found = cut(meet(left, sort(left.mapInArrow(each_start(length, n, sizes, names), ENTRY), repeated(groups)), removed(length, groups, with_text), RESULT_SQL))
+    release(docs.sparkSession)
+    proofs = found.select(F.explode("proofs").alias("p")).select("p.*")
+    wrong = meet(left.select("dbucket", "uid", "text"), proofs, compared, "uid long").union(found.where("differs").select("uid"))
+    return found.drop("differs", "proofs"), bool(wrong.limit(1).count())
 
 
 def deduplicate(docs: DataFrame, length: int = 400, sizes: Sizes = Sizes()) -> DataFrame:
@@ -486,8 +606,9 @@ def deduplicate(docs: DataFrame, length: int = 400, sizes: Sizes = Sizes()) -> D
     No rows give no rows.
     """
     text = text_column(docs)
-    rows = docs.select("doc_id", row_key(docs).alias("uid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("full_sha256"))
-    lost = repeats(docs, length, sizes).select("uid", "full_sha256", "n_removed", "n_spans", "kept_sha256").dropDuplicates(["uid", "full_sha256"])
+    found, attempt = repeats(docs, length, sizes)
+    rows = docs.select("doc_id", row_key(docs, attempt).alias("uid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("full_sha256"))
+    lost = found.select("uid", "full_sha256", "n_removed", "n_spans", "kept_sha256").dropDuplicates(["uid", "full_sha256"])
     out = rows.join(lost, ["uid", "full_sha256"], "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "full_sha256").alias("kept_sha256"))
@@ -498,12 +619,22 @@ def without_repeats(docs: DataFrame, length: int, sizes: Sizes = Sizes()) -> Dat
 
     Bytes of a character that a removed string cuts through go too.
     """
-    text = text_column(docs)
-    lost = repeats(docs, length, sizes, with_text=True).select(F.col("uid").alias("_uid"), F.col("full_sha256").alias("_sha"), F.try_validate_utf8(F.col("kept").cast("string")).alias("_valid"), F.make_valid_utf8(F.col("kept").cast("string")).alias("_made")).dropDuplicates(["_uid", "_sha"])
-    out = docs.withColumns({"_uid": row_key(docs), "_sha": F.sha2(text.cast("binary"), 256)}).join(lost, ["_uid", "_sha"], "left")
-    kept = F.coalesce("_valid", F.replace(F.col("_made"), F.lit("�"), F.lit("")))
-    untouched = F.col("_made").isNull()
-    new = {"text": F.when(untouched, F.col("text")).otherwise(kept)}
+    uid, sha, kept = (f"{OWN}{x}" for x in ("uid", "sha", "kept"))
+    found, attempt = repeats(docs, length, sizes, with_text=True)
+    lost = found.select(F.col("uid").alias(uid), F.col("full_sha256").alias(sha), F.col("kept").alias(kept)).dropDuplicates([uid, sha]).mapInArrow(readable, f"`{uid}` long, `{sha}` string, `{kept}` string")
+    out = docs.withColumns({uid: row_key(docs, attempt), sha: F.sha2(text_column(docs).cast("binary"), 256)}).join(lost, [uid, sha], "left")
+    untouched = F.col(kept).isNull()
+    new = {"text": F.when(untouched, F.col("text")).otherwise(F.col(kept))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(untouched, F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
+def readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept bytes as text, without what is left of characters that were cut through."""
+    import zstandard
+
+    grow = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        texts = [grow(t.as_py()).decode("utf-8", "ignore") for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], b.schema.names)

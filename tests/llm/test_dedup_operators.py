@@ -54,13 +54,25 @@ def test_difference_covers():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
-@pytest.mark.parametrize(("length", "sizes"), [(3, TINY), (20, TINY), (40, TINY), (100, suffix_dedup.Sizes())])
+#: Names of so few bits that unequal strings share them: only the comparison of bytes can tell.
+CLASHING = suffix_dedup.Sizes(bucket_entries=500, combine_entries=700, group_bytes=3000, ranges=3, name_bits=(7, 64))
+
+
+@pytest.mark.parametrize(("length", "sizes"), [(3, TINY), (20, TINY), (40, TINY), (100, suffix_dedup.Sizes()), (20, CLASHING)])
 def test_substrings(spark, length, sizes):
     rows = mixed(length)
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, n_bytes string").repartition(3)
     assert sorted([tuple(r) for r in suffix_dedup.deduplicate(df, length, sizes).collect()], key=str) == removed(rows, length)
 
 
+def test_names_that_clash_are_found_out(spark):
+    df = spark.createDataFrame(mixed(9), "doc_id long, text string")
+    assert suffix_dedup.attempted(df, 20, CLASHING, False, 0)[1]
+    assert not suffix_dedup.attempted(df, 20, CLASHING, False, 1)[1]
+    with pytest.raises(RuntimeError):
+        suffix_dedup.repeats(df, 20, suffix_dedup.Sizes(name_bits=(7, 7)))
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.deduplicate(df, 20, TINY).count() == 0
