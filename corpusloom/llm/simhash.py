@@ -117,7 +117,8 @@ class Sketches:
     What is found does not depend on the rest: radius is that of the SimHash
     balls, rounds the number of stars that are tried before all pairs; how
     frequent a shingle is, is told from one text in `sampled`, for `frequent`
-    shingles at most, which orders the shingles and decides the work.
+    shingles at most, which orders the shingles and decides the work; up to
+    few_keys keys of texts are broadcast, more meet the texts in a shuffle.
     """
 
     wide: int = 5
@@ -126,6 +127,7 @@ class Sketches:
     rounds: int = 2
     sampled: int = 8
     frequent: int = 1_000_000
+    few_keys: int = 500_000
 
 
 #: 64-bit words of the parity bits.
@@ -320,7 +322,8 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, s: Sketche
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     asked = left.select("a").union(left.select("b")).distinct().toDF("key")
-    needed = texts.join(asked, "key", "left_semi").dropDuplicates(["key"])
+    few = asked.count() <= s.few_keys  # then only the texts that are asked for travel
+    needed = texts.join(F.broadcast(asked) if few else asked, "key", "left_semi").dropDuplicates(["key"])
     told = left.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     near = cut(short_batches(told).mapInArrow(jaccard, "a long, b long"))
     release(near.sparkSession)
