@@ -19,8 +19,19 @@ OWN = "corpusloom 3f9c1e "
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Up to this size a table that is one file is dealt out anew to all cores.
+SPREAD_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder.
+
+    A small single file is spread over all cores, as it may be one row group,
+    which one task would have to work on alone; others stay as they are stored.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES and len(df.inputFiles()) == 1 else df
 
 
 def short_batches(df: DataFrame) -> DataFrame:
