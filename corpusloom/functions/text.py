@@ -162,11 +162,12 @@ def score_by_terms(hits: Column, most: int) -> Column:
     return F.least(F.lit(most), F.size(hits))
 
 
-def first_span(text: Column, term: str, around: int = 25) -> Column:
-    """The first match with some characters on both sides, or the empty text."""
-    at = F.regexp_instr(text, F.lit(term_pattern(term)))
+def first_span(text: Column, term: Column, around: int = 25) -> Column:
+    """The first whole-word match with some characters on both sides, or the empty text."""
+    escaped = F.regexp_replace(term, r"([^\p{L}\p{N}\s])", r"\\$1")
+    at = F.regexp_instr(text, F.concat(F.lit(r"(?iuU)\b"), escaped, F.lit(r"\b")))
     start = F.greatest(at - around, F.lit(1))
-    return F.when(at > 0, F.substring(text, start, at - start + F.length(F.lit(term)) + around)).otherwise("")
+    return F.when((at > 0) & (term != ""), F.substring(text, start, at - start + F.length(term) + around)).otherwise("")
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
@@ -222,7 +223,13 @@ def split_cell(cell: Column) -> Column:
 
 
 def truthy(value: Column) -> Column:
-    return F.lower(stripped(value.cast("string"))).isin("1", "true", "yes", "y", "t")
+    """What counts as yes in reviews."""
+    return F.coalesce(F.lower(stripped(value.cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
+
+
+def is_verified(value: Column) -> Column:
+    """What counts as verified in dictionaries."""
+    return truthy(value) | F.coalesce(F.lower(stripped(value.cast("string"))) == "verified", F.lit(False))
 
 
 def year_in(text: Column) -> Column:

@@ -77,11 +77,12 @@ def dominant_evi(scored: DataFrame, keys: list[str], column: str = "EVI_raw", ok
 
 def reference_summary(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Ratios of sums over the valid contexts, or over all where none is valid."""
-    group = Window.partitionBy(*keys)
-    rows = scored.withColumn("_any", F.max((F.col("aggregation_weight") > 0).cast("int")).over(group)).where((F.col("_any") == 0) | (F.col("aggregation_weight") > 0))
-    n = F.greatest(F.sum("N_content"), F.lit(1))
-    emi = F.sum("N_e_w") / F.lit(3.0) + 2.0 * F.sum("N_e_m") / F.lit(3.0) + F.sum("N_e_s")
-    return rows.groupBy(*keys).agg(F.round(F.sum("N_ideol").cast("double") / n, 6).alias("IDI"), F.round(emi / n, 6).alias("EMI"), F.round(F.sum("N_met").cast("double") / n, 6).alias("MTI"), F.round(F.avg("EVI_raw"), 6).alias("EVI"), F.count("*").alias("contexts"))
+    ok = F.col("aggregation_weight") > 0
+    of = lambda c: F.when(F.bool_or(ok), F.sum(F.when(ok, c))).otherwise(F.sum(c))
+    n = F.greatest(of(F.col("N_content")), F.lit(1))
+    emi = of(F.col("N_e_w")) / F.lit(3.0) + 2.0 * of(F.col("N_e_m")) / F.lit(3.0) + of(F.col("N_e_s"))
+    contexts = of(F.lit(1))
+    return scored.groupBy(*keys).agg(F.round(of(F.col("N_ideol")).cast("double") / n, 6).alias("IDI"), F.round(emi / n, 6).alias("EMI"), F.round(of(F.col("N_met")).cast("double") / n, 6).alias("MTI"), F.round(of(F.col("EVI_raw")).cast("double") / contexts, 6).alias("EVI"), contexts.alias("contexts"))
 
 
 def trace_coverage(scored: DataFrame, traces: DataFrame) -> DataFrame:

@@ -40,8 +40,10 @@ def islands(hits: Column) -> Column:
 
 
 def found_keywords(sentence: Column, keywords: list[str]) -> Column:
+    """The keywords in a sentence; one alternation is tried first, as most sentences hold none."""
     pairs = F.array(*[F.struct(F.lit(k).alias("term"), F.lit(T.term_pattern(k)).alias("pattern")) for k in sorted(set(keywords))])
-    return F.transform(F.filter(pairs, lambda p: F.rlike(sentence, p["pattern"])), lambda p: p["term"])
+    found = F.transform(F.filter(pairs, lambda p: F.rlike(sentence, p["pattern"])), lambda p: p["term"])
+    return F.when(sentence.rlike(T.any_pattern(keywords)), found).otherwise(F.array().cast("array<string>"))
 
 
 def mentions(keywords: list[str]):
@@ -49,14 +51,17 @@ def mentions(keywords: list[str]):
 
 
 def extract(docs: DataFrame, profile: Profile) -> DataFrame:
-    """A row for each merged window of each referent in each document (fields as required() gives them)."""
+    """A row for each merged window of each referent in each document (fields as required() gives them).
+
+    Texts are read and split once for all referents.
+    """
     given = required(docs).select(*FIELDS)
-    out = None
-    for name, keywords in profile.referents.items():
-        some = given.where(F.col("text").rlike(T.any_pattern(keywords))).withColumn("sents", T.held(T.sentences(F.col("text"))))
-        hits = F.filter(F.transform("sents", mentions(keywords)), lambda h: F.size(h["found"]) > 0)
-        rows = some.withColumn("_hits", T.held(hits)).withColumn("_windows", T.held(islands(F.col("_hits")))).select(*FIELDS, "sents", F.lit(name).alias("ref_country"), F.posexplode("_windows").alias("_n", "w"))
-        out = rows if out is None else out.unionByName(rows)
+    every = [k for ks in profile.referents.values() for k in ks]
+    some = given.where(F.col("text").rlike(T.any_pattern(every))).withColumn("sents", T.held(T.sentences(F.col("text"))))
+    hits = {f"_h{i}": T.held(F.filter(F.transform("sents", mentions(ks)), lambda h: F.size(h["found"]) > 0)) for i, ks in enumerate(profile.referents.values())}
+    of_each = F.array(*[F.struct(F.lit(name).alias("ref_country"), islands(F.col(h)).alias("windows")) for name, h in zip(profile.referents, hits, strict=True)])
+    rows = some.withColumns(hits).select(*FIELDS, "sents", F.inline(of_each))
+    out = rows.select(*FIELDS, "sents", "ref_country", F.posexplode("windows").alias("_n", "w"))
     low = F.greatest(F.get("w", F.lit(0))["i"] - 1, F.lit(0))
     high = F.least(F.get("w", F.size("w") - 1)["i"] + 1, F.size("sents") - 1)
     out = out.withColumns({"low": low, "high": high})

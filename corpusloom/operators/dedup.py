@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,11 @@ from corpusloom.functions import stats
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names, or in one of our own where that is unset."""
+    """Cut the lineage in the folder that spark.checkpoint.dir names, or, on a local master, in one of our own where that is unset."""
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined()):
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
     return df.checkpoint(eager=True)
 
@@ -24,18 +27,40 @@ def exact(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_md5", F.md5(F.array_join("tokens", " "))).withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_md5", "_n")
 
 
+def blocks(bits: int) -> list[int]:
+    """Masks, of which hashes that differ in at most so many bits agree under one.
+
+    Up to three bits: any three of six blocks, so keys are of about 32 bits and
+    few hashes share one by chance. Beyond that the four bands of 16 bits,
+    within which such hashes are looked for.
+    """
+    if bits > 3:
+        return [0xFFFF << (16 * i) for i in range(4)]
+    edges = [0, 11, 22, 33, 44, 54, 64]
+    parts = [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(parts, 3)]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def near_pairs(docs: DataFrame, jaccard: float = 0.92, bits: int = 3, length_ratio: float = 0.85) -> DataFrame:
-    """Pairs (a, b), a before b, that share a 16-bit band of their SimHash and pass the three tests.
+    """Pairs (a, b), a before b, whose SimHashes differ in few bits and share a band of 16, and that pass the tests of length and tokens.
 
-    Only hashes and lengths meet in the band join; token sets are fetched for
-    the pairs that pass these two.
+    Equal hashes are folded first and only hashes meet; token sets are fetched
+    for the pairs that pass.
     """
     own = checkpointed(docs.select("seq", stats.simhash64(F.col("tokens")).alias("h"), F.size("tokens").alias("n")))
-    bands = own.select("seq", "h", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.alias("i"), F.call_function("shiftrightunsigned", F.col("h"), i * 16).bitwiseAND(65535).alias("key")))).alias("band"))
-    a, b = bands.alias("a"), bands.alias("b")
-    close = (F.col("a.band") == F.col("b.band")) & (F.col("a.seq") < F.col("b.seq")) & (stats.hamming(F.col("a.h"), F.col("b.h")) <= bits)
-    alike = F.least("a.n", "b.n").cast("double") / F.greatest("a.n", "b.n") >= length_ratio
-    pairs = a.join(b, close & alike).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b")).distinct()
+    distinct = own.select("h").distinct()
+    masks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(signed(m)).cast("long").alias("mask")) for i, m in enumerate(blocks(bits))])).alias("m")
+    keyed = distinct.select("h", masks).select("h", F.col("m.i").alias("i"), F.col("h").bitwiseAND(F.col("m.mask")).alias("key"))
+    a, b = keyed.toDF("ha", "i", "key"), keyed.toDF("hb", "i", "key")
+    close = a.join(b, ["i", "key"]).where((F.col("ha") < F.col("hb")) & (stats.hamming(F.col("ha"), F.col("hb")) <= bits)).select("ha", "hb").distinct()
+    close = close.unionByName(own.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb")))
+    sides = close.join(own.toDF("x", "ha", "nx"), "ha").join(own.toDF("y", "hb", "ny"), "hb").where((F.col("x") < F.col("y")) | ((F.col("ha") != F.col("hb")) & (F.col("x") > F.col("y"))))
+    alike = F.least("nx", "ny").cast("double") / F.greatest("nx", "ny") >= length_ratio
+    pairs = sides.where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     sets = docs.select("seq", F.array_distinct("tokens").alias("t"))
     both = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     return both.where(stats.jaccard(F.col("ta"), F.col("tb")) >= jaccard).select("a", "b")

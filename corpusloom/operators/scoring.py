@@ -203,10 +203,17 @@ def traces(scored: DataFrame, profile: Profile, meta: DataFrame | None = None) -
     found += [of("EVI_positive", F.col(f"p_{n}")) for n in profile.rubric] + [of("EVI_negative", F.col(f"n_{n}")) for n in profile.rubric]
     silent = F.when(F.col("referent_salience") == 0.0, F.array(F.struct(F.lit("S_r").alias("indicator"), F.col("technical_reason").alias("marker_text"), F.lit(0).alias("hits")))).otherwise(F.filter(F.array(F.struct(F.lit("").alias("indicator"), F.lit("").alias("marker_text"), F.lit(0).alias("hits"))), lambda x: F.lit(False)))
     rows = scored.select("context_id", "doc_id", "ref_country", "context_text", F.explode(F.array_distinct(F.concat(*found, silent))).alias("t")).select("context_id", "doc_id", "ref_country", "context_text", "t.*")
-    at = F.regexp_instr(F.lower("context_text"), F.concat(F.lit(r"\Q"), F.lower("marker_text"), F.lit(r"\E")))
-    span = F.when(at > 0, F.substring("context_text", F.greatest(at - 25, F.lit(1)), F.length("marker_text") + 50)).otherwise("")
+    span = T.first_span(F.col("context_text"), F.col("marker_text"))
     rows = rows.withColumns({"marker_id": F.sha2(F.concat_ws("\x1f", "context_id", "indicator", "marker_text"), 256), "matched_span": span}).drop("context_text")
-    return rows if meta is None else rows.join(F.broadcast(meta), F.lower("marker_text") == meta["term"], "left").drop(meta["term"])
+    return rows if meta is None else rows.join(last_of_each(meta), F.lower("marker_text") == F.col("term"), "left").drop("term")
+
+
+def last_of_each(meta: DataFrame) -> DataFrame:
+    """One row for each term (in lower case, without white space at the ends): the last one by row, where rows are numbered."""
+    rows = meta.withColumn("term", F.lower(T.stripped(F.col("term")))).where(F.col("term") != "")
+    fields = [c for c in rows.columns if c not in ("term", "row")]
+    order = F.col("row") if "row" in rows.columns else F.lit(0)
+    return rows.groupBy("term").agg(F.max_by(F.struct(*fields), order).alias("_f")).select("term", "_f.*")
 
 
 def formula_traces(scored: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpusloom.functions import lexicons as L
 from corpusloom.functions import text as T
 from corpusloom.operators import collector
+from corpusloom.plans import more_oracles
 from corpusloom.plans.tables import PROFILE
 
 P = PROFILE
@@ -273,4 +274,4 @@ def all_sql() -> dict[str, str]:
         "country_theme_scores": f"WITH s AS (SELECT doc_id, {', '.join(f'{v} AS {n}' for n, v in th.items())} FROM documents) SELECT doc_id, CAST({' + '.join(th)} AS INT) AS theme_hits, CASE WHEN {' + '.join(th)} = 0 THEN 'general' {' '.join(f"WHEN {n} = greatest({', '.join(th)}) THEN '{n}'" for n in th)} END AS theme FROM s",
         "capped_sample": f"{base} SELECT seq, source, country, year FROM docs QUALIFY row_number() OVER (PARTITION BY source, country, year ORDER BY seq) <= 3",
     }
-    return sql
+    return sql | more_oracles.all_sql(docs, scored(), weighted, RAW, f"len(list_filter({RAW}, lambda t: NOT list_contains({CORE}, t) AND length(t) >= 2))")

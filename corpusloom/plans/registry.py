@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from corpusloom.functions import lexicons as L
 from corpusloom.functions import stats
 from corpusloom.functions import text as T
-from corpusloom.operators import aggregate, calibration, collector, contexts, corpus, dedup, legacy, lexicon, percentile, scoring
+from corpusloom.operators import aggregate, calibration, collector, contexts, corpus, dedup, interpret, legacy, lexicon, percentile, scoring
 from corpusloom.plans import oracles, tables
 from corpusloom.plans.tables import PROFILE
+from corpusloom.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Categories and frames for the words of the test profile.
+CATEGORIES = {"Alpha": {"Worth": ["worth"], "Wit": ["stup"]}, "Beta": {"Granted": ["licensed"]}}
+FRAMES = {"law": ["licen", "public"], "abuse": ["stupid", "worth"], "labour": ["work"]}
 METRICS = ["IDI", "EMI", "MTI", "IP_context_abs"]
 
 
@@ -47,7 +51,7 @@ def calibration_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as the collector's articles: the country and theme words of the test pages are common English."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = io.spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return pages.select(F.col("page_id").alias("seq"), F.regexp_extract("url", r"https?://([^/]+)", 1).alias("source"), (F.col("page_id") % 5 + 2022).cast("int").alias("year"), F.lit("").alias("title"), T.html_text(F.coalesce("html", F.lit(""))).alias("content"))
 
 
@@ -78,6 +82,10 @@ def sentences_with_anchor(docs: DataFrame) -> DataFrame:
     return corpus.referent_sentences(docs, PROFILE, None).select("seq", "i", "anchor_country", "anchor_term", "prev_sent", "hit_sent", "next_sent")
 
 
+def rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.round(c, 6) for c in columns})
+
+
 def ranked(rows: DataFrame) -> DataFrame:
     done = percentile.with_levels(percentile.ranks(rows.select("context_id", *METRICS), METRICS), METRICS)
     return done.select("context_id", *[F.round(f"{m}_percentile", 4).alias(f"{m}_percentile") for m in METRICS], *[f"{m}_level" for m in METRICS])
@@ -144,9 +152,12 @@ def queries() -> dict[str, Query]:
         "context_ip": on_scored(lambda r: r.select("context_id", F.round("IP_context", 6).alias("ip"), F.round("IP_context_abs", 6).alias("ip_abs"), F.round("IP_old_context", 6).alias("ip_old"), "aggregation_weight")),
         "context_coarse_evi": lambda s, d: scoring.score(tables.referent_contexts(s, d), PROFILE, "coarse").select("context_id", "EVI_raw"),
         "multi_ref_contexts": on_scored(lambda r: r.select("context_id", "multi_country_context")),
-        "flagged_cases": on_scored(lambda r: scoring.flagged(r).groupBy("flag_case_type").agg(F.count("*").alias("n"))),
-        "marker_traces": on_scored(lambda r: scoring.traces(r, PROFILE).select("context_id", "indicator", "marker_text", "hits")),
-        "formula_traces": on_scored(lambda r: scoring.formula_traces(r).select("context_id", "formula_name", "result_raw")),
+        "flagged_cases": on_scored(lambda r: scoring.flagged(r).select("context_id", "flag_case_type")),
+        "marker_traces": on_scored(lambda r: scoring.traces(r, PROFILE).select("context_id", "indicator", "marker_text", "hits", "matched_span", "marker_id")),
+        "formula_traces": on_scored(scoring.formula_traces),
+        "context_interpretation": on_scored(lambda r: r.select("context_id", interpret.evi_words(F.col("EVI_raw")).alias("evi_words"), interpret.ip_words(F.col("IP_context"), F.col("IP_context_abs")).alias("ip_words"))),
+        "keyword_category": lambda s, d: tables.referent_contexts(s, d).select("context_id", interpret.keyword_category(F.col("ref_country"), F.col("keywords"), CATEGORIES).alias("keyword_category")),
+        "dominant_frames": on_scored(lambda r: interpret.dominant(r, FRAMES, "frame")),
         # aggregates
         "impact_by_media_ref": on_scored(aggregate.by_media_and_referent),
         "impact_by_outlet": on_scored(aggregate.by_outlet),
@@ -162,13 +173,16 @@ def queries() -> dict[str, Query]:
         "anchor_status": on_scored(lambda r: percentile.anchor_status(r).select("context_id", "anchor_status")),
         "metric_distributions": on_scored(lambda r: percentile.distributions(r, METRICS, {"all": [], "referent": ["ref_country"], "media_referent": ["media_country", "ref_country"]})),
         "outliers": on_scored(lambda r: percentile.outliers(r.select("context_id", *METRICS), METRICS).select("context_id", "metric")),
-        "quality_flags": lambda s, d: calibration.quality_flags(calibration_texts(s, d), None, near=False).groupBy("issue_type", "severity").agg(F.count("*").alias("n")),
+        "quality_flags": lambda s, d: calibration.quality_flags(calibration_texts(s, d), calibration.context_records(tables.scored(s, d))).select("calibration_id", "issue_type", "severity"),
         "calibration_near_duplicates": lambda s, d: calibration.near_duplicates(calibration_texts(s, d)).select("seq"),
+        "whole_text_scores": lambda s, d: rounded(interpret.whole_text_scores(calibration_texts(s, d), PROFILE), "IDI_raw", "EMI_raw", "MTI_raw", "IP_i", "IP_abs_i"),
+        "whole_text_report": lambda s, d: interpret.whole_text_report(interpret.whole_text_scores(calibration_texts(s, d), PROFILE)),
         "text_rollup": on_scored(lambda r: calibration.text_rollup(percentile.anchor_status(r))),
         # lexicon
         "candidate_terms": lambda s, d: lexicon.extract_candidates(tables.referent_contexts(s, d)).select("candidate_term", "frequency", "proposed_dictionary", "confidence_score"),
         "lexicon_validation": lambda s, d: lexicon.validate("emotional_markers.csv", lexicon_rows(s)),
         # collector
+        "document_country": lambda s, d: tables.documents(s, d).select("doc_id", io.country_of(F.concat_ws("_", "lang", F.col("doc_id").cast("string")), F.coalesce("text", F.lit(""))).alias("country")),
         "html_paragraph_text": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.length(T.html_text(F.coalesce("html", F.lit("")))).alias("n_chars")),
         "page_link_filter": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.array_join(collector.links(F.col("html"), "^https?://"), " ").alias("links")),
         "country_theme_scores": lambda s, d: tables.documents(s, d).select("doc_id", F.aggregate(F.map_values(collector.scores(F.lit(""), F.col("text"), collector.THEMES, 4000)), F.lit(0), lambda a, b: a + b).alias("theme_hits"), collector.primary(collector.scores(F.lit(""), F.col("text"), collector.THEMES, 4000), list(collector.THEMES), "general").alias("theme")),

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.profile import fixture
 from corpusloom.operators import contexts, corpus, scoring
+from corpusloom.sources import io
 
 PROFILE = fixture()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return io.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def corpus_docs(spark: SparkSession, sf_dir: str, use_lemma: bool = False) -> DataFrame:

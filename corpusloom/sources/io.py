@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import html
 import io
+import json
 import re
 import zipfile
-from collections.abc import Iterable
+import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -17,9 +19,54 @@ from corpusloom.operators import contexts
 METADATA = "source string, region string, url string, date string, year string, title string, query_country string, query_term string, primary_country string, country_scores string, countries_detected string, primary_subcorpus string, subcorpora_detected string, theme_scores string, file_path string"
 #: Names under which uploads hold a field, tried in this order, first whole and then as part of a name.
 ALIASES = {"text": ("text", "content", "body", "article"), "title": ("title", "headline"), "source": ("source", "outlet_name", "outlet"), "date": ("date", "published"), "media_country": ("media_country", "country")}
-#: Outlets as file names have them, and their countries.
-OUTLETS = {"thestar": "The Star", "bernama": "Bernama", "malaymail": "Malay Mail", "kompas": "Kompas", "tempo": "Tempo", "antara": "Antara", "jakartapost": "The Jakarta Post"}
-OUTLET_COUNTRIES = {"The Star": "Malaysia", "Bernama": "Malaysia", "Malay Mail": "Malaysia", "Kompas": "Indonesia", "Tempo": "Indonesia", "Antara": "Indonesia", "The Jakarta Post": "Indonesia"}
+#: Names of columns in uploaded tables, looked for in this order.
+TABLE_COLUMNS = {
+    "text": ("text", "content", "body", "article", "full_text", "текст", "материал"),
+    "title": ("title", "headline", "заголовок"),
+    "source": ("source", "outlet_name", "media", "publisher", "издание", "источник"),
+    "date": ("date", "published_at", "datetime", "дата", "year", "год"),
+    "media_country": ("media_country", "region", "страна_сми", "country"),
+}
+#: Parts of file names that tell an outlet, looked for in this order.
+OUTLETS = {
+    "antara": "Antara",
+    "astro": "Astro Awani",
+    "awani": "Astro Awani",
+    "bernama": "Bernama",
+    "kompas": "Kompas Indonesia",
+    "tempo": "Tempo",
+    "jakarta_post": "The Jakarta Post",
+    "jakartapost": "The Jakarta Post",
+    "the_star": "The Star",
+    "thestar": "The Star",
+    "the_edge": "The Edge Malaysia",
+    "edge": "The Edge Malaysia",
+}
+#: The outlets of each country.
+OUTLET_COUNTRIES = {
+    "Malaysia": ("Astro Awani", "Bernama", "The Star", "The Edge Malaysia"),
+    "Indonesia": ("Antara", "Kompas Indonesia", "Tempo", "The Jakarta Post"),
+}
+#: Hints of the country that a text is about; the first country wins ties and texts without a hint.
+COUNTRY_HINTS = {
+    "usa": ("usa", "united states", "america", "american", "washington", "u.s"),
+    "russia": ("russia", "russian", "rusia", "moscow", "kremlin", "putin"),
+    "china": ("china", "chinese", "cina", "tiongkok", "beijing", "xi jinping"),
+}
+
+
+#: Up to this size a table is dealt out anew to all cores.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small single file over all cores: it may be one row group, which one task would have to work on alone.
+
+    Other tables stay as they are: they have row groups enough, and moving them
+    costs more than it gains.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES and len(df.inputFiles()) == 1 else df
 
 
 def load_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -38,13 +85,16 @@ def load_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     raise ValueError(f"unknown kind of table: {path}")
 
 
+def column_for(columns: list[str], names: tuple[str, ...]) -> str | None:
+    """The column called by one of the names, the first name first, or else one whose name has one of them in it."""
+    low = {c.lower(): c for c in columns}
+    whole = next((low[n] for n in names if n in low), None)
+    return whole or next((c for c in columns if any(n in c.lower() for n in names)), None)
+
+
 def pick(df: DataFrame, field: str) -> str | None:
     """The column that holds a field."""
-    low = {c.lower(): c for c in df.columns}
-    for name in ALIASES[field]:
-        if name in low:
-            return low[name]
-    return next((low[c] for name in ALIASES[field] for c in low if name in c), None)
+    return column_for(df.columns, ALIASES[field])
 
 
 def as_documents(df: DataFrame, seq: str | None = None) -> DataFrame:
@@ -58,15 +108,35 @@ def as_documents(df: DataFrame, seq: str | None = None) -> DataFrame:
     return contexts.required(rows)
 
 
-def read_corpus(spark: SparkSession, metadata_csv: str, min_year: int, max_year: int) -> DataFrame:
-    """Documents of a collector's metadata file: rows with a year in range and a file that is there; the body follows the first empty line."""
+def plain_path(path: Column) -> Column:
+    """A path without its scheme and with escapes undone."""
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    return F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
+
+
+def body_of(whole: Column) -> Column:
+    """What follows the first empty line, or all of a text without one."""
+    lines = F.regexp_replace(whole, r"\r\n?", "\n")
+    at = F.instr(lines, "\n\n")
+    return F.when(at > 0, F.substring(lines, at + 2, F.length(lines))).otherwise(lines)
+
+
+def read_corpus(spark: SparkSession, metadata_csv: str, min_year: int, max_year: int, folder: str | None = None) -> DataFrame:
+    """Documents of a collector's metadata file: rows with a year in range and a file that is there, a row each.
+
+    A relative file_path is taken from the metadata file's folder; folder says
+    where else the texts are. seq is the order of the metadata file. Bytes that
+    are no UTF-8 are left out.
+    """
     meta = spark.read.schema(METADATA).option("header", True).option("multiLine", True).option("escape", '"').csv(metadata_csv)
-    kept = meta.withColumn("year", F.col("year").try_cast("int")).where(F.col("year").between(min_year, max_year))
-    folder = metadata_csv.rsplit("/", 1)[0]
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder).select(F.col("value").alias("whole"), F.col("_metadata.file_name").alias("file_name"))
-    rows = kept.withColumn("file_name", F.element_at(F.split("file_path", "/"), -1)).join(files, "file_name")
-    body = F.regexp_replace("whole", r"(?s)^.*?\r?\n\s*\r?\n", "")
-    return rows.select(F.xxhash64("file_name").alias("seq"), "source", "region", "year", F.col("primary_country").alias("country"), F.coalesce("title", F.lit("")).alias("title"), T.strip_boilerplate(body).alias("text"))
+    kept = meta.withColumns({"seq": F.monotonically_increasing_id(), "year": F.col("year").try_cast("int")}).where(F.col("year").between(min_year, max_year))
+    home = metadata_csv.rsplit("/", 1)[0]
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder or home, wholetext=True)
+    valid = F.coalesce(F.try_validate_utf8("value"), F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")))
+    files = files.select(valid.alias("whole"), plain_path(F.col("_metadata.file_path")).alias("path"))
+    given = F.when(F.col("file_path").rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:)?/"), plain_path(F.col("file_path"))).otherwise(F.concat(plain_path(F.lit(home + "/")), F.regexp_replace("file_path", r"^(\./)+", "")))
+    rows = kept.withColumn("path", given).join(files, "path")
+    return rows.select("seq", "source", "region", "year", F.col("primary_country").alias("country"), F.coalesce("title", F.lit("")).alias("title"), T.strip_boilerplate(body_of(F.col("whole"))).alias("text"))
 
 
 def decode_bytes(raw: bytes) -> str:
@@ -79,35 +149,94 @@ def decode_bytes(raw: bytes) -> str:
     return raw.decode("latin-1")
 
 
-def zip_texts(raw: bytes) -> Iterable[tuple[str, str]]:
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        for name in z.namelist():
-            if re.search(r"\.(txt|md|text)$", name, re.I):
-                yield name, decode_bytes(z.read(name))
-
-
 def docx_text(raw: bytes) -> str:
     """The paragraphs of a word-processor file."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         xml = z.read("word/document.xml").decode("utf-8")
     paragraphs = ["".join(re.findall(r"<w:t[^>]*>([^<]*)</w:t>", p)) for p in re.findall(r"(?s)<w:p[ >].*?</w:p>", xml)]
-    return "\n".join(p for p in paragraphs if p.strip())
+    return "\n".join(html.unescape(p) for p in paragraphs if p.strip())
+
+
+def pdf_text(raw: bytes) -> str:
+    """The strings that a PDF's pages show, a line for each text object.
+
+    Streams may be plain or deflated and strings literal or hexadecimal. Fonts
+    with an encoding of their own are not looked up, so texts set in them come
+    out as what they are stored as.
+    """
+    out = []
+    for head, body in re.findall(rb"(?s)<<((?:(?!stream).)*?)>>\s*stream\r?\n(.*?)\r?\n?endstream", raw):
+        if b"FlateDecode" in head:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        for block in re.findall(rb"(?s)\bBT\b(.*?)\bET\b", body):
+            shown = []
+            for literal, packed in re.findall(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]+)>", block):
+                data = bytes.fromhex(re.sub(r"\s", "", packed.decode()).ljust(2, "0")) if packed else re.sub(rb"\\(.)", lambda m: {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(m[1], m[1]), literal)
+                shown.append(data.decode("utf-16-be", "ignore") if data.startswith(b"\xfe\xff") else data.decode("latin-1"))
+            out.append("".join(shown))
+    return "\n".join(x for x in out if x.strip())
+
+
+def table_rows(name: str, raw: bytes) -> list[tuple[str, str]]:
+    """The rows of a table in a file, each as a text with a header, like an uploaded file."""
+    ending = name.rsplit(".", 1)[-1].lower()
+    try:
+        if ending == "csv":
+            try:
+                df = pd.read_csv(io.BytesIO(raw))
+            except (ValueError, UnicodeDecodeError):
+                df = pd.read_csv(io.BytesIO(raw), sep=None, engine="python")
+        elif ending == "json":
+            got = json.loads(decode_bytes(raw))
+            df = pd.DataFrame(got.get("rows", got) if isinstance(got, dict) else got)
+        else:
+            df = pd.read_excel(io.BytesIO(raw))
+    except (ValueError, ImportError, UnicodeDecodeError, zipfile.BadZipFile):
+        return []
+    df = df.fillna("")
+    found = {field: column_for([str(c) for c in df.columns], names) for field, names in TABLE_COLUMNS.items()}
+    if df.empty or found["text"] is None:
+        return []
+    df.columns = [str(c) for c in df.columns]
+    out = []
+    for i, row in enumerate(df.to_dict("records"), 1):
+        field = lambda name, otherwise: str(row[found[name]]).strip() if found[name] else otherwise  # noqa: B023, E731
+        if text := field("text", ""):
+            head = f"Title: {field('title', '') or f'Row {i}'}\nDate: {field('date', '')}\nSource: {field('source', 'Table upload')}\nMediaCountry: {field('media_country', '')}"
+            out.append((f"{name}__row_{i:06d}.txt", f"{head}\n\n{text}"))
+    return out
+
+
+def file_texts(name: str, raw: bytes) -> list[tuple[str, str]]:
+    """name and text of what a file holds, by its ending; nothing for endings that are not known."""
+    low = name.lower()
+    if low.endswith(".zip"):
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            inner = [i for i in z.infolist() if not i.is_dir() and not i.filename.lower().endswith(".zip")]
+            return [x for i in inner for x in file_texts(i.filename, z.read(i))]
+    if low.endswith((".csv", ".json", ".xlsx", ".xls")):
+        return table_rows(name, raw)
+    if low.endswith((".txt", ".md", ".text")):
+        text = decode_bytes(raw)
+    elif low.endswith(".docx"):
+        text = docx_text(raw)
+    elif low.endswith(".pdf"):
+        text = pdf_text(raw)
+    else:
+        return []
+    return [(name, text)] if text.strip() else []
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """name and text of text, word-processor and zipped files, decoded where they are read."""
+    """name and text of text, word-processor, PDF, table and zipped files, decoded where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def run(frames):
         for f in frames:
-            rows = []
-            for name, raw in zip(f["path"], f["content"], strict=True):
-                if name.lower().endswith(".zip"):
-                    rows += zip_texts(raw)
-                elif name.lower().endswith(".docx"):
-                    rows.append((name, docx_text(raw)))
-                else:
-                    rows.append((name, decode_bytes(raw)))
+            rows = [x for name, raw in zip(f["path"], f["content"], strict=True) for x in file_texts(name, raw)]
             yield pd.DataFrame(rows, columns=["name", "text"])
 
     return files.mapInPandas(run, "name string, text string")
@@ -118,17 +247,50 @@ def distinct_uploads(items: DataFrame) -> DataFrame:
     return items.withColumns({"_l": F.length("text"), "_m": F.md5("text")}).dropDuplicates(["name", "_l", "_m"]).drop("_l", "_m")
 
 
+def header(name: str) -> Column:
+    """The value of a header line of a text, or the empty text."""
+    return F.regexp_extract("text", rf"(?im)^\s*{name}:\s*(.+?)\s*$", 1)
+
+
+def outlet_of(name: Column) -> Column:
+    low = F.lower(name)
+    return F.coalesce(*[F.when(low.contains(part), outlet) for part, outlet in OUTLETS.items()], F.lit("Unknown"))
+
+
+def media_country_of(outlet: Column) -> Column:
+    return F.coalesce(*[F.when(outlet.isin(*outlets), country) for country, outlets in OUTLET_COUNTRIES.items()], F.lit("Unknown"))
+
+
+def country_of(name: Column, text: Column) -> Column:
+    """The country with most hints in the name and the first 4,000 characters of the text."""
+    sample = F.lower(F.concat(name, F.lit("\n"), F.substring(text, 1, 4000)))
+    counts = {c: sum((sample.contains(h).cast("int") for h in hints[1:]), sample.contains(hints[0]).cast("int")) for c, hints in COUNTRY_HINTS.items()}
+    most = F.greatest(*counts.values())
+    return F.coalesce(*[F.when(n == most, c) for c, n in counts.items()])
+
+
 def parse_header(items: DataFrame) -> DataFrame:
-    """title, source, media_country, date and year of uploads, and their text without the header lines."""
-    line = lambda name: F.regexp_extract("text", rf"(?im)^{name}:[ \t]*(.*?)\s*$", 1)
-    first = F.coalesce(F.get(F.filter(F.split("text", "\n"), lambda x: T.stripped(x) != ""), F.lit(0)), F.lit(""))
-    name = F.lower("name")
-    outlet = F.coalesce(*[F.when(name.contains(k), v) for k, v in OUTLETS.items()], F.nullif(line("Source"), F.lit("")), F.lit("Unknown"))
-    country = F.create_map(*[F.lit(x) for pair in OUTLET_COUNTRIES.items() for x in pair])
+    """title, outlet_name, media_country, date and year of uploads (name, text), and their text without the header lines.
+
+    A Source or MediaCountry line goes before what the file's name tells.
+    """
+    first = F.get(F.filter(F.transform(F.split("text", r"\r\n|[\n\r]"), T.stripped), lambda x: x != ""), F.lit(0))
+    titled = F.lower(first).startswith("title:")
+    title = F.when(titled, F.coalesce(F.nullif(T.stripped(F.substring(first, F.lit(7), F.length(first))), F.lit("")), F.lit("Untitled"))).otherwise(F.coalesce(first, F.lit("Untitled")))
+    outlet = F.coalesce(F.nullif(header("Source"), F.lit("")), outlet_of(F.col("name")))
     year = F.coalesce(T.year_in(F.col("name")), T.year_in(F.substring("text", 1, 500)), F.lit(2026))
-    head = items.withColumns({"title": F.coalesce(F.nullif(line("Title"), F.lit("")), T.stripped(first)), "outlet_name": outlet, "date": F.regexp_extract(F.substring("text", 1, 500), r"\b(20\d{2}-\d{2}-\d{2})\b", 1), "year": year})
-    head = head.withColumn("media_country", F.coalesce(F.nullif(line("MediaCountry"), F.lit("")), F.try_element_at(country, F.col("outlet_name")), F.lit("Unknown")))
-    return head.withColumn("text", T.strip_boilerplate(F.regexp_replace("text", r"(?im)^(Title|URL|Date|Source|MediaCountry):.*\r?\n?", "")))
+    date = F.nullif(F.regexp_extract(F.substring("text", 1, 500), r"\b(20\d{2}-\d{2}-\d{2})\b", 1), F.lit(""))
+    head = items.withColumns({"title": title, "outlet_name": outlet, "year": year}).withColumn("date", F.coalesce(date, F.col("year").cast("string")))
+    head = head.withColumn("media_country", F.coalesce(F.nullif(header("MediaCountry"), F.lit("")), media_country_of(F.col("outlet_name"))))
+    bare = T.stripped(F.regexp_replace("text", r"(?im)^\s*(Title|URL|Date):[^\n]*$", ""))
+    return head.withColumn("text", T.strip_boilerplate(bare))
+
+
+def build_docs(items: DataFrame, min_year: int, max_year: int) -> DataFrame:
+    """Uploads (seq, name, text) as documents of the corpus analysis: those with a body and a year in range."""
+    rows = parse_header(items.withColumn("country", country_of(F.col("name"), F.col("text"))))
+    region = F.when(F.col("outlet_name").isin(*OUTLET_COUNTRIES["Malaysia"]), "malaysia").otherwise("indonesia")
+    return rows.where((F.col("text") != "") & F.col("year").between(min_year, max_year)).select("seq", F.col("outlet_name").alias("source"), region.alias("region"), "year", "country", "title", "text")
 
 
 def collected_texts(parts: list[DataFrame]) -> DataFrame:
