@@ -34,17 +34,53 @@ def test_base_scores(spark):
     assert all(r.score < 0 for r in got)
 
 
-def test_tree_is_a_distribution_and_follows_suffixes():
+def plain_tree(texts, tree):
+    """Smoothed distributions and retained contexts, by the definition."""
+    counts = {}
+    for words in texts:
+        padded = b"\n" * tree.longest + b" ".join(words) + b"\n"
+        for i in range(tree.longest, len(padded)):
+            for d in range(tree.longest + 1):
+                counts.setdefault(padded[i - d : i], Counter())[padded[i]] += 1
+    total = sum(counts[b""].values())
+    prob = {b"": {s: (counts[b""][s] + 0.5) / (total + 0.5 * suffix_tree_lm.SYMBOLS) for s in range(256)}}
+    kept = {b""}
+    for c in sorted(counts, key=len):
+        n = counts[c]
+        if c and sum(n.values()) >= tree.least_count:
+            weight = tree.weight * len(n)
+            prob[c] = {s: (n[s] + weight * prob[c[1:]][s]) / (sum(n.values()) + weight) for s in range(256)}
+            if sum(k * math.log(prob[c][s] / prob[c[1:]][s]) for s, k in n.items()) >= tree.least_gain:
+                kept.add(c)
+    return prob, kept
+
+
+def test_scores_by_the_longest_retained_suffix(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 5))) for _ in range(12)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 40)))) for i in range(60)] + [(60, None), (61, "unseen zz \u0416"), (62, "a" * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tree = suffix_tree_lm.Tree(longest=4, least_count=3, least_gain=1.0, weight=1.5)
+    tokens = {i: (t or "").encode().lower().split() for i, t in rows}
+    prob, kept = plain_tree([t for i, t in tokens.items() if i % 3], tree)
+    assert 20 < len(kept) < len(prob)
+    for r in suffix_tree_lm.score(df, F.col("doc_id") % 3 != 0, tree).collect():
+        padded, want = b"\n" * tree.longest + b" ".join(tokens[r.doc_id]) + b"\n", 0.0
+        for i in range(tree.longest, len(padded)):
+            context = next(padded[i - d : i] for d in range(tree.longest, -1, -1) if padded[i - d : i] in kept)
+            want += math.log10(prob[context][padded[i]])
+        assert math.isclose(r.score, want, rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_tree_is_a_distribution_and_follows_suffixes(spark):
     import numpy as np
 
-    text = b"abab abab abba"
-    counts = {}
-    padded = b"\n" * 3 + text + b"\n"
+    grams = Counter()
+    padded = b"\n" * 3 + b"abab abab abba" + b"\n"
     for i in range(3, len(padded)):
-        for d in range(4):
-            counts.setdefault(padded[i - d : i], Counter())[padded[i]] += 1
-    tree = suffix_tree_lm.Tree(longest=3, least_divergence=0.001)
-    a = suffix_tree_lm.Automaton(counts, len(text) + 1, tree)
+        grams[int.from_bytes(padded[i - 3 : i + 1], "big")] += 1
+    tree = suffix_tree_lm.Tree(longest=3, least_gain=0.01)
+    a = suffix_tree_lm.grow(spark.createDataFrame(list(grams.items()), "gram long, times long"), tree)
     symbols = [c for c in range(256) if bytes([c]) == b" " or c == 10 or not bytes([c]).isspace()]
     assert len(symbols) == suffix_tree_lm.SYMBOLS
     assert np.allclose((10.0 ** a.log10[:, a.code[symbols]].astype(float)).sum(axis=1), 1, atol=1e-4)
@@ -52,6 +88,14 @@ def test_tree_is_a_distribution_and_follows_suffixes():
     alone = [a.scores([t])[0] for t in texts]
     assert np.allclose(a.scores(texts, lanes=7), alone)
     assert np.allclose(a.scores(texts), alone)
+    few = suffix_tree_lm.grow(spark.createDataFrame(list(grams.items()), "gram long, times long"), suffix_tree_lm.Tree(longest=3, least_gain=0.01, most_contexts=4))
+    assert few.contexts <= 4
+
+
+def test_held_out_texts_score_better_than_by_words(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = suffix_tree_lm.score(df, ~language_id.held_out(F.col("doc_id"), 10, 0)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r.s > r.b
 
 
 def test_nothing_to_learn_from(spark):
