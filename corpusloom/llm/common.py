@@ -76,10 +76,10 @@ def release(spark: SparkSession) -> None:
     cut in the lineage of a large result that is worth doing at once.
     """
     spark.range(1).count()  # the last job's references go when another one comes
-    for _ in range(2):  # the first round ends what holds the references; removal itself goes on in the background
+    for _ in range(3):  # the first rounds end what holds the references; removal itself goes on in the background
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(1)
 
 
 def stage(df: DataFrame) -> DataFrame:

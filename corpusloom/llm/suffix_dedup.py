@@ -159,8 +159,8 @@ def starts_of(number):
     return np.r_[True, number[1:] != number[:-1]] if len(number) else np.zeros(0, bool)
 
 
-def combined(key, uid, at, buckets: int) -> pa.Table:
-    """Entries of one task: names held several times are sent once, their other places as settled, with their neighbour as key and other."""
+def combined(key, uid, at, buckets: int, near: bool) -> pa.Table:
+    """Entries of one task: names held several times are sent once, their other places as settled, with their neighbour (if near) as key and other."""
     import numpy as np
 
     order = np.lexsort((at, uid, key))
@@ -171,7 +171,7 @@ def combined(key, uid, at, buckets: int) -> pa.Table:
     spread = flag == SETTLED
     bucket = bucket_of(key, buckets)
     bucket[spread] = (uid[spread] + at[spread].astype(np.uint64)) % np.uint64(buckets)
-    asked = {"key": np.where(spread, before(uid, first), key), "other": np.where(spread, before(at, first), 0).astype(np.int32), "uid": uid, "at": at, "flag": flag}
+    asked = {"key": np.where(spread, before(uid, first) if near else 0, key).astype(np.uint64), "other": np.where(spread & near, before(at, first), 0).astype(np.int32), "uid": uid, "at": at, "flag": flag}
     as_read = np.argsort(order)  # runs of one text in a bucket take little room
     return rows_of({c: x[as_read] for c, x in asked.items()}, bucket[as_read], "bucket")
 
@@ -182,8 +182,8 @@ def replies(groups: int, uid, at, kind, near_uid, near_at) -> pa.Table:
     return rows_of({"uid": uid, "at": at, "kind": kind.astype(np.uint8), "near_uid": near_uid, "near_at": near_at.astype(np.int32)}, (uid % np.uint64(groups)).astype(np.int32), "dbucket")
 
 
-def repeated(groups: int):
-    """For a bucket: the places whose name occurs more than once, each with its neighbour in the order."""
+def repeated(groups: int, near_too: bool):
+    """For a bucket: the places whose name occurs more than once, each with its neighbour in the order, if that is asked for too."""
 
     def run(table: pa.Table) -> pa.Table:
         import numpy as np
@@ -196,7 +196,10 @@ def repeated(groups: int):
         hit = ((size > 1) | told)[number] if len(place) else np.zeros(0, bool)
         near, own, rest = before(place, starts_of(number))[hit], place[hit], np.flatnonzero(flag == SETTLED)
         both = np.r_[own, rest]
-        return replies(groups, uid[both], at[both], np.zeros(len(both)), np.r_[uid[near], key[rest]], np.r_[at[near], other[rest]])
+        kind = np.zeros(len(both))
+        if not near_too:  # the same for all takes little room
+            return replies(groups, uid[both], at[both], kind, np.zeros(len(both), np.uint64), kind)
+        return replies(groups, uid[both], at[both], kind, np.r_[uid[near], key[rest]], np.r_[at[near], other[rest]])
 
     return run
 
@@ -231,7 +234,7 @@ def sampled(length: int, buckets: int, sizes: Sizes, names: Names):
 
         v, cover = difference_cover(length)
         core, cover = length - v + 1, np.array(cover)
-        task = Task(lambda *c: combined(*c, buckets), sizes.combine_entries)
+        task = Task(lambda *c: combined(*c, buckets, False), sizes.combine_entries)
         for b in batches:
             for uid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
@@ -466,7 +469,7 @@ def each_start(length: int, buckets: int, sizes: Sizes, names: Names):
         import numpy as np
         import zstandard
 
-        task = Task(lambda *c: combined(*c, buckets), sizes.combine_entries)
+        task = Task(lambda *c: combined(*c, buckets, True), sizes.combine_entries)
         grow = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for uid, packed, first, last in zip(*(b.column(c).to_pylist() for c in ("uid", "text", "first", "last")), strict=True):
@@ -580,7 +583,7 @@ def attempted(docs: DataFrame, length: int, sizes: Sizes, with_text: bool, attem
         return texts.groupBy("dbucket").cogroup(told.groupBy("dbucket")).applyInArrow(function, schema)
 
     n = buckets(total * len(cover) / v)
-    texts = cut(meet(whole, sort(given.mapInArrow(sampled(length, n, sizes, names), ENTRY), repeated(groups)), met(), TEXTS))
+    texts = cut(meet(whole, sort(given.mapInArrow(sampled(length, n, sizes, names), ENTRY), repeated(groups, False)), met(), TEXTS))
     release(docs.sparkSession)
     places = texts.agg(F.sum(F.octet_length("first") / 4)).first()[0] or 0
     n = buckets(places * sizes.ranges)
@@ -588,7 +591,7 @@ def attempted(docs: DataFrame, length: int, sizes: Sizes, with_text: bool, attem
     del texts
     release(docs.sparkSession)
     n = buckets(places * v / sizes.ranges / 4)
-    found = cut(meet(left, sort(left.mapInArrow(each_start(length, n, sizes, names), ENTRY), repeated(groups)), removed(length, groups, with_text), RESULT_SQL))
+    found = cut(meet(left, sort(left.mapInArrow(each_start(length, n, sizes, names), ENTRY), repeated(groups, True)), removed(length, groups, with_text), RESULT_SQL))
     release(docs.sparkSession)
     proofs = found.select(F.explode("proofs").alias("p")).select("p.*")
     wrong = meet(left.select("dbucket", "uid", "text"), proofs, compared, "uid long").union(found.where("differs").select("uid"))
