@@ -69,12 +69,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that nothing refers to any more.
+#: Bytes of input from which shuffle files are worth letting go of at once.
+RELEASE_BYTES = 32 << 20
+
+
+def release(spark: SparkSession, size: int) -> None:
+    """Let go of shuffle files that nothing refers to any more, if what they hold is large; size: bytes of the input.
 
     Spark removes them when the driver happens to collect its garbage; after a
     cut in the lineage of a large result that is worth doing at once.
     """
+    if size < RELEASE_BYTES:
+        return
     spark.range(1).count()  # the last job's references go when another one comes
     for _ in range(3):  # the first rounds end what holds the references; removal itself goes on in the background
         gc.collect()

@@ -325,9 +325,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, s: Sketche
     few = asked.count() <= s.few_keys  # then only the texts that are asked for travel
     needed = texts.join(F.broadcast(asked) if few else asked, "key", "left_semi").dropDuplicates(["key"])
     told = left.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    near = cut(short_batches(told).mapInArrow(jaccard, "a long, b long"))
-    release(near.sparkSession)
-    return near
+    return cut(short_batches(told).mapInArrow(jaccard, "a long, b long"))
 
 
 def text_key(docs: DataFrame) -> Column:
@@ -351,11 +349,14 @@ def near_groups(docs: DataFrame, s: Sketches = Sketches()) -> DataFrame:
     texts = docs.select(text_key(docs).alias("key"), text_column(docs).alias("text"))
     sketches = cut(sketched(texts, s).dropDuplicates(["key"]))
     shared = cut(shared_shingles(sketches))
-    release(docs.sparkSession)
+    size = 16 * (sketches.agg(F.sum("n")).first()[0] or 0)  # a shingle takes up about as many bytes of shuffle
+    release(docs.sparkSession, size)
     near = verified(ball_pairs(sketches, s).union(star(shared, None, 0, s)), sketches, texts, s)
+    release(docs.sparkSession, size)
     labels = components(near)
     for turn in range(1, s.rounds):
         near = near.union(verified(star(shared, labels, turn, s), sketches, texts, s))
+        release(docs.sparkSession, size)
         labels = components(near)
     rest = verified(all_pairs(shared, labels, sketches, s), sketches, texts, s)
     labels = components(near.union(rest))
