@@ -11,6 +11,10 @@ from corpusloom.llm import language_id, oracles, packing, quality_rules, simhash
 from corpusloom.llm.common import table
 
 
+#: Bytes of a passage that is told beside the strings that are removed: about what fifty short words take up.
+PASSAGE_BYTES = 200
+
+
 def tokenizer(name: str) -> str:
     """Where the installed vocabulary files are; operators take the path as a parameter."""
     import public_tokenizers
@@ -19,7 +23,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=400)
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=400, passage=PASSAGE_BYTES)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from xxhash import xxh64_intdigest
 
 from corpusloom.llm import simhash, suffix_dedup
 
-TINY = suffix_dedup.Sizes(bucket_entries=500, combine_entries=700, group_bytes=3000, ranges=3)
+TINY = suffix_dedup.Sizes(bucket_entries=500, combine_entries=700, group_bytes=3000, offsets=6)
 
 
 def removed(rows, length):
@@ -55,7 +55,7 @@ def test_difference_covers():
 
 
 #: Names of so few bits that unequal strings share them: only the comparison of bytes can tell.
-CLASHING = suffix_dedup.Sizes(bucket_entries=500, combine_entries=700, group_bytes=3000, ranges=3, name_bits=(7, 64))
+CLASHING = suffix_dedup.Sizes(bucket_entries=500, combine_entries=700, group_bytes=3000, offsets=6, name_bits=(7, 64))
 
 
 @pytest.mark.parametrize(("length", "sizes"), [(3, TINY), (20, TINY), (40, TINY), (100, suffix_dedup.Sizes()), (20, CLASHING)])
@@ -65,12 +65,21 @@ def test_substrings(spark, length, sizes):
     assert sorted([tuple(r) for r in suffix_dedup.deduplicate(df, length, sizes).collect()], key=str) == removed(rows, length)
 
 
+@pytest.mark.parametrize(("passage", "length", "sizes"), [(12, 30, TINY), (20, 27, TINY), (60, 120, suffix_dedup.Sizes())])
+def test_two_lengths(spark, passage, length, sizes):
+    rows = mixed(passage)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.deduplicate(df, length, sizes, passage).collect()
+    assert sorted([tuple(r)[:5] for r in got], key=str) == removed(rows, length)
+    assert sorted([(r.doc_id, r.n_bytes, r.n_in_passages) for r in got], key=str) == sorted([r[:3] for r in removed(rows, passage)], key=str)
+
+
 def test_names_that_clash_are_found_out(spark):
     df = spark.createDataFrame(mixed(9), "doc_id long, text string")
-    assert suffix_dedup.attempted(df, 20, CLASHING, False, 0)[1]
-    assert not suffix_dedup.attempted(df, 20, CLASHING, False, 1)[1]
+    assert suffix_dedup.attempted(df, (20,), CLASHING, False, 0)[1]
+    assert not suffix_dedup.attempted(df, (20,), CLASHING, False, 1)[1]
     with pytest.raises(RuntimeError):
-        suffix_dedup.repeats(df, 20, suffix_dedup.Sizes(name_bits=(7, 7)))
+        suffix_dedup.repeats(df, (20,), suffix_dedup.Sizes(name_bits=(7, 7)))
 
 
 def test_no_rows(spark):
