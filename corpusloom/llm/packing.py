@@ -21,25 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import short_batches, text_column
-from corpusloom.llm.word_bpe import word_bpe
+from corpusloom.llm.word_bpe import MEMO_ENTRIES, word_bpe
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Tokens of a sequence, the id after each document, and about how many pieces a group has."""
+    """Tokens of a sequence, the id after each document, about how many pieces a group has, and chunks of text that a worker remembers."""
 
     capacity: int = 2048
     end_id: int = 0
     group_pieces: int = 16_384
+    memo_entries: int = MEMO_ENTRIES
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, plan: Plan) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = word_bpe(tokenizer_path)
+        own = word_bpe(tokenizer_path, plan.memo_entries)
         end = plan.end_id.to_bytes(4, "little")
         for b in batches:
             rows, at = [], []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from corpusloom.llm.common import short_batches, text_column
 
 #: Chunks that a worker remembers before it starts anew, the longest fragment merged in rows, and the rank of no pair.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 900_000
 SHORT = 32
 NONE = 2**31 - 1
 #: The code points with the Unicode property White_Space.
@@ -42,10 +42,12 @@ LATIN_WORDS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\x
 class WordBpe:
     """Ids as the tokenizers library gives them for a file of this kind."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
         import numpy as np
         from tokenizers import Tokenizer
 
+        self.memo_entries = memo_entries
+
         library = Tokenizer.from_file(path)
         self.normalize, self.words = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
@@ -218,13 +220,13 @@ class WordBpe:
         memo, split = self.memo, [CHUNKS.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
         all_chunks = set().union(*split)
         new = all_chunks.difference(memo)
-        if len(memo) + len(new) > MEMO_ENTRIES:
+        if len(memo) + len(new) > self.memo_entries:
             memo.clear()
             new = all_chunks
         if new:
             self.learn(list(new))
         out = [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
-        if len(memo) > MEMO_ENTRIES:
+        if len(memo) > self.memo_entries:
             memo.clear()
         return out
 
@@ -276,15 +278,15 @@ def byte_characters() -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+def word_bpe(path: str, memo_entries: int = MEMO_ENTRIES) -> WordBpe:
+    return WordBpe(path, memo_entries)
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ids (binary, little-endian 32-bit) and decoded of every whole text.
 
-    Null and empty texts have no ids and decode to the empty text. Repeated
-    rows and null ids stay; other columns are ignored; no rows give no rows.
+    Null and empty texts have no ids and decode to the empty text; very long
+    ones are encoded whole. Repeated rows and null ids stay; other columns are ignored; no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
