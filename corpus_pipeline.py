@@ -22,6 +22,8 @@ from corpusloom.llm.queries import tokenizer
 LEAST_LANGUAGE_SHARE = 0.4
 #: Bytes of a repeated passage: about what fifty short words take up.
 PASSAGE_BYTES = 200
+#: Chunks of text that a worker remembers the tokens of: few, as the workers of all stages stay in memory.
+MEMO_CHUNKS = 400_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids; an empty text is one piece of one id."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), packing.Plan(memo_entries=MEMO_CHUNKS))
 
 
 STAGES = [
