@@ -245,17 +245,3 @@ def test_broken_segments_raise(spark):
         warc.reassembled(parts).select("block").collect()
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert 4 <= len(corpus_pipeline.STAGES) <= 5
-    for _, step in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        docs = step(spark, docs, SF).cache()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        assert 0 < docs.count() <= before
-    out = corpus_pipeline.run(spark, SF)
-    assert out.select("doc_id").distinct().count() == docs.count()
