@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import shared_dir, short_batches
+from corpusloom.llm.common import cut, shared_dir, short_batches
 
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -32,6 +32,8 @@ SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
 #: Records in one archive file: with segments of bounded length this bounds the file.
 FILE_RECORDS = 4_096
+#: Shared payloads (a digest, an id and an address each) that are broadcast at most.
+BROADCAST_ROWS = 100_000
 #: Bytes of payload for which a task writes archives.
 ARCHIVE_BYTES = 16_000_000
 PARTS = "origin string, number int, total long, kind string, page_id long, refers_to long, digest string, block binary"
@@ -74,16 +76,16 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"".join([VERSION, b"\r\n", head, b"Content-Length: %d\r\n\r\n" % len(block), block, b"\r\n\r"])
 
 
-def records(page_id, url, payload: bytes, is_response: bool, refers_to, name: str, segment_bytes: int) -> Iterator[bytes]:
-    """The records of one page. name: a record identifier that no other page of the archives has."""
+def records(page_id, url, payload: bytes, is_response: bool, refers_to, of: str, name: str, segment_bytes: int) -> Iterator[bytes]:
+    """The records of one page. of: the address of the response that a revisit refers to; name: a record identifier that no other page has."""
     digest = base32_sha1(payload)
-    uri = "".join(c for c in url or "urn:none" if c.isprintable())
+    uri, of = ("".join(c for c in x or "urn:none" if c.isprintable()) for x in (url, of))
     common = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("Page-Id", page_id), ("WARC-Payload-Digest", f"sha1:{digest}")]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if not is_response:
         block = http + b"Content-Length: %d\r\n\r\n" % len(payload)
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), *common, profile, ("Refers-To-Page-Id", refers_to), ("Content-Type", "application/http;msgtype=response")], block)
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), *common, profile, ("WARC-Refers-To-Target-URI", of), ("WARC-Refers-To-Date", DATE), ("Refers-To-Page-Id", refers_to), ("Content-Type", "application/http;msgtype=response")], block)
         return
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     kind = [("WARC-Type", "response"), ("WARC-Record-ID", f"<{name}>"), *common, ("Content-Type", "application/http;msgtype=response")]
@@ -126,8 +128,11 @@ def write(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES) ->
     are all rows of a payload whose ids are all null. No rows write no record.
     """
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html")).withColumn("sha", F.sha1("html"))
-    shared = given.groupBy("sha").agg(F.max("page_id").alias("largest"), F.count("*").alias("rows")).where(F.col("rows") > 1)
-    told = given.join(shared.select("sha", "largest"), "sha", "left").select("page_id", "url", "html", (F.col("largest").isNull() | F.coalesce(F.col("page_id") == F.col("largest"), F.lit(False))).alias("is_response"), F.col("largest").alias("refers_to"))
+    whole = given.groupBy("sha").agg(F.max("page_id").alias("largest"), F.max_by("url", "page_id").alias("of"), F.count("*").alias("rows"))
+    shared = cut(whole.where(F.col("rows") > 1).select("sha", "largest", "of"))
+    # up to a bound the payloads stay where they are, however many pages share one; beyond it they meet in a shuffle
+    few = shared.count() <= BROADCAST_ROWS
+    told = given.join(F.broadcast(shared) if few else shared, "sha", "left").select("page_id", "url", "html", F.coalesce("of", F.lit("urn:none")).alias("of"), (F.col("largest").isNull() | F.coalesce(F.col("page_id") == F.col("largest"), F.lit(False))).alias("is_response"), F.col("largest").alias("refers_to"))
     run_name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,10 +141,10 @@ def write(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES) ->
         task, row = TaskContext.get().partitionId(), 0
         for b in batches:
             out: list[bytes] = []
-            for page_id, url, html, is_response, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, html, of, is_response, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 name = uuid.uuid5(uuid.NAMESPACE_URL, f"{run_name}/{task}/{row}").urn
                 row += 1
-                out += records(page_id, url, html, is_response, refers_to, name, segment_bytes)
+                out += records(page_id, url, html, is_response, refers_to, of, name, segment_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     # archives of a worthwhile size, so that a large cluster's many tasks do not leave as many small files
