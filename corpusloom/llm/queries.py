@@ -11,8 +11,8 @@ from corpusloom.llm import language_id, oracles, packing, quality_rules, simhash
 from corpusloom.llm.common import table
 
 
-#: Bytes of a passage that is told beside the strings that are removed: about what fifty short words take up.
-PASSAGE_BYTES = 200
+#: Blocks of 100 bytes, sampled so that every repeated passage of 282 bytes (over fifty words of usual length) has one.
+BLOCKS = suffix_dedup.Sizes(period=183, block=100)
 
 
 def tokenizer(name: str) -> str:
@@ -23,7 +23,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=400, passage=PASSAGE_BYTES)
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=400, sizes=BLOCKS)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,6 @@ cover, so two equal strings meet at a sampled position k bytes on. The steps:
    byte by byte, with its neighbour in the sorted order. Neighbouring starts
    with neighbouring partners are compared as one stretch.
 
-For a second, greater length the steps begin at 2: a longer string repeats only
-where all the shorter ones in it do, so the places of the first are enough.
-
 Names are hashes, so the order is that of the names and not of the alphabet.
 Unequal names tell strings apart for certain; equal ones only route them to
 each other and step 4 decides. If it ever finds a difference, all is done again
@@ -51,6 +48,9 @@ from corpusloom.llm.common import OWN, cut, release, short_batches, text_column
 class Sizes:
     """Entries of a bucket, entries that a task combines at once, bytes of text in a group, and offsets in a range.
 
+    period: of the difference cover, at most (0: four fifths of the length);
+    block: bytes of a sampled block, at most (0: as many as every string has).
+
     name_bits: how many bits of a name count, at each attempt (fewer for tests, which force equal names so).
     """
 
@@ -58,11 +58,20 @@ class Sizes:
     combine_entries: int = 500_000
     group_bytes: int = 8_000_000
     offsets: int = 77
+    period: int = 0
+    block: int = 0
     name_bits: tuple[int, ...] = (64, 64, 64)
 
     def buckets(self, entries: float) -> int:
         return max(1, round(entries / self.bucket_entries))
 
+    def cover(self, length: int) -> tuple[int, tuple[int, ...]]:
+        return difference_cover(self.period or 4 * length // 5)
+
+    def sampled_block(self, length: int) -> int:
+        whole = length - self.cover(length)[0] + 1
+        return min(self.block, whole) if self.block else whole
+
 
 class Names:
     """Names of strings, other ones at each attempt."""
@@ -80,13 +89,13 @@ class Names:
 
 
 @lru_cache(maxsize=8)
-def difference_cover(length: int) -> tuple[int, tuple[int, ...]]:
-    """v and a perfect difference set modulo v, v at most four fifths of length.
+def difference_cover(most: int) -> tuple[int, tuple[int, ...]]:
+    """v and a perfect difference set modulo v, v at most so much.
 
     v = p^2 + p + 1 for a prime p: the powers of an element of GF(p^3) that lie
     in a plane over GF(p) (Singer's construction).
     """
-    primes = [p for p in range(2, 200) if all(p % q for q in range(2, p)) and 5 * (p * p + p + 1) <= 4 * length]
+    primes = [p for p in range(2, 200) if all(p % q for q in range(2, p)) and p * p + p + 1 <= most]
     if not primes:
         return 1, (0,)
     p = primes[-1]
@@ -238,13 +247,13 @@ def sampled(length: int, buckets: int, sizes: Sizes, names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        v, cover = difference_cover(length)
-        core, cover = length - v + 1, np.array(cover)
+        v, cover = sizes.cover(length)
+        core, cover = sizes.sampled_block(length), np.array(cover)
         task = Task(lambda *c: combined(*c, buckets, False), sizes.combine_entries)
         for b in batches:
             for uid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
-                if len(text) < length:
+                if len(text) < core:
                     continue
                 at = (np.arange(0, len(text), v)[:, None] + cover).ravel()
                 at = at[at <= len(text) - core]
@@ -367,7 +376,7 @@ def windows(length: int, buckets: int, sizes: Sizes, names: Names):
         import numpy as np
         import zstandard
 
-        v, _ = difference_cover(length)
+        v, _ = sizes.cover(length)
         spans = offset_ranges(v, sizes.offsets)
         task = Task(make, sizes.combine_entries)
         grow = zstandard.ZstdDecompressor().decompress
@@ -418,15 +427,15 @@ def settled(groups: int):
     return run
 
 
-def narrowed(length: int, offsets: int):
+def narrowed(length: int, sizes: Sizes):
     """Texts of a group with the starts that are to be looked at, and those known to repeat, as first and last ones of ranges."""
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         import numpy as np
         import zstandard
 
-        v, _ = difference_cover(length)
-        spans = offset_ranges(v, offsets)
+        v, _ = sizes.cover(length)
+        spans = offset_ranges(v, sizes.offsets)
         low, high = (np.array([s[x] for s in spans]) for x in (0, 1))
         by_uid, grow, out = Places(told), zstandard.ZstdDecompressor().decompress, []
         for row in texts.to_pylist():
@@ -489,30 +498,15 @@ def each_start(length: int, buckets: int, sizes: Sizes, names: Names):
     return run
 
 
-def places_within(first, last, n: int, length: int):
-    """The sampled positions for a length in a text of n bytes that a string from any start of the ranges meets."""
-    import numpy as np
-
-    v, cover = difference_cover(length)
-    at = (np.arange(0, n, v)[:, None] + np.array(cover)).ravel()
-    at = at[at <= n - (length - v + 1)]
-    first, last = united(first, last + v - 1)
-    if not len(first):
-        return at[:0]
-    here = np.searchsorted(first, at, "right") - 1
-    return at[(here >= 0) & (at <= last[here])]
-
-
 PROOF = pa.struct([("dbucket", pa.int32()), ("uid", pa.int64()), ("at", pa.int32()), ("bytes", pa.binary())])
-RESULT = pa.schema([("dbucket", pa.int32()), ("uid", pa.int64()), ("text", pa.binary()), ("next", pa.binary()), ("full_sha256", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("differs", pa.bool_()), ("proofs", pa.list_(PROOF))])
-RESULT_SQL = "dbucket int, uid long, text binary, next binary, full_sha256 string, n_removed long, n_spans long, kept_sha256 string, kept binary, differs boolean, proofs array<struct<dbucket: int, uid: long, at: int, bytes: binary>>"
+RESULT = pa.schema([("uid", pa.int64()), ("full_sha256", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("differs", pa.bool_()), ("proofs", pa.list_(PROOF))])
+RESULT_SQL = "uid long, full_sha256 string, n_removed long, n_spans long, kept_sha256 string, kept binary, differs boolean, proofs array<struct<dbucket: int, uid: long, at: int, bytes: binary>>"
 
 
-def removed(length: int, groups: int, with_text: bool, longer: int | None):
+def removed(length: int, groups: int, with_text: bool):
     """The texts of a group without the bytes of repeated strings.
 
-    text, next: with a longer length to come, the text and its sampled positions
-    where strings of that length may repeat. differs: a start of the text is not what another one of it was said to be.
+    differs: a start of the text is not what another one of it was said to be.
     proofs: bytes that other texts are said to have, to be compared there.
     """
 
@@ -545,13 +539,7 @@ def removed(length: int, groups: int, with_text: bool, longer: int | None):
                 else:
                     proofs.append({"dbucket": u % groups, "uid": other, "at": q, "bytes": squeeze(part)})
             digests = hashlib.sha256(text).hexdigest(), len(text) - len(kept), len(first), hashlib.sha256(kept).hexdigest()
-            onward = None, None
-            if longer:
-                low, high = united(np.r_[at, known[0]], np.r_[at, known[1]])
-                wide = high - low >= longer - length  # of shorter stretches of repeated starts no longer string comes
-                places = places_within(low[wide], high[wide] - (longer - length), len(text), longer)
-                onward = (row["text"], places.astype("<i4").tobytes()) if len(places) else onward
-            out.append((row["dbucket"], uid, *onward, *digests, squeeze(kept) if with_text else None, differs, proofs))
+            out.append((uid, *digests, squeeze(kept) if with_text else None, differs, proofs))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(RESULT), RESULT.types, strict=True)], schema=RESULT)
 
     return run
@@ -581,87 +569,77 @@ def row_key(docs: DataFrame, attempt: int = 0):
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_column(docs), F.lit(attempt))
 
 
-def repeats(docs: DataFrame, lengths: tuple[int, ...], sizes: Sizes = Sizes(), with_text: bool = False) -> tuple[list[DataFrame], int]:
-    """For each of the growing lengths uid, full_sha256, n_removed, n_spans, kept_sha256 and kept (compressed) of the rows that lose bytes.
+def repeats(docs: DataFrame, length: int, sizes: Sizes = Sizes(), with_text: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """uid, full_sha256, n_removed, n_spans, kept_sha256 and kept (compressed) of the rows that lose bytes.
 
-    The second value is the attempt that names the rows (see row_key).
+    Beside them uid and n_shared_blocks of the rows that have sampled blocks in
+    common with other places, and the attempt that names the rows (see row_key).
     """
-    if lengths[0] < 1 or list(lengths) != sorted(set(lengths)):
-        raise ValueError("lengths must be positive and grow")
+    if length < 1:
+        raise ValueError("length must be positive")
     for attempt in range(len(sizes.name_bits)):
-        found, wrong = attempted(docs, lengths, sizes, with_text, attempt)
+        found, blocks, wrong = attempted(docs, length, sizes, with_text, attempt)
         if not wrong:
-            return found, attempt
+            return found, blocks, attempt
     raise RuntimeError("strings of equal names differed at every attempt")
 
 
-def sort(entries: DataFrame, reduce) -> DataFrame:
-    return entries.groupBy("bucket").applyInArrow(reduce, REPLY)
-
-
-def meet(texts: DataFrame, told: DataFrame, function, schema: str) -> DataFrame:
-    return texts.groupBy("dbucket").cogroup(told.groupBy("dbucket")).applyInArrow(function, schema)
-
-
-def attempted(docs: DataFrame, lengths: tuple[int, ...], sizes: Sizes, with_text: bool, attempt: int) -> tuple[list[DataFrame], bool]:
+def attempted(docs: DataFrame, length: int, sizes: Sizes, with_text: bool, attempt: int) -> tuple[DataFrame, DataFrame, bool]:
     """What repeats() returns, and whether any of it was found to be wrong."""
-    names, length = Names(sizes, attempt), lengths[0]
+    names = Names(sizes, attempt)
     given = short_batches(docs).select(row_key(docs, attempt).alias("uid"), text_column(docs).cast("binary").alias("text"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    v, cover = difference_cover(length)
+    v, cover = sizes.cover(length)
+    ranges = len(offset_ranges(v, sizes.offsets))
     groups = max(1, -(-total // sizes.group_bytes))
     group = F.expr(f"cast((cast(uid as decimal(20,0)) + if(uid < 0, 18446744073709551616BD, 0BD)) % {groups} as int)")
-    whole = given.where(F.octet_length("text") >= length).select(group.alias("dbucket"), "uid", "text").mapInArrow(squeezed, "dbucket int, uid long, text binary")
+    least = sizes.sampled_block(length)
+    whole = given.where(F.octet_length("text") >= least).select(group.alias("dbucket"), "uid", "text").mapInArrow(squeezed, "dbucket int, uid long, text binary")
+
+    def sort(entries: DataFrame, reduce) -> DataFrame:
+        return entries.groupBy("bucket").applyInArrow(reduce, REPLY)
+
+    def meet(texts: DataFrame, told: DataFrame, function, schema: str) -> DataFrame:
+        return texts.groupBy("dbucket").cogroup(told.groupBy("dbucket")).applyInArrow(function, schema)
+
     n = sizes.buckets(total * len(cover) / v)
     texts = cut(meet(whole, sort(given.mapInArrow(sampled(length, n, sizes, names), ENTRY), repeated(groups, False)), met(), TEXTS))
     release(docs.sparkSession, total)
-    out, wrong = [], False
-    for length, longer in zip(lengths, (*lengths[1:], None), strict=True):
-        found, bad = resolved(texts, length, longer, sizes, names, groups, with_text, total)
-        wrong |= bad
-        none = F.lit(b"")
-        texts = found.where(F.col("next").isNotNull()).select("dbucket", "uid", "text", F.col("next").alias("first"), *[none.alias(c) for c in ("last", "settled_first", "settled_last", "claims")])
-        out.append(found.drop("dbucket", "text", "next", "differs", "proofs"))
-    return out, wrong
-
-
-def resolved(texts: DataFrame, length: int, longer: int | None, sizes: Sizes, names: Names, groups: int, with_text: bool, total: int) -> tuple[DataFrame, bool]:
-    """Steps 2 to 4: what removed() returns, and whether any of it was found to be wrong; texts: with their candidates; total: bytes of all texts."""
-    v, _ = difference_cover(length)
-    ranges = len(offset_ranges(v, sizes.offsets))
+    blocks = texts.select("uid", (F.octet_length("first") / 4).cast("long").alias("n_shared_blocks"))
     places = texts.agg(F.sum(F.octet_length("first") / 4)).first()[0] or 0
     n = sizes.buckets(places * ranges)
-    left = cut(meet(texts, sort(texts.mapInArrow(windows(length, n, sizes, names), ENTRY), settled(groups)), narrowed(length, sizes.offsets), TEXTS))
-    release(texts.sparkSession, total)
+    left = cut(meet(texts, sort(texts.mapInArrow(windows(length, n, sizes, names), ENTRY), settled(groups)), narrowed(length, sizes), TEXTS))
+    release(docs.sparkSession, total)
     n = sizes.buckets(places * v / ranges / 4)
-    found = cut(meet(left, sort(left.mapInArrow(each_start(length, n, sizes, names), ENTRY), repeated(groups, True)), removed(length, groups, with_text, longer), RESULT_SQL))
-    release(texts.sparkSession, total)
+    found = cut(meet(left, sort(left.mapInArrow(each_start(length, n, sizes, names), ENTRY), repeated(groups, True)), removed(length, groups, with_text), RESULT_SQL))
+    release(docs.sparkSession, total)
     proofs = found.select(F.explode("proofs").alias("p")).select("p.*")
     wrong = meet(left.select("dbucket", "uid", "text"), proofs, compared, "uid long").union(found.where("differs").select("uid"))
-    return found, bool(wrong.limit(1).count())
+    return found.drop("differs", "proofs"), blocks, bool(wrong.limit(1).count())
 
 
-def deduplicate(docs: DataFrame, length: int = 400, sizes: Sizes = Sizes(), passage: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs, with passage also n_in_passages.
+def deduplicate(docs: DataFrame, length: int = 400, sizes: Sizes = Sizes()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_shared_blocks of every row of docs.
 
     docs: doc_id and text; other columns are ignored, whatever their names. A
     text is its UTF-8 bytes; null counts as empty. Each byte that a string of
     `length` bytes covers which also starts anywhere else (in the same text
     too, overlapping or not) is removed; strings do not cross texts and are
-    judged on the input. n_in_passages counts the bytes that repeated strings
-    of `passage` bytes cover, a smaller length. Very long texts are taken whole.
-    Rows that repeat an id and text count as two texts. No rows give no rows.
+    judged on the input. Very long texts are taken whole. Rows that repeat an id
+    and text count as two texts. No rows give no rows.
+
+    n_shared_blocks is how many of the text's sampled blocks (see Sizes.block)
+    stand at another sampled place too, by their names. It tells of repeated
+    passages that are too short to be removed: every one of at least
+    block + period - 1 bytes has such a block, shorter ones may have.
     """
     text, zero = text_column(docs), F.lit(0).cast("long")
-    found, attempt = repeats(docs, (passage, length) if passage else (length,), sizes)
+    found, blocks, attempt = repeats(docs, length, sizes)
     out = docs.select("doc_id", row_key(docs, attempt).alias("uid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("full_sha256"))
-    lost = found[-1].select("uid", "full_sha256", "n_removed", "n_spans", "kept_sha256").dropDuplicates(["uid", "full_sha256"])
-    if passage:
-        within = found[0].select("uid", "full_sha256", F.col("n_removed").alias("n_in_passages")).dropDuplicates(["uid", "full_sha256"])
-        lost = within.join(lost, ["uid", "full_sha256"], "left")  # what a longer string covers shorter ones do too
-    out = out.join(lost, ["uid", "full_sha256"], "left")
-    more = [F.coalesce("n_in_passages", zero).alias("n_in_passages")] if passage else []
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "full_sha256").alias("kept_sha256"), *more)
+    lost = found.select("uid", "full_sha256", "n_removed", "n_spans", "kept_sha256").dropDuplicates(["uid", "full_sha256"])
+    told = blocks.groupBy("uid").agg(F.max("n_shared_blocks").alias("n_shared_blocks"))
+    out = out.join(lost, ["uid", "full_sha256"], "left").join(told, "uid", "left")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "full_sha256").alias("kept_sha256"), F.coalesce("n_shared_blocks", zero).alias("n_shared_blocks"))
 
 
 def without_repeats(docs: DataFrame, length: int, sizes: Sizes = Sizes()) -> DataFrame:
@@ -670,8 +648,8 @@ def without_repeats(docs: DataFrame, length: int, sizes: Sizes = Sizes()) -> Dat
     Bytes of a character that a removed string cuts through go too.
     """
     uid, sha, kept = (f"{OWN}{x}" for x in ("uid", "sha", "kept"))
-    found, attempt = repeats(docs, (length,), sizes, with_text=True)
-    lost = found[0].select(F.col("uid").alias(uid), F.col("full_sha256").alias(sha), F.col("kept").alias(kept)).dropDuplicates([uid, sha]).mapInArrow(readable, f"`{uid}` long, `{sha}` string, `{kept}` string")
+    found, _, attempt = repeats(docs, length, sizes, with_text=True)
+    lost = found.select(F.col("uid").alias(uid), F.col("full_sha256").alias(sha), F.col("kept").alias(kept)).dropDuplicates([uid, sha]).mapInArrow(readable, f"`{uid}` long, `{sha}` string, `{kept}` string")
     out = docs.withColumns({uid: row_key(docs, attempt), sha: F.sha2(text_column(docs).cast("binary"), 256)}).join(lost, [uid, sha], "left")
     untouched = F.col(kept).isNull()
     new = {"text": F.when(untouched, F.col("text")).otherwise(F.col(kept))}

@@ -49,7 +49,7 @@ def mixed(seed):
 
 def test_difference_covers():
     for length in (5, 9, 20, 100, 400, 1000):
-        v, cover = suffix_dedup.difference_cover(length)
+        v, cover = suffix_dedup.Sizes().cover(length)
         assert 5 * v <= 4 * length or v == 1
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
 
@@ -62,24 +62,36 @@ CLASHING = suffix_dedup.Sizes(bucket_entries=500, combine_entries=700, group_byt
 def test_substrings(spark, length, sizes):
     rows = mixed(length)
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, n_bytes string").repartition(3)
-    assert sorted([tuple(r) for r in suffix_dedup.deduplicate(df, length, sizes).collect()], key=str) == removed(rows, length)
-
-
-@pytest.mark.parametrize(("passage", "length", "sizes"), [(12, 30, TINY), (20, 27, TINY), (60, 120, suffix_dedup.Sizes())])
-def test_two_lengths(spark, passage, length, sizes):
-    rows = mixed(passage)
+    assert sorted([tuple(r)[:5] for r in suffix_dedup.deduplicate(df, length, sizes).collect()], key=str) == removed(rows, length)
+
+
+def test_shared_blocks(spark):
+    """Sampled blocks at more than one sampled place, by brute force; every repeated passage of enough bytes has one."""
+    rows = mixed(2)
+    sizes = suffix_dedup.Sizes(bucket_entries=500, combine_entries=700, group_bytes=3000, offsets=6, period=13, block=10)
+    v, cover = sizes.cover(60)
+    assert v == 13
+    at = collections.Counter()
+    places = {}
+    for n, (_, t) in enumerate(rows):
+        b = (t or "").encode()
+        places[n] = [b[p : p + 10] for p in range(len(b) - 9) if p % v in cover]
+        at.update(places[n])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = suffix_dedup.deduplicate(df, length, sizes, passage).collect()
-    assert sorted([tuple(r)[:5] for r in got], key=str) == removed(rows, length)
-    assert sorted([(r.doc_id, r.n_bytes, r.n_in_passages) for r in got], key=str) == sorted([r[:3] for r in removed(rows, passage)], key=str)
+    got = suffix_dedup.deduplicate(df, 60, sizes).collect()
+    assert sorted([tuple(r)[:5] for r in got], key=str) == removed(rows, 60)
+    want = [(rows[n][0], sum(at[x] > 1 for x in found)) for n, found in places.items()]
+    assert sorted([(r.doc_id, r.n_shared_blocks) for r in got], key=str) == sorted(want, key=str)
+    long_enough = removed(rows, 22)
+    assert {i for i, _, gone, *_ in long_enough if gone and i is not None} <= {r.doc_id for r in got if r.n_shared_blocks}
 
 
 def test_names_that_clash_are_found_out(spark):
     df = spark.createDataFrame(mixed(9), "doc_id long, text string")
-    assert suffix_dedup.attempted(df, (20,), CLASHING, False, 0)[1]
-    assert not suffix_dedup.attempted(df, (20,), CLASHING, False, 1)[1]
+    assert suffix_dedup.attempted(df, 20, CLASHING, False, 0)[2]
+    assert not suffix_dedup.attempted(df, 20, CLASHING, False, 1)[2]
     with pytest.raises(RuntimeError):
-        suffix_dedup.repeats(df, (20,), suffix_dedup.Sizes(name_bits=(7, 7)))
+        suffix_dedup.repeats(df, 20, suffix_dedup.Sizes(name_bits=(7, 7)))
 
 
 def test_no_rows(spark):
