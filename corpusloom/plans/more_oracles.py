@@ -199,6 +199,35 @@ COUNTRY = """WITH n AS (SELECT doc_id, lower(lang || '_' || doc_id || chr(10) ||
     SELECT doc_id, CASE WHEN u >= r AND u >= c THEN 'usa' WHEN r >= c THEN 'russia' ELSE 'china' END AS country FROM c"""
 
 
+THEME_WORDS = {
+    "security": "war military defense security threat missile perang militer pertahanan keamanan ancaman",
+    "economy": "economy trade tariff investment market inflation currency ekonomi perdagangan tarif investasi pasar",
+    "diplomacy": "diplomacy diplomatic meeting minister summit agreement diplomasi pertemuan menteri ktt kesepakatan",
+    "culture": "culture cultural artist music film sport sports budaya seniman musik film olahraga",
+}
+#: Names of countries, in any case, and abbreviations, as they are written.
+COUNTRY_NAMES = {
+    "usa": (["United States", "U\\.?S\\.?A\\.?", "Amerika Serikat", "Amerika Syarikat", "American", "Washington", "Gedung Putih", "White House", "Pentagon", "US Congress", "State Department", "Federal Reserve", "Wall Street"], ["US", "AS"]),
+    "russia": (["Russia", "Rusia", "Russian", "Moscow", "Kremlin", "Putin", "Lavrov", "Russian economy", "Russian military", "Eurasian"], []),
+    "china": (["China", "Chinese", "Cina", "Tiongkok", "Beijing", "Xi Jinping", "CCP", "CPC", "Communist Party of China", "Belt and Road", "BRI", "Yuan", "Renminbi", "Taiwan Strait", "South China Sea"], []),
+}
+
+
+def counts_of(column: str, words: list[str], flags: str = "(?i)") -> str:
+    return " + ".join(f"len(regexp_extract_all({column}, '{flags}\\b{w}\\b'))" for w in words)
+
+
+def country_theme() -> str:
+    themes = ", ".join(f"{counts_of('t', ws.split())} AS {n}" for n, ws in THEME_WORDS.items())
+    countries = ", ".join(f"{counts_of('c', any_case)}{''.join(' + ' + counts_of('c', [w], '') for w in as_is)} AS {n}" for n, (any_case, as_is) in COUNTRY_NAMES.items())
+    first = lambda names, none: f"CASE WHEN {' + '.join(names)} = 0 THEN '{none}' {' '.join(f"WHEN {n} = greatest({', '.join(names)}) THEN '{n}'" for n in names)} END"
+    return f"""WITH d AS (SELECT doc_id, chr(10) || left(coalesce(text, ''), 4000) AS t, chr(10) || left(coalesce(text, ''), 2500) AS c FROM documents), s AS (SELECT doc_id, {themes}, {countries} FROM d)
+    SELECT doc_id, CAST({' + '.join(THEME_WORDS)} AS INT) AS theme_hits, {first(list(THEME_WORDS), 'general')} AS theme, CAST({' + '.join(COUNTRY_NAMES)} AS INT) AS country_hits, {first(list(COUNTRY_NAMES), 'none')} AS country FROM s"""
+
+
+COUNTRY_THEME = country_theme()
+
+
 def all_sql(docs, scored: str, weighted, raw: str, content: str) -> dict[str, str]:
     """docs(use_lemma), scored: common table expressions; weighted(keys): a query; raw, content: SQL for the tokens of a text and the number of content words, with a place for it."""
     sc = f"WITH {scored}"

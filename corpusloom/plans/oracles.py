@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from corpusloom.functions import lexicons as L
 from corpusloom.functions import text as T
-from corpusloom.operators import collector
 from corpusloom.plans import more_oracles
 from corpusloom.plans.tables import PROFILE
 
@@ -182,18 +181,12 @@ def rank_of(m: str, by: str = "") -> str:
     return f"(rank() OVER ({part} ORDER BY {m}) + (count(*) OVER ({tied}) - 1) / 2.0::DOUBLE) / count(*) OVER ({part}) * 100"
 
 
-def theme(text: str) -> dict[str, str]:
-    sample = f"(chr(10) || left({text}, 4000))"
-    return {n: "(" + " + ".join(f"len(regexp_extract_all({sample}, '(?i){p}'))" for p in ps) + ")" for n, ps in collector.THEMES.items()}
-
-
 def tag(t: str) -> str:
     cases = "".join(" WHEN " + " OR ".join(f"suffix({t}, '{e}')" for e in es) + f" THEN '{n}'" for n, es in T.TAG_ENDINGS.items())
     return f"CASE WHEN list_contains({CORE}, {t}) THEN 'FUNC'{cases} ELSE 'NOUN' END"
 
 
 def all_sql() -> dict[str, str]:
-    th = theme("coalesce(text, '')")
     base = f"WITH {docs()}"
     sc = f"WITH {scored()}"
     top = lambda key: f"{base}, c AS (SELECT {key}, token, count(*) AS freq FROM toks GROUP BY ALL) SELECT {key}, token, freq FROM c QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY freq DESC, token) <= 250"
@@ -216,7 +209,7 @@ def all_sql() -> dict[str, str]:
             SELECT doc_id, CASE WHEN greatest(a, b, c, d) < 2 THEN 'mixed' WHEN a = greatest(a, b, c, d) THEN 'en' WHEN b = greatest(a, b, c, d) THEN 'id' WHEN c = greatest(a, b, c, d) THEN 'ms' ELSE 'ru' END AS detected FROM h""",
         "strip_boilerplate": f"SELECT doc_id, CAST(length(array_to_string(list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: NOT regexp_matches(lower(x), '{'|'.join(T.BOILERPLATE)}')), chr(10))) AS INT) AS n_chars_left FROM documents",
         "kwic": f"""{base}, h AS (SELECT seq, source, year, country, tokens, unnest(range(len(tokens))) AS pos FROM docs)
-            SELECT seq, CAST(pos AS INT) AS pos, source, year, country, array_to_string(tokens[greatest(pos - 6, 1) : pos], ' ') AS left_context, tokens[pos + 1] AS keyword, array_to_string(tokens[pos + 2 : pos + 8], ' ') AS right_context FROM h WHERE tokens[pos + 1] IN {among(anchor_terms)} ORDER BY seq, pos LIMIT 12000""",
+            SELECT seq, CAST(pos AS INT) AS pos, source, year, country, array_to_string(tokens[greatest(pos - 6, 1) : pos], ' ') AS left_context, tokens[pos + 1] AS keyword, array_to_string(tokens[pos + 2 : pos + 8], ' ') AS right_context FROM h WHERE tokens[pos + 1] IN {among(anchor_terms)}""",
         "referent_sentences": f"""{base}, s AS (SELECT seq, {sents('text')} AS sents FROM docs), e AS (SELECT seq, sents, unnest(range(len(sents))) AS i FROM s), w AS (SELECT *, {preprocessed('sents[i + 1]', True)} AS t FROM e),
             f AS (SELECT *, {', '.join(f"list_filter(t, lambda x: x IN {among(ts)})[1] AS f{n}" for n, ts in enumerate(P.anchors.values()))} FROM w)
             SELECT seq, CAST(i AS INT) AS i, CASE {' '.join(f"WHEN f{n} IS NOT NULL THEN '{c}'" for n, c in enumerate(P.anchors))} END AS anchor_country, coalesce({', '.join(f'f{n}' for n in range(len(P.anchors)))}) AS anchor_term, CASE WHEN i > 0 THEN sents[i] ELSE '' END AS prev_sent, sents[i + 1] AS hit_sent, coalesce(sents[i + 2], '') AS next_sent FROM f WHERE coalesce({', '.join(f'f{n}' for n in range(len(P.anchors)))}) IS NOT NULL""",
@@ -271,7 +264,7 @@ def all_sql() -> dict[str, str]:
         "page_link_filter": """SELECT page_id, array_to_string(list_filter(l, lambda u, i: regexp_matches(u, '^https?://') AND list_position(l, u) = i), ' ') AS links FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']([^"'']+)["'']', 1) AS l FROM pages)""",
         "html_paragraph_text": r"""WITH c AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g') AS h FROM pages), p AS (SELECT page_id, h, regexp_extract_all(h, '(?is)<p[^>]*>(.*?)</p>', 1) AS ps FROM c)
             SELECT page_id, CAST(length(trim(regexp_replace(CASE WHEN len(ps) > 0 THEN array_to_string(ps, ' ') ELSE regexp_replace(h, '(?s)<[^>]+>', ' ', 'g') END, '\s+', ' ', 'g'))) AS INT) AS n_chars FROM p""",
-        "country_theme_scores": f"WITH s AS (SELECT doc_id, {', '.join(f'{v} AS {n}' for n, v in th.items())} FROM documents) SELECT doc_id, CAST({' + '.join(th)} AS INT) AS theme_hits, CASE WHEN {' + '.join(th)} = 0 THEN 'general' {' '.join(f"WHEN {n} = greatest({', '.join(th)}) THEN '{n}'" for n in th)} END AS theme FROM s",
+        "country_theme_scores": more_oracles.COUNTRY_THEME,
         "capped_sample": f"{base} SELECT seq, source, country, year FROM docs QUALIFY row_number() OVER (PARTITION BY source, country, year ORDER BY seq) <= 3",
     }
     return sql | more_oracles.all_sql(docs, scored(), weighted, RAW, f"len(list_filter({RAW}, lambda t: NOT list_contains({CORE}, t) AND length(t) >= 2))")

@@ -102,6 +102,14 @@ def against_baseline(rows: DataFrame) -> DataFrame:
     return done.select("context_id", *[F.round(f"{m}_baseline_percentile", 4).alias(f"{m}_baseline_percentile") for m in METRICS])
 
 
+def country_and_theme(docs: DataFrame) -> DataFrame:
+    """Hits of all themes and of all countries, and the first of each; scores are made once."""
+    scores = {"t": collector.scores(F.lit(""), F.col("text"), collector.THEMES, collector.THEME_WINDOW), "c": collector.scores(F.lit(""), F.col("text"), collector.COUNTRIES, collector.COUNTRY_WINDOW)}
+    rows = docs.select("doc_id", *[v.alias(k) for k, v in scores.items()])
+    total = lambda c: F.aggregate(F.map_values(c), F.lit(0), lambda a, b: a + b)
+    return rows.select("doc_id", total("t").alias("theme_hits"), collector.primary(F.col("t"), list(collector.THEMES), "general").alias("theme"), total("c").alias("country_hits"), collector.primary(F.col("c"), list(collector.COUNTRIES), "none").alias("country"))
+
+
 def queries() -> dict[str, Query]:
     chi = lambda p: lambda d: corpus.significance(d, PROFILE, p)
     return {
@@ -121,7 +129,7 @@ def queries() -> dict[str, Query]:
         "language_detect": on_texts(lambda d: d.select("doc_id", T.detect_language(T.tokenize(F.col("text"), us=True), F.lit("none")).alias("detected"))),
         "strip_boilerplate": on_texts(lambda d: d.select("doc_id", F.length(T.strip_boilerplate(F.col("text"))).alias("n_chars_left"))),
         # contexts of anchors, association
-        "kwic": on_docs(lambda d: corpus.kwic(d, PROFILE, 7, 12_000)),
+        "kwic": on_docs(lambda d: corpus.kwic(d, PROFILE, 7, None)),
         "referent_sentences": on_docs(sentences_with_anchor),
         "collocations": on_docs(lambda d: corpus.collocations(d, PROFILE)),
         "keywords_llr": on_docs(corpus.keyness),
@@ -185,7 +193,7 @@ def queries() -> dict[str, Query]:
         "document_country": lambda s, d: tables.documents(s, d).select("doc_id", io.country_of(F.concat_ws("_", "lang", F.col("doc_id").cast("string")), F.coalesce("text", F.lit(""))).alias("country")),
         "html_paragraph_text": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.length(T.html_text(F.coalesce("html", F.lit("")))).alias("n_chars")),
         "page_link_filter": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.array_join(collector.links(F.col("html"), "^https?://"), " ").alias("links")),
-        "country_theme_scores": lambda s, d: tables.documents(s, d).select("doc_id", F.aggregate(F.map_values(collector.scores(F.lit(""), F.col("text"), collector.THEMES, 4000)), F.lit(0), lambda a, b: a + b).alias("theme_hits"), collector.primary(collector.scores(F.lit(""), F.col("text"), collector.THEMES, 4000), list(collector.THEMES), "general").alias("theme")),
+        "country_theme_scores": lambda s, d: country_and_theme(tables.documents(s, d)),
         "capped_sample": lambda s, d: collector.capped(tables.corpus_docs(s, d), 3, ("source", "country", "year")).select("seq", "source", "country", "year"),
         # the older document model
         "legacy_doc_indices": on_docs(lambda d: legacy.document_indices(d, PROFILE), use_lemma=True),
