@@ -48,7 +48,7 @@ WITH r AS (
 ), h AS (
     SELECT host, count(DISTINCT text) AS texts FROM r GROUP BY host
 ), o AS (
-    SELECT host, line FROM l JOIN h USING (host) GROUP BY host, line, texts HAVING count(DISTINCT text) > {limits.least_docs} AND count(DISTINCT text) > {limits.share} * texts
+    SELECT host, line FROM l JOIN h USING (host) GROUP BY host, line, texts HAVING count(DISTINCT text) > {limits.least_docs} OR (count(DISTINCT text) > {limits.few_docs} AND count(DISTINCT text) > {limits.share} * texts)
 ), g AS (
     SELECT rid, sum(words)::BIGINT AS gone FROM l JOIN o USING (host, line) GROUP BY rid
 ), m AS (

@@ -133,8 +133,10 @@ def verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     docs: doc_id, text and source (the host); other columns are ignored,
     whatever their names. Null and empty texts have no words and fail the base
-    rules; a null source is a host of its own; rows that repeat an id stay, and
-    rows equal in id, text and source count as one document; no rows give none.
+    rules; very long ones are read whole; a null source is a host of its own;
+    rows that repeat an id stay; no rows give none. A line's documents are
+    counted by their texts: a departure from counting ids, as copies of one text
+    would else make each of its lines common.
     """
     return judged(with_key(docs), limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 

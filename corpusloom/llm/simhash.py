@@ -98,7 +98,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     docs: doc_id and text; other columns are ignored, whatever their names.
     component_id is the smallest doc_id that links reach, the row's own included.
     Texts without a word have fingerprint 0 and are linked like any other; null
-    texts count as empty; rows that repeat an id stay; rows with a null id stay
+    texts count as empty; very long ones are read whole; a bit that exactly half
+    of the shingles set is 0; rows that repeat an id stay; rows with a null id stay
     and name no component (its component_id is null if no other id is there).
     """
     prints = cut(fingerprints(docs, width))

@@ -8,5 +8,5 @@ from corpusloom.llm import queries
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query(spark, name):
-    ours, theirs = compare(spark, "/root/testdata/sf0.001", queries.queries()[name], queries.oracle_sql()[name])
+    ours, theirs = compare(spark, "/root/testdata/sf0.01", queries.queries()[name], queries.oracle_sql()[name])
     assert ours == theirs
