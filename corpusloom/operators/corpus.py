@@ -24,7 +24,9 @@ def prepare(docs: DataFrame, profile: Profile, use_lemma: bool = True, min_year:
     raw = docs.withColumn("_raw", T.tokenize(F.coalesce("text", F.lit("")), us=True))
     if "language" not in docs.columns:
         raw = raw.withColumn("language", T.detect_language(F.col("_raw"), F.col("source")))
-    return raw.withColumn("tokens", T.preprocess(F.col("_raw"), use_lemma, profile.strict_stopwords)).drop("_raw").where(F.size("tokens") > 0)
+    # a generator of one row keeps what follows, filters above all, from working the tokens out again
+    made = raw.select("*", F.explode(F.array(T.preprocess(F.col("_raw"), use_lemma, profile.strict_stopwords))).alias("tokens")).drop("_raw")
+    return made.where(F.size("tokens") > 0)
 
 
 def profile_by(docs: DataFrame, *keys: str) -> DataFrame:
@@ -102,17 +104,14 @@ def content_but(terms: list[str], profile: Profile):
 
 def collocations(docs: DataFrame, profile: Profile, window: int = 5, least: int = 5, top: int = 250, most_common: float = 0.4) -> DataFrame:
     """Content words near anchors with MI, t-score and G2. Windows are slices of the token array: no self join."""
-    near = []
-    for country, terms in profile.anchors.items():
-        some = docs.where(F.arrays_overlap("tokens", T.literal_array(terms))).select("tokens", F.posexplode("tokens").alias("pos", "anchor")).where(T.among(F.col("anchor"), terms))
-        left = F.slice("tokens", F.greatest(F.col("pos") - window + 1, F.lit(1)), F.least(F.col("pos"), F.lit(window)))
-        around = F.concat(left, F.slice("tokens", F.col("pos") + 2, F.lit(window)))
-        kept = F.filter(around, content_but(terms, profile))
-        # the empty word counts the anchors themselves
-        near.append(some.select(F.lit(country).alias("anchor_country"), F.explode(F.array_append(kept, "")).alias("collocate")))
-    both = near[0]
-    for more in near[1:]:
-        both = both.unionByName(more)
+    every = anchor_terms(profile)
+    some = docs.where(F.arrays_overlap("tokens", T.literal_array(every))).select("tokens", F.posexplode("tokens").alias("pos", "anchor")).where(T.among(F.col("anchor"), every))
+    left = F.slice("tokens", F.greatest(F.col("pos") - window + 1, F.lit(1)), F.least(F.col("pos"), F.lit(window)))
+    around = some.select("anchor", F.concat(left, F.slice("tokens", F.col("pos") + 2, F.lit(window))).alias("around"))
+    # the empty word counts the anchors themselves
+    kept = lambda terms: F.array_append(F.filter("around", content_but(terms, profile)), "")
+    of_each = F.array_compact(F.array(*[F.when(T.among(F.col("anchor"), terms), F.struct(F.lit(c).alias("anchor_country"), kept(terms).alias("near"))) for c, terms in profile.anchors.items()]))
+    both = around.select(F.inline(of_each)).select("anchor_country", F.explode("near").alias("collocate"))
     counted = both.groupBy("anchor_country", "collocate").agg(F.count("*").alias("cooc_freq"))
     anchors = counted.where(F.col("collocate") == "").select("anchor_country", F.col("cooc_freq").alias("c_x"))
     vocabulary = docs.select(F.explode("tokens").alias("collocate"), F.col("seq").alias("_d")).groupBy("collocate", "_d").agg(F.count("*").alias("n")).groupBy("collocate").agg(F.sum("n").alias("c_y"), F.count("*").alias("df"))
