@@ -27,6 +27,26 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN largest
     CASE WHEN largest IS NULL OR page_id = largest THEN NULL ELSE largest END AS refers_to FROM d
 """
 
+LEAKS = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents
+), b AS (
+    SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark
+), p AS (
+    SELECT DISTINCT item, least(10, len(words)) AS n, array_to_string(words[i : i + 9], ' ') AS phrase FROM (SELECT item, words, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i FROM b WHERE len(words) > 0)
+), g AS (
+    SELECT rid, i, n, array_to_string(words[i : i + n - 1], ' ') AS phrase FROM (SELECT rid, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM p))
+), o AS (
+    SELECT rid, i, g.n, item FROM g JOIN p USING (phrase)
+), h AS (
+    SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT rid, i, n FROM o)) GROUP BY rid
+), f AS (
+    SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT rid, item FROM o) GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN f USING (rid)
+"""
+
 SPACES = r"[\x20\x09-\x0D]+"
 A_WORD = r"[^\x20\x09-\x0D]"
 
@@ -63,4 +83,4 @@ SELECT *, NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_word
 
 
 def all_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality(), "op7_topk": TOPK, "op9_warc": WARC}
+    return {"op6_quality_rules": quality(), "op7_topk": TOPK, "op9_warc": WARC, "op13_decontamination": LEAKS}
