@@ -47,6 +47,35 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN h USING (rid) LEFT JOIN f USING (rid)
 """
 
+INTEGER = "list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+def lloyd(rounds: int = 10) -> str:
+    """The rounds one by one, as each reads the centroids of the one before."""
+    steps = [f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, {INTEGER.format(scale=1024)} AS q FROM embeddings WHERE {FINITE} AND len(embedding) = 64
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY name, q) - 1 AS cluster, q FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS name, q FROM v ORDER BY name, q LIMIT 8)
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f""", a{i} AS MATERIALIZED (
+    SELECT rid, vec_id, v.q, cluster, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i]))) AS BIGINT) AS distance FROM v CROSS JOIN c{i} c
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1
+)""")
+        if i < rounds:
+            steps.append(f""", m{i} AS (
+    SELECT cluster, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, unnest(range(1, 65)) AS d FROM a{i}) GROUP BY cluster, d
+), c{i + 1} AS MATERIALIZED (
+    SELECT c.cluster, coalesce(n.q, c.q) AS q FROM c{i} c LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY d) AS q FROM m{i} GROUP BY cluster) n USING (cluster)
+)""")
+    return "".join(steps) + f"""
+SELECT vec_id, CAST(cluster AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (cluster)
+"""
+
+
 SPACES = r"[\x20\x09-\x0D]+"
 A_WORD = r"[^\x20\x09-\x0D]"
 
@@ -83,4 +112,4 @@ SELECT *, NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_word
 
 
 def all_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality(), "op7_topk": TOPK, "op9_warc": WARC, "op13_decontamination": LEAKS}
+    return {"op6_quality_rules": quality(), "op7_topk": TOPK, "op9_warc": WARC, "op11_centroid_clustering": lloyd(), "op13_decontamination": LEAKS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, language_id, oracles, packing, quality_rules, simhash, suffix_dedup, suffix_tree_lm, token_counts, topk, warc, word_bpe
+from corpusloom.llm import clustering, decontamination, language_id, oracles, packing, quality_rules, simhash, suffix_dedup, suffix_tree_lm, token_counts, topk, warc, word_bpe
 from corpusloom.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_warc": op9_warc,
         "op10_bpe_roundtrip": op10_bpe_roundtrip,
+        "op11_centroid_clustering": op11_centroid_clustering,
         "op13_decontamination": op13_decontamination,
         "pipeline": pipeline,
     }

@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination
+from corpusloom.llm import clustering, decontamination
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -93,3 +94,87 @@ def test_contamination_of_nothing(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert sorted(tuple(r)[:4] for r in decontamination.contamination(docs, items).collect()) == [(1, 2, 0, 0), (2, 0, 0, 0)]
     assert decontamination.contamination(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).collect() == []
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, cluster string"
+
+
+def plain_lloyd(rows, k, rounds, components, seed=3):
+    """rows: (id, vector of integers), already kept ones."""
+    name = lambda r: (1, "", r[1]) if r[0] is None else (0, hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest(), r[1])
+    centroids = [v for _, v in sorted(rows, key=name)[:k]]
+    far = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c, strict=True))
+    nearest = lambda v: min(range(len(centroids)), key=lambda i: (far(v, centroids[i]), i))
+    for _ in range(rounds):
+        label = [nearest(v) for _, v in rows]
+        for i in range(len(centroids)):
+            own = [v for (_, v), x in zip(rows, label, strict=True) if x == i]
+            if own:
+                centroids[i] = [sum(d) // len(own) for d in zip(*own, strict=True)]
+    label = [nearest(v) for _, v in rows]
+    distance = [far(v, centroids[i]) for (_, v), i in zip(rows, label, strict=True)]
+    inertia = [sum(d for d, x in zip(distance, label, strict=True) if x == i) for i in range(len(centroids))]
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return sorted(((i, x, d, inertia[x], sum(inertia), digest[x]) for (i, _), x, d in zip(rows, label, distance, strict=True)), key=str)
+
+
+def vectors(n, components, seed, spread):
+    """Points about a few centres, on a coarse grid so that ties are common, with repeated rows and odd ones."""
+    rnd = random.Random(seed)
+    centres = [[rnd.uniform(-1, 1) for _ in range(components)] for _ in range(5)]
+    rows = [(i, [round(x + rnd.gauss(0, spread), 1) for x in rnd.choice(centres)], i % 4, "x") for i in range(n)]
+    rows += [rows[3], rows[3], (None, rows[5][1], 1, None), (7, rows[8][1], 2, "x")]
+    rows += [(n + i, rows[9][1], i % 3, "x") for i in range(n // 3)]
+    odd = [(9001, None, 1, "x"), (9002, [1.0], 1, "x"), (9003, [float("nan")] * components, 1, "x"), (9004, [float("inf")] * components, 1, "x"), (9005, [None] * components, 1, "x"), (9006, [1e30] * components, 2, "x")]
+    return rows, odd
+
+
+@pytest.mark.parametrize(("n", "k", "components", "block", "spread"), [(120, 8, 3, 1024, 0.3), (150, 20, 2, 16, 0.05), (60, 4, 5, 7, 0.0), (3, 8, 4, 10, 0.2)])
+def test_clusters_by_brute_force(spark, n, k, components, block, spread):
+    rows, odd = vectors(max(n, 10), components, n, spread)
+    rows = rows if n > 3 else rows[:3]
+    plan = clustering.Lloyd(clusters=k, rounds=3, components=components, block=block, pairs=64)
+    got = clustering.clusters(spark.createDataFrame(rows + odd, VECTORS).repartition(3), plan)
+    import numpy as np
+
+    whole = [(i, [int(np.floor(float(np.float32(x)) * 1024)) for x in v]) for i, v, *_ in rows]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain_lloyd(whole, k, 3, components)
+
+
+def test_trees_prune_in_clustered_vectors():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-1000, 1000, (16, 8))
+    points = np.concatenate([c + rng.integers(-20, 20, (64, 8)) for c in centres])
+    tree = clustering.CoverTree(points, 1.3)
+    block = type("Block", (), {k: getattr(tree, k) for k in clustering.PARTS if k != "vectors"})()
+    place = np.empty(len(points), np.int64)
+    place[tree.order] = np.arange(len(points))
+    block.vectors, block.point = points[tree.order], place[tree.point]
+    seen = [0, 0]
+    label = clustering.assign(block, centres, clustering.CoverTree(centres, 1.3), 1 << 12, seen)
+    assert (label == ((block.vectors[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
+    assert sum(seen) < len(points) * len(centres) / 10
+
+
+def test_cover_tree_holds_what_it_promises():
+    import numpy as np
+
+    points = np.random.default_rng(2).integers(-50, 50, (300, 3))
+    tree = clustering.CoverTree(points, 1.3)
+    for i in range(len(tree.point)):
+        members = tree.order[tree.low[i] : tree.high[i]]
+        assert np.isclose(np.sqrt(((points[members] - points[tree.point[i]]) ** 2).sum(axis=1)).max(), tree.radius[i])
+        if tree.count[i]:
+            own = range(tree.first[i], tree.first[i] + tree.count[i])
+            assert sorted(x for c in own for x in tree.order[tree.low[c] : tree.high[c]]) == sorted(members)
+            centres = points[tree.point[own.start : own.stop]].astype(float)
+            apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))[np.triu_indices(len(centres), 1)]
+            assert apart.min() > max(tree.radius[c] for c in own) * 0.999 and tree.point[i] in tree.point[own.start : own.stop]
+
+
+def test_clusters_of_nothing(spark):
+    none = spark.createDataFrame([], VECTORS)
+    assert clustering.clusters(none).collect() == []
+    assert clustering.clusters(spark.createDataFrame([(1, None, 1, "x")], VECTORS)).columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
