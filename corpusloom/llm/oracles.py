@@ -76,6 +76,20 @@ FROM a{rounds} JOIN c{rounds} c USING (cluster)
 """
 
 
+NEGATIVES = f"""
+WITH v AS (
+    SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {INTEGER.format(scale=256)} AS q FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {FINITE}
+), s AS MATERIALIZED (
+    SELECT a.rid, a.vec_id AS anchor_id, b.rid AS other, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.rid <> b.rid AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+), p AS (
+    SELECT rid, other, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) <= 5
+), n AS (
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY rid, p.other ORDER BY s.score DESC, s.vec_id) AS INT) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+    FROM p JOIN s USING (rid) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT * FROM n WHERE rank <= 3
+"""
+
 SPACES = r"[\x20\x09-\x0D]+"
 A_WORD = r"[^\x20\x09-\x0D]"
 
@@ -112,4 +126,4 @@ SELECT *, NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_word
 
 
 def all_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality(), "op7_topk": TOPK, "op9_warc": WARC, "op11_centroid_clustering": lloyd(), "op13_decontamination": LEAKS}
+    return {"op6_quality_rules": quality(), "op7_topk": TOPK, "op9_warc": WARC, "op11_centroid_clustering": lloyd(), "op12_hard_negatives": NEGATIVES, "op13_decontamination": LEAKS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import clustering, decontamination, language_id, oracles, packing, quality_rules, simhash, suffix_dedup, suffix_tree_lm, token_counts, topk, warc, word_bpe
+from corpusloom.llm import clustering, decontamination, hard_negatives, language_id, oracles, packing, quality_rules, simhash, suffix_dedup, suffix_tree_lm, token_counts, topk, warc, word_bpe
 from corpusloom.llm.common import table
 
 
@@ -67,6 +67,12 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are taken as wrong, one on."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_bpe_roundtrip": op10_bpe_roundtrip,
         "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_decontamination": op13_decontamination,
         "pipeline": pipeline,
     }

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import clustering, decontamination
+from corpusloom.llm import clustering, decontamination, hard_negatives
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -178,3 +178,60 @@ def test_clusters_of_nothing(spark):
     none = spark.createDataFrame([], VECTORS)
     assert clustering.clusters(none).collect() == []
     assert clustering.clusters(spark.createDataFrame([(1, None, 1, "x")], VECTORS)).columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+
+
+def plain_negatives(rows, positives=5, negatives=3):
+    """rows: (id, label, vector of integers), already kept ones."""
+    out = []
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    for i, (anchor, label, v) in enumerate(rows):
+        if anchor % 50 == 0:
+            scored = sorted((-dot(v, w), other, own) for j, (other, own, w) in enumerate(rows) if j != i and len(w) == len(v))
+            for p, positive, _ in [x for x in scored if x[2] == label][:positives]:
+                window = [(s, other) for s, other, own in scored if own != label and 50 * -p <= 100 * -s <= 95 * -p]
+                out += [(anchor, positive, rank, other, -p, -s) for rank, (s, other) in enumerate(window[:negatives], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("plan", [hard_negatives.Mining(), hard_negatives.Mining(candidates=40, anchors=3, near=4, sample=50, codewords=8), hard_negatives.Mining(sample=0)])
+def test_hard_negatives_by_brute_force(spark, plan):
+    import numpy as np
+
+    rows, odd = vectors(250, 7, 4, 0.5)
+    rows += [rows[50], rows[50], rows[100], (150, rows[0][1], 1, "x"), (4000, [0.5, 0.25], 1, "x"), (4001, [0.5, 0.5], 1, "x"), (4003, [0.4, 0.3], 2, "x")]
+    odd += [(9050, [0.1] * 7, None, "x")]
+    got = hard_negatives.mine(spark.createDataFrame(rows + odd, VECTORS).repartition(3), F.col("vec_id") % 50 == 0, F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")), plan)
+    kept = [(i, (c + 1) % 10 if i % 7 == 0 else c, [int(np.floor(float(np.float32(x)) * 256)) for x in v]) for i, v, c, _ in rows if i is not None]
+    want = plain_negatives(kept)
+    assert len(want) > 50
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_bounds_hold_and_filter():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    points = np.floor(rng.normal(0, 32, (4000, 64))).astype(np.int64)
+    plan = hard_negatives.Mining()
+    book = hard_negatives.codebook(points[:2000], plan)
+    split = hard_negatives.parts(points, plan.subspace)
+    code = np.stack([hard_negatives.nearest(split[:, s], book[s]) for s in range(len(book))], axis=1)
+    left = (split - book[np.arange(len(book)), code]).reshape(len(points), -1)
+    n = np.arange(len(points))
+    import pyarrow as pa
+
+    rows = hard_negatives.Candidates(pa.table({"row": n, "vec_id": n, "label": n % 10, "times": n * 0 + 1, "residual": np.sqrt((left**2).sum(axis=1)), "vector": [v.astype("<i4").tobytes() for v in points], "codes": [c.astype("<u2").tobytes() for c in code]}), book)
+    scored = [0]
+    for anchor in points[::100]:
+        exact = points @ anchor
+        approx, off = rows.bounds(anchor)
+        assert (np.abs(exact - approx) <= off).all()
+        low, high = 10_000, 24_000
+        at, scores = rows.best(anchor, approx, off, n % 10 != 3, 3, low, high, plan.near, scored)
+        inside = sorted((-s, i) for i, s in enumerate(exact.tolist()) if low <= s <= high and i % 10 != 3)
+        assert [(-s, i) for i, s in zip(at.tolist(), scores.tolist(), strict=True)] == inside[:3]
+    assert scored[0] < 0.5 * 40 * len(points)
+
+
+def test_hard_negatives_of_nothing(spark):
+    assert hard_negatives.mine(spark.createDataFrame([], VECTORS), F.col("vec_id") % 50 == 0).collect() == []
