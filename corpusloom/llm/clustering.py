@@ -26,7 +26,7 @@ from corpusloom.llm.common import short_batches, stage
 from corpusloom.llm.vectors import integers, matrix
 
 #: As many centroids may travel to all tasks.
-MOST_CLUSTERS = 1 << 16
+MOST_CLUSTERS = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -257,7 +257,7 @@ def moved(blocks: DataFrame, centroids, plan: Lloyd):
     parts = short_batches(blocks).mapInArrow(summed(centroids, plan), "cluster int, n long, sums array<long>")
     each = parts.select("cluster", "n", F.posexplode("sums").alias("dim", "part")).groupBy("cluster", "dim").agg(F.sum("n").alias("n"), F.sum(F.col("part").cast("decimal(38,0)")).alias("total"))
     out = centroids.copy()
-    for r in each.toLocalIterator():  # clusters x components rows
+    for r in each.collect():  # clusters x components rows
         out[r.cluster, r.dim] = int(r.total) // r.n
     return np.ascontiguousarray(out)
 
