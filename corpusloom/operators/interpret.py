@@ -132,10 +132,11 @@ def mini_referents(contexts: DataFrame, terms: list[str]) -> DataFrame:
 
 def baseline_filter(baseline: DataFrame, scored: DataFrame, mode: str) -> DataFrame:
     """The part of a calibration baseline that a mode names, or all of it where that part is empty."""
+    if mode == "same_ref_country_only":
+        kept = baseline.join(scored.select("ref_country").distinct(), "ref_country", "left_semi").select(*baseline.columns)
+        return kept if not kept.isEmpty() else baseline
     if mode in BASELINE_TYPES:
         some = F.col("calibration_type") == BASELINE_TYPES[mode]
-    elif mode == "same_ref_country_only":
-        some = F.col("ref_country").isin([r.ref_country for r in scored.select("ref_country").distinct().limit(1000).collect()])
     elif mode == "same_language_only" and "language" in scored.columns and "language" in baseline.columns:
         most = scored.where(F.col("language").isNotNull()).groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").first()
         some = F.col("language") == (most.language if most else "")

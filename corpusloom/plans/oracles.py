@@ -19,6 +19,16 @@ def r6(x: str) -> str:
     return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), 6) AS DOUBLE)"
 
 
+#: The mean of value in whole billionths, rounded half up to six places without doubles.
+UNITS_SUM = "sum(CAST(round(value * 1000000000) AS HUGEINT))::HUGEINT"
+MEAN6 = f"((2 * {UNITS_SUM} + 1000 * count(*) - ((2 * {UNITS_SUM} + 1000 * count(*)) % (2000 * count(*)) + 2000 * count(*)) % (2000 * count(*))) // (2000 * count(*)))::DOUBLE / 1000000.0::DOUBLE"
+
+
+def half_up(x: str) -> str:
+    """Half up to six places, after what doubles leave beyond the ninth is gone."""
+    return r6(f"round({x}, 9)")
+
+
 def among(values) -> str:
     return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 
@@ -256,7 +266,7 @@ def all_sql() -> dict[str, str]:
         "anchor_status": f"{sc}, p AS (SELECT context_id, round(100 * cume_dist() OVER (ORDER BY IP_context_abs), 6) AS p FROM scored) SELECT context_id, CASE WHEN p >= 95 THEN 'extreme_anchor' WHEN p >= 85 THEN 'upper_anchor' WHEN p BETWEEN 45 AND 55 THEN 'middle_anchor' WHEN p <= 15 THEN 'lower_anchor' ELSE 'none' END AS anchor_status FROM p",
         "metric_distributions": f"""{sc}, l AS ({' UNION ALL '.join(f"SELECT media_country, ref_country, '{m}' AS metric, {m}::DOUBLE AS value FROM scored" for m in METRICS)}),
             g AS (SELECT 'all' AS scope, 'all' AS grp, metric, value FROM l UNION ALL SELECT 'referent', ref_country, metric, value FROM l UNION ALL SELECT 'media_referent', media_country || '|' || ref_country, metric, value FROM l)
-            SELECT scope, grp AS "group", metric, count(*) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, {', '.join(f'round(quantile_cont(value, {q}), 6) AS {n}' for n, q in (('p10', .1), ('p25', .25), ('p50', .5), ('p75', .75), ('p90', .9), ('p95', .95), ('p97', .97), ('p99', .99)))} FROM g GROUP BY ALL""",
+            SELECT scope, grp AS "group", metric, count(*) AS count, min(value) AS min, max(value) AS max, {MEAN6} AS mean, {half_up('stddev_pop(value)')} AS std, {', '.join(f"{half_up(f'quantile_cont(value, {q})')} AS {n}" for n, q in (('p10', .1), ('p25', .25), ('p50', .5), ('p75', .75), ('p90', .9), ('p95', .95), ('p97', .97), ('p99', .99)))} FROM g GROUP BY ALL""",
         "outliers": f"""{sc}, {', '.join(f"o{m} AS (SELECT context_id, '{m}' AS metric FROM scored, (SELECT quantile_cont({m}, 0.99) AS hi, quantile_cont({m}, 0.5) AS mid FROM scored) WHERE {m} > hi AND (mid <= 0 OR {m} > 3 * mid))" for m in METRICS)} {' UNION ALL '.join(f'SELECT * FROM o{m}' for m in METRICS)}""",
         "candidate_terms": f"""WITH {contexts()}, w AS (SELECT lower(trim(x, '.,;:!?()[]{{}}"''')) AS t FROM (SELECT unnest(regexp_split_to_array(context_text, '\\s+')) AS x FROM contexts)), c AS (SELECT t, count(*) AS f FROM w WHERE length(t) >= 4 GROUP BY t HAVING count(*) >= 3)
             SELECT t AS candidate_term, f AS frequency, CASE WHEN regexp_matches(t, 'threat|sovereign|hegem|democr|regime|law|order') THEN 'ideological_markers' WHEN regexp_matches(t, 'fear|anger|outrage|concern|support|crisis') THEN 'emotional_markers' WHEN regexp_matches(t, 'engine|front|wave|path|bridge|chess|battle') THEN 'metaphor_markers' ELSE 'evi_lexicon' END AS proposed_dictionary,
