@@ -96,13 +96,14 @@ NEAR = """s AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_
     near AS (SELECT DISTINCT b AS seq FROM i JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE shared >= 0.92::DOUBLE * (x.n + y.n - shared))"""
 
 REFERENT = r"(?i)\b(?:worthless|stupid|license|licensed|with)\b"
-METRICS = ("IDI", "EMI", "MTI", "IP_context_abs")
 
 
 def quality(token: str) -> str:
     """token: SQL that gives the tokens of text."""
+    named = {"IDI": "IDI_raw", "EMI": "EMI_raw", "MTI": "MTI_raw", "IP_context_abs": "IP_abs_context"}
+    row = lambda cid, issue, severity, why, action: f"SELECT {cid} AS calibration_id, '{issue}' AS issue_type, '{severity}' AS severity, {why} AS explanation, '{action}' AS recommended_action"
     outliers = " UNION ALL ".join(
-        f"SELECT doc_id AS calibration_id, 'outlier' AS issue_type, 'medium' AS severity FROM scored, (SELECT quantile_cont({m}, 0.99) AS hi, quantile_cont({m}, 0.5) AS mid FROM scored) WHERE {m} > hi AND (mid <= 0 OR {m} > 3 * mid)" for m in METRICS
+        row("doc_id", "outlier", "medium", f"'{name} > p99 and >3*median'", "manual review only") + f" FROM scored, (SELECT quantile_cont({m}, 0.99) AS hi, quantile_cont({m}, 0.5) AS mid FROM scored) WHERE {m} > hi AND (mid <= 0 OR {m} > 3 * mid)" for m, name in named.items()
     )
     blank = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
     return f"""{NEAR},
@@ -111,16 +112,16 @@ def quality(token: str) -> str:
         CASE WHEN quality = 1 THEN 'neutral_news' WHEN quality = 0 THEN 'crisis_report' ELSE 'analytical_article' END AS kind FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id),
     k AS (SELECT kind, count(*) AS n FROM x GROUP BY kind),
     o AS (SELECT unnest(['neutral_news', 'standard_political_news', 'analytical_article', 'crisis_report', 'opinion_editorial', 'ideological_mobilization']) AS kind)
-    SELECT calibration_id, 'too_short' AS issue_type, 'medium' AS severity FROM x WHERE words < 100 AND t <> ''
-    UNION ALL SELECT calibration_id, 'missing_text', 'high' FROM x WHERE t = ''
-    UNION ALL SELECT calibration_id, 'duplicate', 'medium' FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY seq) AS k FROM x) WHERE k > 1
-    UNION ALL SELECT calibration_id, 'no_ref_country_detected', 'medium' FROM x WHERE NOT found
-    UNION ALL SELECT CAST(seq AS VARCHAR), 'near_duplicate', 'low' FROM near
-    UNION ALL SELECT 'GLOBAL', 'category_imbalance', 'medium' FROM (SELECT max(n) AS hi, min(n) AS lo FROM k) WHERE hi >= 3 * lo
-    UNION ALL SELECT 'GLOBAL', 'category_imbalance', 'medium' FROM o LEFT JOIN k USING (kind) WHERE coalesce(n, 0) < 5
-    UNION ALL SELECT 'GLOBAL', 'too_many_technical_mentions', 'medium' FROM (SELECT avg((referent_salience = 0)::INT) AS share FROM scored) WHERE share > 0.6
+    {row('calibration_id', 'too_short', 'medium', "'text_length_words < 100'", 'use longer text')} FROM x WHERE words < 100 AND t <> ''
+    UNION ALL {row('calibration_id', 'missing_text', 'high', "'text is empty'", 'provide text content')} FROM x WHERE t = ''
+    UNION ALL {row('calibration_id', 'duplicate', 'medium', "'exact duplicate text'", 'remove duplicate')} FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY seq) AS k FROM x) WHERE k > 1
+    UNION ALL {row('calibration_id', 'no_ref_country_detected', 'medium', "'ref_country is empty'", 'provide ref_country or text with referent mention')} FROM x WHERE NOT found
+    UNION ALL {row('CAST(seq AS VARCHAR)', 'near_duplicate', 'low', "'near duplicate text'", 'review and deduplicate')} FROM near
+    UNION ALL {row("'GLOBAL'", 'category_imbalance', 'medium', "printf('max=%d, min=%d', hi, lo)", 'balance categories')} FROM (SELECT max(n) AS hi, min(n) AS lo FROM k) WHERE hi >= 3 * lo
+    UNION ALL {row("'GLOBAL'", 'category_imbalance', 'medium', "concat('core category ', chr(39), kind, chr(39), ' has <5 texts')", 'add at least 5 texts')} FROM o LEFT JOIN k USING (kind) WHERE coalesce(n, 0) < 5
+    UNION ALL {row("'GLOBAL'", 'too_many_technical_mentions', 'medium', "printf('S_r=0 share=%.2f', share)", 'add texts with explicit referent evaluation')} FROM (SELECT avg((referent_salience = 0)::INT) AS share FROM scored) WHERE share > 0.6
     UNION ALL {outliers}
-    UNION ALL SELECT 'GLOBAL', 'missing_metadata', 'high' FROM (SELECT count(*) AS n FROM x) WHERE n > 0 AND n < 50"""
+    UNION ALL {row("'GLOBAL'", 'missing_metadata', 'high', "'total_texts < 50'", 'increase corpus to 50+')} FROM (SELECT count(*) AS n FROM x) WHERE n > 0 AND n < 50"""
 
 
 VALIDATION = """WITH t("row", term, level, weight, verified) AS (VALUES (1, 'fear', 'medium', '0.6667', 'true'), (2, 'panic', 'strong', '0.2', 'true'), (3, 'calm', 'mild', '', ''), (4, 'hope', 'weak', '0.3333', 'maybe'), (5, 'rage', 'strong', '1.0', 'context_dependent')),

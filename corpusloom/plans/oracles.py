@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpusloom.functions import lexicons as L
 from corpusloom.functions import text as T
-from corpusloom.plans import more_oracles
+from corpusloom.plans import calibration_queries, more_oracles
 from corpusloom.plans.tables import PROFILE
 
 P = PROFILE
@@ -277,4 +277,5 @@ def all_sql() -> dict[str, str]:
         "country_theme_scores": more_oracles.COUNTRY_THEME,
         "capped_sample": f"{base} SELECT seq, source, country, year FROM docs QUALIFY row_number() OVER (PARTITION BY source, country, year ORDER BY seq) <= 3",
     }
-    return sql | more_oracles.all_sql(docs, scored(), weighted, RAW, f"len(list_filter({RAW}, lambda t: NOT list_contains({CORE}, t) AND length(t) >= 2))")
+    sql |= more_oracles.all_sql(docs, scored(), weighted, RAW, f"len(list_filter({RAW}, lambda t: NOT list_contains({CORE}, t) AND length(t) >= 2))")
+    return sql | calibration_queries.all_sql(scored(), contexts(), sql["candidate_terms"], sql["text_rollup"], sql["quality_flags"], half_up)

@@ -11,7 +11,8 @@ from corpusloom.functions import lexicons as L
 from corpusloom.functions import stats
 from corpusloom.functions import text as T
 from corpusloom.operators import aggregate, calibration, collector, contexts, corpus, dedup, interpret, legacy, lexicon, percentile, scoring
-from corpusloom.plans import oracles, tables
+from corpusloom.plans import calibration_queries, oracles, tables
+from corpusloom.plans.calibration_queries import calibration_texts
 from corpusloom.plans.tables import PROFILE
 from corpusloom.sources import io
 
@@ -39,16 +40,6 @@ def on_texts(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(tables.documents(spark, sf_dir))
 
 
-def calibration_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as calibration texts; the quality label stands for a type."""
-    docs = tables.documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    words = F.size(T.tokenize(F.coalesce("text", F.lit(""))))
-    kind = F.when(F.col("quality") == 1, "neutral_news").when(F.col("quality") == 0, "crisis_report").otherwise("analytical_article")
-    found = F.when(F.col("text").rlike(T.any_pattern([k for ks in PROFILE.referents.values() for k in ks])), "found").otherwise("")
-    return docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("calibration_id"), "text", words.alias("text_length_words"), F.lit("ok").alias("fetch_status"), kind.alias("calibration_type"), found.alias("ref_country"))
-
-
 def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as the collector's articles: the country and theme words of the test pages are common English."""
     pages = io.spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -181,8 +172,7 @@ def queries() -> dict[str, Query]:
         "anchor_status": on_scored(lambda r: percentile.anchor_status(r).select("context_id", "anchor_status")),
         "metric_distributions": on_scored(lambda r: percentile.distributions(r, METRICS, {"all": [], "referent": ["ref_country"], "media_referent": ["media_country", "ref_country"]})),
         "outliers": on_scored(lambda r: percentile.outliers(r.select("context_id", *METRICS), METRICS).select("context_id", "metric")),
-        "quality_flags": lambda s, d: calibration.quality_flags(calibration_texts(s, d), calibration.context_records(tables.scored(s, d))).select("calibration_id", "issue_type", "severity"),
-        "calibration_near_duplicates": lambda s, d: calibration.near_duplicates(calibration_texts(s, d)).select("seq"),
+        **calibration_queries.queries(),
         "whole_text_scores": lambda s, d: rounded(interpret.whole_text_scores(calibration_texts(s, d), PROFILE), "IDI_raw", "EMI_raw", "MTI_raw", "IP_i", "IP_abs_i"),
         "whole_text_report": lambda s, d: interpret.whole_text_report(interpret.whole_text_scores(calibration_texts(s, d), PROFILE)),
         "text_rollup": on_scored(lambda r: calibration.text_rollup(percentile.anchor_status(r))),
