@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats
@@ -21,10 +21,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def signed_documents(docs: DataFrame) -> DataFrame:
+    """seq, digest and h (SimHash) of the tokens, and their number n: all that travels for most documents, worked out once."""
+    return checkpointed(docs.select("seq", F.unhex(F.md5(F.array_join("tokens", " "))).alias("digest"), stats.simhash64(F.col("tokens")).alias("h"), F.size("tokens").alias("n")))
+
+
+def repeats(signed: DataFrame) -> DataFrame:
+    """seq of the documents (seq, digest) whose tokens an earlier one has."""
+    again = signed.groupBy("digest").agg(F.min("seq").alias("first"), F.count("*").alias("times")).where("times > 1")
+    return signed.join(again, "digest").where(F.col("seq") > F.col("first")).select("seq")
+
+
 def exact(docs: DataFrame) -> DataFrame:
-    """The first document of each token sequence."""
-    first = Window.partitionBy("_md5").orderBy("seq")
-    return docs.withColumn("_md5", F.md5(F.array_join("tokens", " "))).withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_md5", "_n")
+    """The first document of each token sequence. Only digests and places in the order are grouped."""
+    named = docs.select("seq", F.unhex(F.md5(F.array_join("tokens", " "))).alias("digest"))
+    return docs.join(repeats(named), "seq", "left_anti")
 
 
 def blocks(bits: int) -> list[int]:
@@ -41,33 +52,97 @@ def blocks(bits: int) -> list[int]:
     return [sum(c) for c in combinations(parts, 3)]
 
 
-def signed(mask: int) -> int:
+def as_signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def keyed(signed: DataFrame, bits: int) -> DataFrame:
+    """key, seq, h and n for each key under which documents with near hashes meet, of those that share a key with another."""
+    masks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(as_signed(m)).cast("long").alias("mask")) for i, m in enumerate(blocks(bits))])).alias("m")
+    keys = signed.select("seq", "h", "n", masks).select(F.xxhash64("m.i", F.col("h").bitwiseAND(F.col("m.mask"))).alias("key"), "seq", "h", "n").repartition("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    return checkpointed(keys.join(shared, "key", "left_semi"))
+
+
+def token_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """seq and distinct tokens t of the documents that have a key."""
+    return checkpointed(docs.join(keys.select("seq").distinct(), "seq", "left_semi").select("seq", F.array_distinct("tokens").alias("t")))
+
+
+def passing(pairs: DataFrame, bits: int, length_ratio: float) -> DataFrame:
+    """(a, b) of pairs (a, ha, na, b, hb, nb) whose hashes and lengths are near."""
+    alike = F.least("na", "nb").cast("double") / F.greatest("na", "nb") >= length_ratio
+    return pairs.where((stats.hamming(F.col("ha"), F.col("hb")) <= bits) & alike).select("a", "b").distinct()
+
+
+def of_similar_tokens(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """Those of pairs (a, b) whose token sets are near."""
+    both = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+    return both.where(stats.jaccard(F.col("ta"), F.col("tb")) >= jaccard).select("a", "b")
+
+
+def all_near(keys: DataFrame, sets: DataFrame, jaccard: float, bits: int, length_ratio: float) -> DataFrame:
+    """All near pairs (a before b) of documents in keyed rows."""
+    x, y = keys.toDF("key", "a", "ha", "na"), keys.toDF("key", "b", "hb", "nb")
+    return of_similar_tokens(passing(x.join(y, "key").where("a < b"), bits, length_ratio), sets, jaccard)
+
+
 def near_pairs(docs: DataFrame, jaccard: float = 0.92, bits: int = 3, length_ratio: float = 0.85) -> DataFrame:
     """Pairs (a, b), a before b, whose SimHashes differ in few bits and share a band of 16, and that pass the tests of length and tokens.
 
-    Equal hashes are folded first and only hashes meet; token sets are fetched
-    for the pairs that pass.
+    All pairs of a family are among them: to drop documents use survivors.
     """
-    own = checkpointed(docs.select("seq", stats.simhash64(F.col("tokens")).alias("h"), F.size("tokens").alias("n")))
-    distinct = own.select("h").distinct()
-    masks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(signed(m)).cast("long").alias("mask")) for i, m in enumerate(blocks(bits))])).alias("m")
-    keyed = distinct.select("h", masks).select("h", F.col("m.i").alias("i"), F.col("h").bitwiseAND(F.col("m.mask")).alias("key"))
-    a, b = keyed.toDF("ha", "i", "key"), keyed.toDF("hb", "i", "key")
-    close = a.join(b, ["i", "key"]).where((F.col("ha") < F.col("hb")) & (stats.hamming(F.col("ha"), F.col("hb")) <= bits)).select("ha", "hb").distinct()
-    close = close.unionByName(own.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb")))
-    sides = close.join(own.toDF("x", "ha", "nx"), "ha").join(own.toDF("y", "hb", "ny"), "hb").where((F.col("x") < F.col("y")) | ((F.col("ha") != F.col("hb")) & (F.col("x") > F.col("y"))))
-    alike = F.least("nx", "ny").cast("double") / F.greatest("nx", "ny") >= length_ratio
-    pairs = sides.where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sets = docs.select("seq", F.array_distinct("tokens").alias("t"))
-    both = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
-    return both.where(stats.jaccard(F.col("ta"), F.col("tb")) >= jaccard).select("a", "b")
+    keys = keyed(signed_documents(docs), bits)
+    return all_near(keys, token_sets(docs, keys), jaccard, bits, length_ratio)
+
+
+#: Pairs that share a key, for each document: from so few on all are looked at; so do they if a round drops a smaller share than this of the open documents.
+FEW_PAIRS, LEAST_DROPPED = 4, 0.1
+
+
+def near_earlier(docs: DataFrame, signed: DataFrame, jaccard: float = 0.92, bits: int = 3, length_ratio: float = 0.85) -> DataFrame:
+    """seq of the documents near to an earlier survivor among those that signed (seq, h, n) names.
+
+    In each round a document that is the first of all its keys stays: nothing
+    before it is open any more, and what stayed before was compared with it.
+    Those that share a key with it are compared with it alone, and go if they
+    are near. A family costs a comparison for each of its documents so. When few
+    pairs share a key, or few of those that do are near, all pairs that do are
+    compared, and the rest is settled from those that are near.
+    """
+    keys, total = keyed(signed, bits), max(1, signed.count())
+    sets, gone = token_sets(docs, keys), None
+    while True:
+        pairs = keys.groupBy("key").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0))).first()[0]
+        if pairs <= FEW_PAIRS * total:
+            break
+        leads = keys.groupBy("key").agg(F.min(F.struct("seq", "h", "n")).alias("lead"))
+        marked = checkpointed(keys.join(leads, "key"))
+        open_ = checkpointed(marked.groupBy("seq").agg(F.bool_and(F.col("lead.seq") == F.col("seq")).alias("first")))
+        stay = open_.where("first").select("seq")
+        met = marked.where(F.col("lead.seq") < F.col("seq")).select(F.col("lead.seq").alias("a"), F.col("lead.h").alias("ha"), F.col("lead.n").alias("na"), F.col("seq").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"))
+        met = met.join(stay.withColumnRenamed("seq", "a"), "a", "left_semi")
+        near = checkpointed(of_similar_tokens(passing(met, bits, length_ratio), sets, jaccard).select(F.col("b").alias("seq")).distinct())
+        gone = near if gone is None else gone.unionByName(near)
+        keys = checkpointed(keys.join(stay.unionByName(near), "seq", "left_anti").select("key", "seq", "h", "n"))
+        if near.count() < LEAST_DROPPED * open_.count():
+            break
+    last = greedy_dropped(all_near(keys, sets, jaccard, bits, length_ratio))
+    return last if gone is None else gone.unionByName(last)
+
+
+def survivors(docs: DataFrame, jaccard: float = 0.92, bits: int = 3, length_ratio: float = 0.85) -> DataFrame:
+    """docs without those near to an earlier survivor."""
+    return docs.join(near_earlier(docs, signed_documents(docs), jaccard, bits, length_ratio), "seq", "left_anti")
 
 
 def greedy_survivors(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """docs without those near to an earlier survivor.
+    """docs without those near to an earlier survivor, pairs (a before b) being all that are near."""
+    return docs.join(greedy_dropped(pairs), "seq", "left_anti")
+
+
+def greedy_dropped(pairs: DataFrame) -> DataFrame:
+    """seq of the documents near to an earlier one that stays.
 
     A document whose earlier neighbours are all dropped is kept; one with a
     kept earlier neighbour is dropped; rounds go on until all are settled.
@@ -84,12 +159,15 @@ def greedy_survivors(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         state = new
         if not left or left == before:
             break
-    return docs.join(state.where(~F.col("kept")).select("seq"), "seq", "left_anti")
+    return state.where(~F.col("kept")).select("seq")
 
 
 def deduplicate(docs: DataFrame, jaccard: float = 0.92, bits: int = 3) -> DataFrame:
-    distinct = exact(docs)
-    return greedy_survivors(distinct, near_pairs(distinct, jaccard, bits))
+    """docs without repeats, and without those near to an earlier survivor."""
+    signed = signed_documents(docs)
+    again = checkpointed(repeats(signed))
+    near = near_earlier(docs, signed.join(again, "seq", "left_anti"), jaccard, bits)
+    return docs.join(again.unionByName(near), "seq", "left_anti")
 
 
 def statistics(before: DataFrame, distinct: DataFrame, after: DataFrame) -> DataFrame:

@@ -164,6 +164,16 @@ SIMHASH = """h AS (SELECT seq, CAST('0x' || substr(md5(token), 1, 16) AS UBIGINT
     SELECT seq, CAST(CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END AS BIGINT) AS h FROM u"""
 
 
+#: Documents that stay when each is compared with the earlier ones that stay, one after the other.
+SURVIVORS = """e AS (SELECT seq, tokens, list_distinct(tokens) AS t FROM docs QUALIFY row_number() OVER (PARTITION BY array_to_string(tokens, ' ') ORDER BY seq) = 1),
+    s AS MATERIALIZED (SELECT e.seq, len(e.tokens) AS n, h FROM e JOIN hashes USING (seq)),
+    q AS MATERIALIZED (SELECT x.seq AS a, y.seq AS b FROM s x JOIN s y ON x.seq < y.seq AND bit_count(xor(x.h, y.h)) <= 3 AND least(x.n, y.n)::DOUBLE / greatest(x.n, y.n) >= 0.85::DOUBLE),
+    p AS (SELECT a, b FROM (SELECT a, b, len(list_intersect(x.t, y.t)) AS shared, len(x.t) + len(y.t) AS sizes FROM q JOIN e x ON x.seq = a JOIN e y ON y.seq = b) WHERE shared::DOUBLE / (sizes - shared) >= 0.92::DOUBLE),
+    o AS (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS k FROM p GROUP BY b),
+    g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS dropped UNION ALL SELECT o.k, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(dropped, x))) > 0 THEN list_append(dropped, b) ELSE dropped END FROM g JOIN o ON o.k = g.k + 1),
+    f AS (SELECT unnest(arg_max(dropped, k)) AS seq FROM g)"""
+
+
 WORDS = """CASE WHEN EVI_raw <= -10 THEN 'Предельно негативная репрезентация.' WHEN EVI_raw <= -8 THEN 'Очень сильная делегитимация.' WHEN EVI_raw <= -6 THEN 'Выраженно негативная оценка.' WHEN EVI_raw <= -4 THEN 'Умеренно негативная оценка.' WHEN EVI_raw < 0 THEN 'Слабая негативная окраска.'
     WHEN EVI_raw = 0 THEN 'Нейтральная/информационная подача.' WHEN EVI_raw <= 3 THEN 'Слабая позитивная окраска.' WHEN EVI_raw <= 5 THEN 'Умеренно позитивная оценка.' WHEN EVI_raw <= 7 THEN 'Выраженно позитивная оценка.' WHEN EVI_raw <= 9 THEN 'Очень сильная легитимация.' ELSE 'Предельно позитивная репрезентация.' END AS evi_words,
     CASE WHEN abs(IP_context) < 0.05 AND IP_context_abs < 0.05 THEN 'Образ преимущественно нейтрален или слабо оценочно оформлен.' WHEN abs(IP_context) < 0.05 THEN 'Среднее направление близко к нейтральному, но есть поляризация оценок.'
@@ -253,4 +263,7 @@ def all_sql(docs, scored: str, weighted, raw: str, content: str) -> dict[str, st
         "whole_text_report": f"{whole_texts(content)} SELECT calibration_type, count(*) AS count, {', '.join(f'round(avg({c}), 6) AS mean_{n}' for n, c in (('IDI', 'IDI_raw'), ('EMI', 'EMI_raw'), ('MTI', 'MTI_raw'), ('IP_abs', 'abs(IP_i)'), ('EVI_raw', 'EVI_raw')))}, {', '.join(f'round(quantile_cont({c}, 0.75), 6) AS p75_{n}' for n, c in (('IDI', 'IDI_raw'), ('EMI', 'EMI_raw'), ('MTI', 'MTI_raw'), ('IP_abs', 'abs(IP_i)')))} FROM w GROUP BY calibration_type",
         "document_country": COUNTRY,
         "simhash64": f"WITH {docs()}, {SIMHASH}",
+        "near_dedup": f"WITH RECURSIVE {docs()}, hashes AS (WITH {SIMHASH}), {SURVIVORS} SELECT seq FROM e ANTI JOIN f USING (seq)",
+        "dedup_stats": f"""WITH RECURSIVE {docs()}, hashes AS (WITH {SIMHASH}), {SURVIVORS}, c AS (SELECT (SELECT count(*) FROM docs) AS b, (SELECT count(*) FROM e) AS e, (SELECT count(*) FROM f) AS f)
+            SELECT unnest(['before', 'exact_removed', 'near_removed', 'after']) AS metric, unnest([b, b - e, f, e - f]) AS value FROM c""",
     }

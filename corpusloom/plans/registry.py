@@ -58,7 +58,7 @@ def corpus_profile_all(docs: DataFrame) -> DataFrame:
 
 def dedup_all(docs: DataFrame) -> DataFrame:
     distinct = dedup.exact(docs)
-    return dedup.statistics(docs, distinct, dedup.greedy_survivors(distinct, dedup.near_pairs(distinct)))
+    return dedup.statistics(docs, distinct, dedup.survivors(distinct))
 
 
 def exact_counts(docs: DataFrame) -> DataFrame:

@@ -131,3 +131,45 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {tuple(r) for r in scoring.score(contexts.extract(docs, default()), default()).select("context_id", "EVI_raw").collect()}
+
+
+def families(seed, sizes):
+    """Documents of tokens in families that differ in a token or two, some by more, and strangers."""
+    rnd = random.Random(seed)
+    docs = []
+    for f, n in enumerate(sizes):
+        base = [f"f{f}w{rnd.randrange(40)}" for _ in range(60)]
+        for _ in range(n):
+            own = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2, 6])):
+                own[rnd.randrange(len(own))] = f"x{rnd.randrange(30)}"
+            docs.append(own)
+    rnd.shuffle(docs)
+    return docs
+
+
+@pytest.mark.parametrize("sizes", [[40, 1, 1], [12, 9, 7, 5, 1, 1, 1], [1] * 10])
+def test_survivors_by_the_greedy_rule(spark, sizes, monkeypatch):
+    monkeypatch.setattr(dedup, "FEW_PAIRS", 0)
+    docs = families(len(sizes), sizes)
+    df = spark.createDataFrame(list(enumerate(docs)), "seq long, tokens array<string>")
+    h = {r.seq: r.h & (1 << 64) - 1 for r in df.select("seq", stats.simhash64(F.col("tokens")).alias("h")).collect()}
+    kept = []
+    for j, t in enumerate(docs):
+        near = lambda i: (h[i] ^ h[j]).bit_count() <= 3 and min(len(docs[i]), len(t)) / max(len(docs[i]), len(t)) >= 0.85 and len({*docs[i]} & {*t}) / len({*docs[i]} | {*t}) >= 0.92  # noqa: E731, B023
+        if not any(near(i) for i in kept):
+            kept.append(j)
+    assert sorted(r.seq for r in dedup.survivors(df).collect()) == kept
+    assert len(kept) < len(docs) or max(sizes) == 1
+
+
+def test_a_family_is_compared_with_its_first_document(spark, monkeypatch):
+    compared, counts = dedup.of_similar_tokens, []
+    monkeypatch.setattr(dedup, "of_similar_tokens", lambda p, *a: (counts.append(p.count()), compared(p, *a))[1])
+    sums = []
+    for n in (50, 100):
+        counts.clear()
+        docs = [[*(f"w{i}" for i in range(200)), f"own{k}"] for k in range(n)]
+        dedup.survivors(spark.createDataFrame(list(enumerate(docs)), "seq long, tokens array<string>")).count()
+        sums.append(sum(counts))
+    assert sums[1] < 3 * sums[0]
