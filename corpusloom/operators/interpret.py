@@ -208,3 +208,34 @@ def whole_text_report(details: DataFrame) -> DataFrame:
     sums = details.groupBy("calibration_type").agg(F.count("calibration_id").alias("count"), *means)
     upper = percentile.group_quantiles(details, list(names.values()), "calibration_type", {"p75": 0.75})
     return sums.join(upper.select("calibration_type", *[r(f"{c}_p75").alias(f"p75_{n}") for n, c in names.items()]), "calibration_type")
+
+
+#: Blocks of a text at most, as a reader sees them.
+MOST_BLOCKS = 15
+
+
+def context_blocks(text: Column, terms: list[str], most: int = MOST_BLOCKS) -> Column:
+    """The first sentences that hold a term: hit_sentence, expanded_context (with its neighbours) and markers.
+
+    An array of structures, empty for null or blank texts and without terms. A
+    text is split once; sentences are tried with one alternation before single
+    terms are told apart.
+    """
+    known = sorted({t for t in terms if t.strip()})
+    kind = "array<struct<hit_sentence:string,expanded_context:string,markers:string>>"
+    if not known:
+        return F.array().cast(kind)
+    some = T.any_pattern(known)
+
+    def blocks(sents: Column) -> Column:
+        at = F.filter(F.transform(sents, lambda s, i: F.when(s.rlike(some), i)), lambda i: i.isNotNull())
+
+        def block(i: Column) -> Column:
+            found = F.array_compact(F.array(*[F.when(F.get(sents, i).rlike(T.any_pattern([t])), t) for t in known]))
+            around = F.concat_ws(" ", F.get(sents, i - 1), F.get(sents, i), F.get(sents, i + 1))
+            return F.struct(F.get(sents, i).alias("hit_sentence"), around.alias("expanded_context"), F.array_join(found, ", ").alias("markers"))
+
+        return F.transform(F.slice(at, 1, most), block)
+
+    sents = T.sentences(F.coalesce(text, F.lit("")))
+    return F.when(F.coalesce(text, F.lit("")).rlike(some), F.flatten(F.transform(F.array(sents), blocks))).otherwise(F.array()).cast(kind)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import articles, calibration, calibration_report, ledger, lexicon, numbering, percentile, sequences
+from corpusloom.operators import articles, calibration, calibration_report, dictionaries, interpret, ledger, lexicon, numbering, percentile, sequences
 from corpusloom.plans import tables
 from corpusloom.plans.tables import PROFILE
 
@@ -90,6 +90,24 @@ def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles.articles(pages, articles.sites(spark, SITES)).select("page_id", "source", "region", "title", "date", "year", "content")
 
 
+#: Terms whose sentences are shown.
+SHOWN = ["threat", "public", "general public", "license", "work", "the"]
+
+
+def shown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.documents(spark, sf_dir).select("doc_id", F.posexplode(interpret.context_blocks(F.col("text"), SHOWN)).alias("place", "b"))
+    return rows.select("doc_id", "place", "b.*")
+
+
+def dictionary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of sources, then candidate terms, then first words of the benchmark, in lists of dictionaries."""
+    evaluation = F.lit("evi_lexicon").alias("list")
+    sources = tables.documents(spark, sf_dir).select(evaluation, F.col("source").alias("term"), F.col("doc_id").alias("place"))
+    found = candidates(spark, sf_dir).select(F.col("proposed_dictionary").alias("list"), F.col("candidate_term").alias("term"), F.col("frequency").alias("place"))
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(evaluation, F.get(F.split("text", " "), F.lit(0)).alias("term"), F.col("item_id").alias("place"))
+    return dictionaries.united([sources, found, words])
+
+
 def report_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts of the report; the order of contexts is that of their documents, flags have none."""
     of = tables.scored(spark, sf_dir)
@@ -109,6 +127,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "decision_ledger": decision_ledger,
         "page_articles": page_articles,
         "calibration_report_facts": report_facts,
+        "context_blocks": shown_blocks,
+        "dictionary_union": dictionary_union,
     }
 
 
@@ -139,6 +159,16 @@ ARTICLES = f"""WITH h AS (SELECT page_id, url, coalesce(html, '') AS html, regex
     SELECT page_id, source, region, title, 'no_date' AS date, TRY_CAST(nullif(regexp_extract(url, '/((?:19|20)[0-9]{{2}})/[0-9]{{2}}/[0-9]{{2}}/', 1), '') AS INT) AS year, content FROM a WHERE title <> '' AND content <> ''"""
 
 
+BLOCKS = """, e AS (SELECT doc_id, sents, unnest(range(len(sents))) AS i, unnest(sents) AS s FROM split),
+    h AS (SELECT *, list_filter(['general public', 'license', 'public', 'the', 'threat', 'work'], lambda k: regexp_matches(s, '(?i)\\b' || k || '\\b')) AS found FROM e)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS place, s AS hit_sentence, concat_ws(' ', CASE WHEN i > 0 THEN sents[i] END, s, sents[i + 2]) AS expanded_context, array_to_string(found, ', ') AS markers
+    FROM h WHERE len(found) > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 15"""
+
+UNION = """, r AS (SELECT 'evi_lexicon' AS list, trim(source) AS term, 0 AS part, doc_id AS place FROM documents UNION ALL SELECT proposed_dictionary, candidate_term, 1, frequency FROM c UNION ALL SELECT 'evi_lexicon', string_split(text, ' ')[1], 2, item_id FROM benchmark),
+    f AS (SELECT list, min({'part': part, 'place': place, 'term': term}) AS x FROM r WHERE term <> '' GROUP BY list, lower(term))
+    SELECT list, x.term AS term, row_number() OVER (PARTITION BY list ORDER BY x.part, x.place, x.term) AS n FROM f"""
+
+
 def facts_sql(rollup: str, candidate: str, flag: str, mean: Callable[[str], str]) -> str:
     """rollup, candidate and flag: queries; mean: how quantiles are rounded."""
     nulls = "NULL::DOUBLE AS value, NULL::DOUBLE AS p75, NULL::DOUBLE AS p90, NULL::DOUBLE AS p95"
@@ -160,8 +190,8 @@ def facts_sql(rollup: str, candidate: str, flag: str, mean: Callable[[str], str]
     UNION ALL SELECT 10, calibration_type, {quantiles("EMI", "WHERE calibration_type IN ('neutral_news', 'crisis_report') GROUP BY calibration_type")}"""
 
 
-def all_sql(scored: str, contexts: str, candidate: str, rollup: str, flag: str, mean: Callable[[str], str]) -> dict[str, str]:
-    """scored, contexts: common table expressions; candidate: the query candidate_terms behind them; rollup, flag: queries within scored."""
+def all_sql(scored: str, sentences: str, candidate: str, rollup: str, flag: str, mean: Callable[[str], str]) -> dict[str, str]:
+    """scored: common table expressions; sentences: SQL for the sentences of a text; candidate: the query candidate_terms behind them; rollup, flag: queries within scored."""
     sc = f"WITH {scored}"
     return {
         "calibration_contexts": f"""{sc}{RECORDS} SELECT context_id, calibration_id, source_name, '' AS title, calibration_type, expected_indicator_focus, ref_country, matched_keywords, context_text, previous_sentence, target_sentence, next_sentence, N_content,
@@ -170,5 +200,7 @@ def all_sql(scored: str, contexts: str, candidate: str, rollup: str, flag: str,
         "dense_ids": "SELECT doc_id AS seq, source, lang, printf('doc_%06d', CAST(row_number() OVER (ORDER BY source ASC NULLS FIRST, doc_id DESC) AS INT)) AS doc_id FROM documents",
         "decision_ledger": f"WITH c0 AS ({candidate}), c AS (SELECT * FROM c0){DECISIONS}",
         "page_articles": ARTICLES,
+        "context_blocks": f"WITH split AS (SELECT doc_id, {sentences} AS sents FROM documents){BLOCKS}",
+        "dictionary_union": f"WITH c AS ({candidate}){UNION}",
         "calibration_report_facts": f"{sc}{RECORDS}{facts_sql(rollup, candidate, flag, mean)}",
     }

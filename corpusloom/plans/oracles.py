@@ -278,4 +278,4 @@ def all_sql() -> dict[str, str]:
         "capped_sample": f"{base} SELECT seq, source, country, year FROM docs QUALIFY row_number() OVER (PARTITION BY source, country, year ORDER BY seq) <= 3",
     }
     sql |= more_oracles.all_sql(docs, scored(), weighted, RAW, f"len(list_filter({RAW}, lambda t: NOT list_contains({CORE}, t) AND length(t) >= 2))")
-    return sql | calibration_queries.all_sql(scored(), contexts(), sql["candidate_terms"], sql["text_rollup"], sql["quality_flags"], half_up)
+    return sql | calibration_queries.all_sql(scored(), sents("coalesce(text, '')"), sql["candidate_terms"], sql["text_rollup"], sql["quality_flags"], half_up)

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import articles, calibration, calibration_report, interpret, ledger, numbering, percentile
+from corpusloom.operators import articles, calibration, calibration_report, dictionaries, interpret, ledger, numbering, percentile
+from corpusloom.sources import calibration_sources
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 16])
@@ -202,3 +203,82 @@ def test_baseline_of_any_number_of_referents(spark):
     base = spark.range(3000).select(F.col("id").cast("string").alias("ref_country"), F.lit("x").alias("calibration_type"))
     scored = spark.range(1500).select(F.col("id").cast("string").alias("ref_country"))
     assert interpret.baseline_filter(base, scored, "same_ref_country_only").count() == 1500
+
+
+def test_blocks_of_terms(spark):
+    text = "First one. The Threat here! Nothing? A threat, a support. Last"
+    rows = [(1, text), (2, None), (3, "  "), (4, "threat. " * 40), (5, "no such word: threats")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.b for r in df.select("id", interpret.context_blocks(F.col("text"), ["threat", "support", " ", "threat"]).alias("b")).collect()}
+    assert [tuple(b) for b in got[1]] == [("The Threat here!", "First one. The Threat here! Nothing?", "threat"), ("A threat, a support.", "Nothing? A threat, a support. Last", "support, threat")]
+    assert got[2] == [] and got[3] == [] and got[5] == [] and len(got[4]) == interpret.MOST_BLOCKS
+    assert df.select(interpret.context_blocks(F.col("text"), []).alias("b")).first().b == []
+
+
+def test_lists_of_several_places(spark):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    given = {
+        "ideological_markers": table([(2, "b "), (1, "A"), (3, "")], "place int, term string"),
+        "emotional_markers": table([(1, "fear", "Low"), (2, "rage", "high"), (3, "hm", "none")], "place int, marker string, intensity_level string"),
+        "evi_lexicon": table([(1, "good", "+", "lex"), (2, "helps", "pos", "Actor_Action"), (3, "ruin", "negative", "consequence"), (4, "x", "", "")], "place int, term string, polarity_hint string, category string"),
+        "actor_actions": table([(1, "attacks", "neg")], "place int, verb_or_phrase string, polarity string"),
+        "metaphor_markers": table([(1, "wave")], "place int, nothing string"),
+    }
+    rows = dictionaries.overrides(given).collect()
+    assert sorted((r.list, r.term) for r in rows) == [("emotional_strong", "rage"), ("emotional_weak", "fear"), ("ideological", "A"), ("ideological", "b"), ("rubric_neg_action", "attacks"), ("rubric_neg_consequence", "ruin"), ("rubric_pos_action", "helps"), ("rubric_pos_lex", "good")]
+    schema = "list string, term string, place long"
+    base = table([("l", "Zeta", 1), ("l", "alpha", 2), ("m", "ALPHA", 1)], schema)
+    more = table([("l", "zeta", 1), ("l", "Beta", 3), ("l", "beta", 2), ("l", " Alpha ", 4)], schema)
+    last = table([("l", "BETA", 1), ("l", "gamma", 2), ("l", " ", 3), ("l", None, 4)], schema)
+    got = sorted((r.list, r.n, r.term) for r in dictionaries.united([base, more, last]).collect())
+    assert got == [("l", 1, "Zeta"), ("l", 2, "alpha"), ("l", 3, "beta"), ("l", 4, "gamma"), ("m", 1, "ALPHA")]
+
+
+LISTING = """# a comment
+sources:
+  - source_name: "First Set"
+    mode: "local"
+    language: ms   # of the texts
+    path: "texts/"
+    enabled: true
+    notes: 'n'
+  - source_name: Off
+    mode: local
+    path: texts
+    enabled: false
+  - source_name: "List"
+    mode: url_list
+    url_csv_path: urls.csv
+  - source_name: "First Set"
+    mode: local
+    language: en
+    path: texts
+  - source_name: Nowhere
+    mode: local
+  - mode: rss
+    rss_url: http://example.com/feed
+"""
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "texts" / "sub").mkdir(parents=True)
+    (tmp_path / "texts" / "b.txt").write_text(" Text of b \n")
+    (tmp_path / "texts" / "a.md").write_text("Text of a, with words")
+    (tmp_path / "texts" / "blank.txt").write_text("  ")
+    (tmp_path / "texts" / "sub" / "c.csv").write_text("text,title\nrow one,\nrow two,t2\n")
+    (tmp_path / "urls.csv").write_text("url,source_name,calibration_type,expected_indicator_focus,language,ref_country,notes\nhttp://x/1,S,neutral_news,IDI,en,China,\n,S,,,,,\nhttp://x/2,S,neutral_news,IDI,en,,own\nhttp://x/3,S,neutral_news,IDI,en,,\n")
+    sources = calibration_sources.read_sources(LISTING)
+    assert [(s.source_name, s.mode, s.enabled, s.language, s.notes) for s in sources[:3]] == [("First Set", "local", True, "ms", "n"), ("Off", "local", False, "en", ""), ("List", "url_list", True, "en", "")]
+    fetched = spark.createDataFrame([("http://x/1", "<html><p>Page  one</p><script>no</script></html>"), ("http://x/2", "please Subscribe")], "url string, body string")
+    manual = spark.createDataFrame([(2, "typed", "crisis_report", None), (1, " ", "x", None), (3, "typed too", None, "own_id")], "place int, text string, calibration_type string, calibration_id string")
+    got = {r.calibration_id: r for r in calibration_sources.collected(spark, sources, str(tmp_path), manual, fetched).collect()}
+    assert len(got) == 4 + 3 + 2 and all(tuple(r.asDict()) == calibration_sources.COLUMNS for r in got.values())
+    first = {i: r for i, r in got.items() if i.startswith("cal_local_first_set_")}
+    assert sorted((i[-13:], r.text.split("\n")[-1]) for i, r in first.items()) == [("000001_000001", "Text of a, with words"), ("000002_000002", "Text of b"), ("000003_000003", "row one"), ("000003_000004", "row two")]
+    assert got["cal_url_000001"].text == "Page one" and got["cal_url_000001"].text_length_words == 2 and got["cal_url_000001"].ref_country == "China"
+    assert (got["cal_url_000003"].fetch_status, got["cal_url_000003"].notes) == ("fetch_failed", "own") and got["cal_url_000004"].notes == "not_fetched"
+    assert got["cal_manual_000002"].calibration_type == "crisis_report" and got["own_id"].calibration_type == "standard_political_news"
+    assert calibration_sources.collected(spark, [], str(tmp_path)).columns == list(calibration_sources.COLUMNS)
+    (tmp_path / "urls.csv").write_text("url\nx\n")
+    with pytest.raises(ValueError):
+        calibration_sources.collected(spark, sources[2:3], str(tmp_path))
