@@ -68,28 +68,49 @@ def kwic(docs: DataFrame, profile: Profile, window: int = 7, most: int | None =
     """Anchor tokens in context. most: a report's row limit, in document order; None for all."""
     terms = anchor_terms(profile)
     some = docs.where(F.arrays_overlap("tokens", T.literal_array(terms)))
-    hits = some.select("seq", "source", "year", "country", "tokens", F.posexplode("tokens").alias("pos", "keyword")).where(T.among(F.col("keyword"), terms))
-    left = F.array_join(F.slice("tokens", F.greatest(F.col("pos") - window + 1, F.lit(1)), F.least(F.col("pos"), F.lit(window))), " ")
-    right = F.array_join(F.slice("tokens", F.col("pos") + 2, F.lit(window)), " ")
-    rows = hits.select("seq", "pos", "source", "year", "country", left.alias("left_context"), "keyword", right.alias("right_context"))
+
+    def line(pos: Column) -> Column:
+        left = F.array_join(F.slice("tokens", F.greatest(pos - window + 1, F.lit(1)), F.least(pos, F.lit(window))), " ")
+        right = F.array_join(F.slice("tokens", pos + 2, F.lit(window)), " ")
+        return F.struct(pos.alias("pos"), left.alias("left_context"), F.get("tokens", pos).alias("keyword"), right.alias("right_context"))
+
+    lines = some.select("seq", "source", "year", "country", F.explode(F.transform(places(F.col("tokens"), terms), line)).alias("x"))
+    rows = lines.select("seq", "x.pos", "source", "year", "country", "x.left_context", "x.keyword", "x.right_context")
     return rows if most is None else rows.orderBy("seq", "pos").limit(most)
 
 
+def places(tokens: Column, terms: list[str]) -> Column:
+    """Where terms stand among tokens, from 0. What is exploded are these few and not all tokens with their text beside each."""
+    return F.filter(F.transform(tokens, lambda t, i: F.when(T.among(t, terms), i)), lambda i: i.isNotNull())
+
+
 def referent_sentences(docs: DataFrame, profile: Profile, most: int | None = 12_000) -> DataFrame:
-    """Sentences with an anchor, the first anchor of the first country that has one, and their neighbours."""
+    """Sentences with an anchor, the first anchor of the first country that has one, and their neighbours.
+
+    An anchor is what is left of a word without an ending, so only sentences
+    that hold its letters are split into words.
+    """
+
     def words(s: Column) -> Column:
         return T.preprocess(T.tokenize(s, us=True), True, profile.strict_stopwords)
 
-    split = docs.select("seq", "source", "year", "country", T.sentences(F.col("text")).alias("sents"))
-    each = split.select("*", F.posexplode("sents").alias("i", "hit_sent")).withColumn("_t", T.held(words(F.col("hit_sent"))))
-    found = [(c, F.get(F.filter("_t", in_set(terms)), F.lit(0))) for c, terms in profile.anchors.items()]
-    country, term = None, F.coalesce(*[t for _, t in found])
-    for c, t in found:
-        country = F.when(t.isNotNull(), c) if country is None else country.when(t.isNotNull(), c)
-    hits = each.withColumns({"anchor_country": country, "anchor_term": term}).where(F.col("anchor_term").isNotNull())
-    before = F.when(F.col("i") > 0, F.get("sents", F.col("i") - 1)).otherwise("")
-    after = F.coalesce(F.get("sents", F.col("i") + 1), F.lit(""))
-    rows = hits.select("seq", "i", "source", "year", "country", "anchor_country", "anchor_term", before.alias("prev_sent"), "hit_sent", after.alias("next_sent"))
+    maybe = "(?iu)" + "|".join([*map(T.quoted, anchor_terms(profile)), T.US])
+
+    def told(s: Column, i: Column) -> Column:
+        def first(t: Column) -> Column:
+            found = [F.get(F.filter(t, in_set(terms)), F.lit(0)) for terms in profile.anchors.values()]
+            country = F.coalesce(*[F.when(x.isNotNull(), c) for c, x in zip(profile.anchors, found, strict=True)])
+            return F.struct(i.alias("i"), country.alias("anchor_country"), F.coalesce(*found).alias("anchor_term"))
+
+        return F.when(s.rlike(maybe), F.get(F.transform(F.array(words(s)), first), F.lit(0)))
+
+    def around(sents: Column) -> Column:
+        hits = F.filter(F.transform(sents, told), lambda h: h["anchor_term"].isNotNull())
+        before = lambda i: F.when(i > 0, F.get(sents, i - 1)).otherwise("")
+        return F.transform(hits, lambda h: F.struct(h["i"].alias("i"), h["anchor_country"].alias("anchor_country"), h["anchor_term"].alias("anchor_term"), before(h["i"]).alias("prev_sent"), F.get(sents, h["i"]).alias("hit_sent"), F.coalesce(F.get(sents, h["i"] + 1), F.lit("")).alias("next_sent")))
+
+    some = docs.where(F.col("text").rlike(maybe)).select("seq", "source", "year", "country", F.explode(F.flatten(F.transform(F.array(T.sentences(F.col("text"))), around))).alias("x"))
+    rows = some.select("seq", "x.i", "source", "year", "country", "x.anchor_country", "x.anchor_term", "x.prev_sent", "x.hit_sent", "x.next_sent")
     rows = rows.withColumn("expanded_context", F.array_join(F.filter(F.array("prev_sent", "hit_sent", "next_sent"), lambda s: s != ""), " "))
     return rows if most is None else rows.orderBy("seq", "i").limit(most)
 
@@ -105,9 +126,13 @@ def content_but(terms: list[str], profile: Profile):
 def collocations(docs: DataFrame, profile: Profile, window: int = 5, least: int = 5, top: int = 250, most_common: float = 0.4) -> DataFrame:
     """Content words near anchors with MI, t-score and G2. Windows are slices of the token array: no self join."""
     every = anchor_terms(profile)
-    some = docs.where(F.arrays_overlap("tokens", T.literal_array(every))).select("tokens", F.posexplode("tokens").alias("pos", "anchor")).where(T.among(F.col("anchor"), every))
-    left = F.slice("tokens", F.greatest(F.col("pos") - window + 1, F.lit(1)), F.least(F.col("pos"), F.lit(window)))
-    around = some.select("anchor", F.concat(left, F.slice("tokens", F.col("pos") + 2, F.lit(window))).alias("around"))
+    some = docs.where(F.arrays_overlap("tokens", T.literal_array(every)))
+
+    def near(pos: Column) -> Column:
+        left = F.slice("tokens", F.greatest(pos - window + 1, F.lit(1)), F.least(pos, F.lit(window)))
+        return F.struct(F.get("tokens", pos).alias("anchor"), F.concat(left, F.slice("tokens", pos + 2, F.lit(window))).alias("around"))
+
+    around = some.select(F.inline(F.transform(places(F.col("tokens"), every), near)))
     # the empty word counts the anchors themselves
     kept = lambda terms: F.array_append(F.filter("around", content_but(terms, profile)), "")
     of_each = F.array_compact(F.array(*[F.when(T.among(F.col("anchor"), terms), F.struct(F.lit(c).alias("anchor_country"), kept(terms).alias("near"))) for c, terms in profile.anchors.items()]))

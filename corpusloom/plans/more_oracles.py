@@ -124,13 +124,17 @@ def quality(token: str) -> str:
     UNION ALL {row("'GLOBAL'", 'missing_metadata', 'high', "'total_texts < 50'", 'increase corpus to 50+')} FROM (SELECT count(*) AS n FROM x) WHERE n > 0 AND n < 50"""
 
 
-VALIDATION = """WITH t("row", term, level, weight, verified) AS (VALUES (1, 'fear', 'medium', '0.6667', 'true'), (2, 'panic', 'strong', '0.2', 'true'), (3, 'calm', 'mild', '', ''), (4, 'hope', 'weak', '0.3333', 'maybe'), (5, 'rage', 'strong', '1.0', 'context_dependent')),
+def validation(candidate: str) -> str:
+    """candidate: a query for candidate_term and frequency."""
+    return f"""WITH c AS ({candidate}),
+    t AS (SELECT row_number() OVER (ORDER BY candidate_term) AS "row", candidate_term AS term, ['weak', 'medium', 'strong', 'mild'][CAST(frequency % 4 + 1 AS INT)] AS level, ['0.3333', '0.6667', '1.0', '', 'many'][CAST((length(candidate_term) + frequency) % 5 + 1 AS INT)] AS weight,
+        ['true', '', 'maybe', 'no', 'context_dependent'][CAST((frequency + 2 * length(candidate_term)) % 5 + 1 AS INT)] AS verified FROM c),
     e AS (SELECT *, CASE level WHEN 'weak' THEN 1 / 3.0::DOUBLE WHEN 'medium' THEN 2 / 3.0::DOUBLE WHEN 'strong' THEN 1.0::DOUBLE END AS expected, CASE WHEN weight = '' THEN 0.0::DOUBLE ELSE coalesce(TRY_CAST(weight AS DOUBLE), -1.0::DOUBLE) END AS given FROM t)
     SELECT 'emotional_markers.csv' AS file, x.level, x.issue, x.details FROM (SELECT unnest([
-        CASE WHEN verified = '' THEN {'level': 'warning', 'issue': 'empty_verified', 'details': printf('row %d: empty verified value', "row")} END,
-        CASE WHEN verified <> '' AND verified NOT IN ('1', 'yes', '0', 'no', 'true', 'false', 'context_dependent') THEN {'level': 'error', 'issue': 'invalid_verified_value', 'details': printf('row %d: %s', "row", verified)} END,
-        CASE WHEN expected IS NULL THEN {'level': 'error', 'issue': 'invalid_intensity_level', 'details': printf('row %d: %s', "row", level)} END,
-        CASE WHEN abs(given - expected) > 1e-3 THEN {'level': 'warning', 'issue': 'weight_mismatch', 'details': printf('row %d: %s != %.6f', "row", CAST(given AS VARCHAR), expected)} END
+        CASE WHEN verified = '' THEN {{'level': 'warning', 'issue': 'empty_verified', 'details': printf('row %d: empty verified value', "row")}} END,
+        CASE WHEN verified <> '' AND verified NOT IN ('1', 'yes', '0', 'no', 'true', 'false', 'context_dependent') THEN {{'level': 'error', 'issue': 'invalid_verified_value', 'details': printf('row %d: %s', "row", verified)}} END,
+        CASE WHEN expected IS NULL THEN {{'level': 'error', 'issue': 'invalid_intensity_level', 'details': printf('row %d: %s', "row", level)}} END,
+        CASE WHEN abs(given - expected) > 1e-3 THEN {{'level': 'warning', 'issue': 'weight_mismatch', 'details': printf('row %d: %s != %.6f', "row", CAST(given AS VARCHAR), expected)}} END
     ]) AS x FROM e) WHERE x IS NOT NULL"""
 
 
@@ -253,7 +257,6 @@ def all_sql(docs, scored: str, weighted, raw: str, content: str) -> dict[str, st
         "text_rollup": f"{sc}, {ROLLUP}",
         "quality_flags": f"{sc}, {quality(raw % "coalesce(text, '')")}",
         "calibration_near_duplicates": f"WITH {NEAR} SELECT seq FROM near",
-        "lexicon_validation": VALIDATION,
         "legacy_doc_indices": f"{lemmas} SELECT * FROM li",
         "legacy_summary": f"{lemmas} SELECT country, year, count(*) AS doc_count, {means} FROM li GROUP BY country, year",
         "context_interpretation": f"{sc} SELECT context_id, {WORDS} FROM scored",

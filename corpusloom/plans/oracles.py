@@ -191,6 +191,22 @@ def rank_of(m: str, by: str = "") -> str:
     return f"(rank() OVER ({part} ORDER BY {m}) + (count(*) OVER ({tied}) - 1) / 2.0::DOUBLE) / count(*) OVER ({part}) * 100"
 
 
+def reader_matrix() -> str:
+    """Means from sums in whole billionths."""
+    billionths = lambda x: f"sum(CAST(round(({x})::DOUBLE * 1000000000) AS HUGEINT))::DOUBLE"
+    mean = lambda x: f"{billionths(x)} / count(*)::DOUBLE / 1000000000.0::DOUBLE"
+    share = lambda x: f"count(*) FILTER ({x})::DOUBLE / count(*)::DOUBLE"
+    ranks = {"IDI": "IDI", "EMI": "EMI", "MTI": "MTI", "IP": "ip", "IP_abs": "abs(ip)"}
+    raw = ", ".join(f"{mean(m)} AS mean_{m}_raw, {mean(f'round({m} * 100.0::DOUBLE, 6)')} AS mean_{m}_percent_value, {mean(f'{m}_rank')} AS mean_{m}_percentile" for m in ("IDI", "EMI", "MTI"))
+    final = f"{billionths('round(ip, 8) * aggregation_weight')} / {billionths('aggregation_weight')}"
+    final_abs = f"{billionths('round(abs(ip), 8) * aggregation_weight')} / {billionths('aggregation_weight')}"
+    return f"""WITH {scored()}, i AS (SELECT *, IP_context::DOUBLE AS ip FROM scored), p AS (SELECT *, {', '.join(f'round({rank_of(x)}, 6) AS {n}_rank' for n, x in ranks.items())} FROM i)
+    SELECT media_country, ref_country, count(*) AS number_of_contexts, count(DISTINCT doc_id) AS number_of_articles, count(*) AS contexts_analyzed, 0::BIGINT AS contexts_excluded, 0::BIGINT AS technical_mentions_count, 0::BIGINT AS technical_mentions_excluded, {raw},
+        {mean('EVI_raw')} AS mean_EVI_raw, {mean('EVI_norm')} AS mean_EVI_norm, {final} AS IP_final, {final_abs} AS IP_abs_final, {mean('IP_rank')} AS mean_IP_percentile, {mean('IP_abs_rank')} AS mean_IP_abs_percentile,
+        {share('EVI_raw > 0')} AS positive_context_share, {share('EVI_raw < 0')} AS negative_context_share, {share('EVI_raw = 0')} AS neutral_context_share, {share('referent_salience = 1')} AS central_context_share, '' AS warning,
+        {final} AS mean_IP, {final_abs} AS mean_abs_IP, {mean('EVI_raw')} AS mean_EVI FROM p GROUP BY media_country, ref_country"""
+
+
 def tag(t: str) -> str:
     cases = "".join(" WHEN " + " OR ".join(f"suffix({t}, '{e}')" for e in es) + f" THEN '{n}'" for n, es in T.TAG_ENDINGS.items())
     return f"CASE WHEN list_contains({CORE}, {t}) THEN 'FUNC'{cases} ELSE 'NOUN' END"
@@ -278,4 +294,5 @@ def all_sql() -> dict[str, str]:
         "capped_sample": f"{base} SELECT seq, source, country, year FROM docs QUALIFY row_number() OVER (PARTITION BY source, country, year ORDER BY seq) <= 3",
     }
     sql |= more_oracles.all_sql(docs, scored(), weighted, RAW, f"len(list_filter({RAW}, lambda t: NOT list_contains({CORE}, t) AND length(t) >= 2))")
+    sql |= {"lexicon_validation": more_oracles.validation(sql["candidate_terms"]), "reader_matrix": reader_matrix()}
     return sql | calibration_queries.all_sql(scored(), sents("coalesce(text, '')"), sql["candidate_terms"], sql["text_rollup"], sql["quality_flags"], half_up)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import lexicons as L
 from corpusloom.functions import stats
 from corpusloom.functions import text as T
-from corpusloom.operators import aggregate, calibration, collector, contexts, corpus, dedup, interpret, legacy, lexicon, percentile, scoring
+from corpusloom.operators import aggregate, app_tables, calibration, collector, contexts, corpus, dedup, interpret, legacy, lexicon, numbering, percentile, scoring
 from corpusloom.plans import calibration_queries, oracles, tables
 from corpusloom.plans.calibration_queries import calibration_texts
 from corpusloom.plans.tables import PROFILE
@@ -46,9 +46,12 @@ def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.col("page_id").alias("seq"), F.regexp_extract("url", r"https?://([^/]+)", 1).alias("source"), (F.col("page_id") % 5 + 2022).cast("int").alias("year"), F.lit("").alias("title"), T.html_text(F.coalesce("html", F.lit(""))).alias("content"))
 
 
-def lexicon_rows(spark: SparkSession) -> DataFrame:
-    rows = [(1, "fear", "medium", "0.6667", "true"), (2, "panic", "strong", "0.2", "true"), (3, "calm", "mild", "", ""), (4, "hope", "weak", "0.3333", "maybe"), (5, "rage", "strong", "1.0", "context_dependent")]
-    df = spark.createDataFrame(rows, "row int, term string, intensity_level string, weight string, verified string")
+def lexicon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate terms as a dictionary of emotional markers, whose levels, weights and states follow from frequency and length, right and wrong."""
+    n, size = F.col("frequency"), F.length("candidate_term")
+    of = lambda values, x: F.element_at(F.array(*[F.lit(v) for v in values]), (x % len(values) + 1).cast("int"))
+    found = calibration_queries.candidates(spark, sf_dir).select(F.col("candidate_term").alias("term"), of(("weak", "medium", "strong", "mild"), n).alias("intensity_level"), of(("0.3333", "0.6667", "1.0", "", "many"), size + n).alias("weight"), of(("true", "", "maybe", "no", "context_dependent"), n + 2 * size).alias("verified"))
+    df = numbering.numbered(found, "row", ["term"])
     return df.withColumns({c: F.lit("") for c in L.LEXICON_SCHEMAS["emotional_markers.csv"] if c not in df.columns})
 
 
@@ -162,6 +165,7 @@ def queries() -> dict[str, Query]:
         "impact_by_outlet": on_scored(aggregate.by_outlet),
         "impact_by_article": on_scored(aggregate.by_article),
         "summary_matrix": on_scored(aggregate.summary_matrix),
+        "reader_matrix": on_scored(lambda r: app_tables.matrix(app_tables.reader_columns(r)).drop("interpretation_summary")),
         "dominant_evi": on_scored(lambda r: aggregate.dominant_evi(r, ["media_country", "ref_country"])),
         "reference_summary": on_scored(lambda r: aggregate.reference_summary(r, ["ref_country"])),
         "diagnostics": on_scored(aggregate.diagnostics),
@@ -178,7 +182,7 @@ def queries() -> dict[str, Query]:
         "text_rollup": on_scored(lambda r: calibration.text_rollup(percentile.anchor_status(r))),
         # lexicon
         "candidate_terms": lambda s, d: lexicon.extract_candidates(tables.referent_contexts(s, d)).select("candidate_term", "frequency", "proposed_dictionary", "confidence_score"),
-        "lexicon_validation": lambda s, d: lexicon.validate("emotional_markers.csv", lexicon_rows(s)),
+        "lexicon_validation": lambda s, d: lexicon.validate("emotional_markers.csv", lexicon_rows(s, d)),
         # collector
         "document_country": lambda s, d: tables.documents(s, d).select("doc_id", io.country_of(F.concat_ws("_", "lang", F.col("doc_id").cast("string")), F.coalesce("text", F.lit(""))).alias("country")),
         "html_paragraph_text": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.length(T.html_text(F.coalesce("html", F.lit("")))).alias("n_chars")),

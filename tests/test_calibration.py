@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import articles, calibration, calibration_report, dictionaries, interpret, ledger, numbering, percentile
+from corpusloom.operators import app_tables, articles, calibration, calibration_report, dictionaries, interpret, ledger, numbering, percentile
 from corpusloom.sources import calibration_sources
 
 
@@ -282,3 +282,26 @@ def test_sources(spark, tmp_path):
     (tmp_path / "urls.csv").write_text("url\nx\n")
     with pytest.raises(ValueError):
         calibration_sources.collected(spark, sources[2:3], str(tmp_path))
+
+
+def test_tables_for_readers(spark):
+    columns = "doc_id string, media_country string, ref_country string, IDI double, EMI double, MTI double, EVI_raw int, EVI_norm double, referent_salience double, positive_score int, negative_score int, IP_context double, IP_context_abs double, discursive_energy double, aggregation_weight double, is_technical_mention boolean"
+    rows = [
+        ("a", "M", "X", 0.1, 0.2, 0.0, 2, 0.2, 1.0, 2, 0, 0.26, 0.26, 0.3, 1.0, False),
+        ("a", "M", "X", 0.3, None, 0.0, -2, -0.2, 0.5, 0, 2, -0.26, 0.26, 0.3, 0.5, None),
+        ("b", "M", "X", 0.9, 0.9, 0.9, 9, 0.9, 0.0, 9, 0, 3.33, 3.33, 2.7, 1.0, True),
+        ("c", "M", None, 0.0, 0.0, 0.0, 0, 0.0, 0.25, 0, 0, 0.0, 0.0, 0.0, 0.0, False),
+    ]
+    read = app_tables.reader_columns(spark.createDataFrame(rows, columns), "v1")
+    first = read.where("IDI = 0.1").first()
+    assert (first.IDI_raw, first.IDI_percent_value, first.IDI_percentile, first.IP_percentile, first.S_r, first.lexicon_version_used) == (0.1, 10.0, 50.0, 75.0, 1.0, "v1")
+    assert first.percentile_explanation == "IDI pctl=50.0, EMI pctl=75.0, MTI pctl=50.0, IP_abs pctl=62.5" and first.interpretation_summary == "EVI=2.0, IP_i=0.260000, S_r=1.00"
+    assert read.where("IDI = 0.3").first().EMI_raw == 0.0
+    got = {r.ref_country: r for r in app_tables.matrix(read).collect()}
+    x, none = got["X"], got[None]
+    assert (x.number_of_contexts, x.number_of_articles, x.contexts_analyzed, x.contexts_excluded, x.technical_mentions_excluded) == (3, 2, 2, 1, 1)
+    assert x.mean_IDI_raw == pytest.approx(0.2) and x.mean_EMI_percent_value == pytest.approx(10.0) and x.IP_final == pytest.approx((0.26 - 0.13) / 1.5) and x.IP_abs_final == pytest.approx(0.26) and x.mean_abs_IP == x.IP_abs_final
+    assert (x.positive_context_share, x.central_context_share, x.warning) == (0.5, 0.5, "")
+    assert x.interpretation_summary == "IDI pctl=62.5; EMI pctl=56.3; MTI pctl=50.0; IP_abs pctl=62.5" or x.interpretation_summary.startswith("IDI pctl=62.5; EMI pctl=56.")
+    assert (none.contexts_analyzed, none.mean_IDI_raw, none.IP_final, none.warning) == (0, 0.0, 0.0, app_tables.NOTHING_LEFT)
+    assert app_tables.matrix(read, exclude_technical=False).where("ref_country = 'X'").first().contexts_analyzed == 3
