@@ -85,3 +85,27 @@ def test_files_by_ending(spark, tmp_path):
     assert "Source: Tempo" in got["e.json__row_000001.txt"]
     assert (got["in.docx"], got["in.pdf"], got["in.md"]) == ("A & B", "Hello (PDF)!", "# md")
     assert "in.exe" not in got
+
+
+def test_an_analysis_in_files(spark, tmp_path):
+    from corpusloom.operators import aggregate, scoring
+    from corpusloom.plans import tables
+    from corpusloom.plans.tables import PROFILE
+    from corpusloom.sources import analysis
+
+    scored = tables.scored(spark, "/root/testdata/sf0.001").cache()
+    issues = spark.createDataFrame([("f.csv", "error", "missing_column", "c"), ("a.csv", "warning", "empty_verified", "row 1")], "file string, level string, issue string, details string")
+    log = spark.createDataFrame([("t", "approve")], "timestamp string, user_action string")
+    out = str(tmp_path)
+    analysis.save({"contexts_full": scored, "aggregated_by_article": aggregate.by_article(scored)}, out, scoring.traces(scored, PROFILE), issues, log, most_formulas=5)
+    formulas = spark.read.json(f"{out}/formula_traces.json")
+    assert formulas.count() == 30 and formulas.select("context_id").distinct().count() == 5
+    contexts = spark.read.parquet(f"{out}/contexts_full.parquet")
+    assert contexts.count() == scored.count() and contexts.where("formula_trace_id <> ''").count() == 5
+    assert contexts.where("formula_trace_id <> ''").join(formulas.where("formula_name = 'IP'"), contexts.formula_trace_id == formulas.trace_id).count() == 5
+    assert spark.read.json(f"{out}/marker_traces.json").count() == spark.read.parquet(f"{out}/marker_traces.parquet").count() > 0
+    assert [r.line for r in analysis.issue_lines(issues).orderBy("place", "line").collect()] == ["# lexicon_quality_report", "", "- total_issues: 2", "- [error] f.csv: missing_column (c)", "- [warning] a.csv: empty_verified (row 1)"]
+    assert sorted(r.value for r in spark.read.text(f"{out}/lexicon_quality_report.md").collect()) == sorted(["# lexicon_quality_report", "", "- total_issues: 2", "- [error] f.csv: missing_column (c)", "- [warning] a.csv: empty_verified (row 1)"])
+    assert [r.line for r in analysis.issue_lines(issues.limit(0)).orderBy("place").collect()] == ["# lexicon_quality_report", "", "- status: OK", "- notes: no schema violations detected."]
+    assert spark.read.option("header", True).csv(f"{out}/dictionary_change_log.csv").count() == 1
+    scored.unpersist()
