@@ -34,8 +34,8 @@ def repeats(signed: DataFrame) -> DataFrame:
 
 def exact(docs: DataFrame) -> DataFrame:
     """The first document of each token sequence. Only digests and places in the order are grouped."""
-    named = docs.select("seq", F.unhex(F.md5(F.array_join("tokens", " "))).alias("digest"))
-    return docs.join(repeats(named), "seq", "left_anti")
+    firsts = docs.select("seq", F.unhex(F.md5(F.array_join("tokens", " "))).alias("digest")).groupBy("digest").agg(F.min("seq").alias("seq"))
+    return docs.join(firsts.select("seq"), "seq", "left_semi")
 
 
 def blocks(bits: int) -> list[int]:
