@@ -90,6 +90,12 @@ def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles.articles(pages, articles.sites(spark, SITES)).select("page_id", "source", "region", "title", "date", "year", "content")
 
 
+def text_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = calibration_texts(spark, sf_dir).select("calibration_id", "ref_country", F.lit("none").alias("anchor_status"), F.lit("").alias("quality_flags"))
+    rollup = calibration.text_rollup(percentile.anchor_status(tables.scored(spark, sf_dir)))
+    return calibration.summarised(texts, rollup, flags(spark, sf_dir))
+
+
 #: Terms whose sentences are shown.
 SHOWN = ["threat", "public", "general public", "license", "work", "the"]
 
@@ -128,10 +134,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_articles": page_articles,
         "calibration_report_facts": report_facts,
         "context_blocks": shown_blocks,
+        "calibration_text_summaries": text_summaries,
         "dictionary_union": dictionary_union,
     }
 
 
+#: Words of the test profile's referents.
+REFERENT = r"(?i)\b(?:worthless|stupid|license|licensed|with)\b"
+
 RECORDS = """, f AS (SELECT doc_id, min({'k': coalesce(quality, 2) * 3 + coalesce(toxic, 2), 'quality': quality, 'toxic': toxic}) AS x FROM labels GROUP BY doc_id),
     records AS (SELECT s.*, 'cal_' || s.doc_id AS calibration_id, d.source AS source_name, CASE WHEN x.quality = 1 THEN 'neutral_news' WHEN x.quality = 0 THEN 'crisis_report' ELSE 'analytical_article' END AS calibration_type,
         CASE WHEN x.toxic = 1 THEN 'EMI' WHEN x.toxic = 0 THEN 'IDI' ELSE 'mixed' END AS expected_indicator_focus, lang AS language, d.doc_id AS seq FROM scored s JOIN documents d ON CAST(d.doc_id AS VARCHAR) = s.doc_id LEFT JOIN f ON f.doc_id = d.doc_id)"""
@@ -202,5 +212,8 @@ def all_sql(scored: str, sentences: str, candidate: str, rollup: str, flag: str,
         "page_articles": ARTICLES,
         "context_blocks": f"WITH split AS (SELECT doc_id, {sentences} AS sents FROM documents){BLOCKS}",
         "dictionary_union": f"WITH c AS ({candidate}){UNION}",
+        "calibration_text_summaries": f"""{sc}, u AS MATERIALIZED ({rollup}), q AS MATERIALIZED ({flag}), g AS (SELECT calibration_id, array_to_string(list_sort(list(DISTINCT issue_type)), ';') AS flags FROM q WHERE calibration_id <> 'GLOBAL' GROUP BY calibration_id),
+            y AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN regexp_matches(coalesce(text, ''), '{REFERENT}') THEN 'found' ELSE '' END AS own FROM documents)
+            SELECT id AS calibration_id, coalesce(nullif(ref_country, ''), own) AS ref_country, coalesce(nullif(anchor_status, ''), 'none') AS anchor_status, coalesce(flags, '') AS quality_flags FROM y LEFT JOIN u ON u.doc_id = id LEFT JOIN g ON g.calibration_id = id""",
         "calibration_report_facts": f"{sc}{RECORDS}{facts_sql(rollup, candidate, flag, mean)}",
     }

@@ -305,3 +305,13 @@ def test_tables_for_readers(spark):
     assert x.interpretation_summary == "IDI pctl=62.5; EMI pctl=56.3; MTI pctl=50.0; IP_abs pctl=62.5" or x.interpretation_summary.startswith("IDI pctl=62.5; EMI pctl=56.")
     assert (none.contexts_analyzed, none.mean_IDI_raw, none.IP_final, none.warning) == (0, 0.0, 0.0, app_tables.NOTHING_LEFT)
     assert app_tables.matrix(read, exclude_technical=False).where("ref_country = 'X'").first().contexts_analyzed == 3
+
+
+def test_texts_keep_their_own_where_nothing_is_said(spark):
+    texts = spark.createDataFrame([("1", "own", "none", "old", "t"), ("2", "own", None, "old", "t"), ("3", "", "none", None, "t")], "calibration_id string, ref_country string, anchor_status string, quality_flags string, _flags string")
+    texts = texts.withColumnRenamed("_flags", "title")
+    rollup = spark.createDataFrame([("1", "China;USA", ""), ("2", "", "upper_anchor")], "doc_id string, ref_country string, anchor_status string")
+    flags = spark.createDataFrame([("1", "too_short"), ("1", "outlier"), ("1", "outlier"), ("GLOBAL", "x")], "calibration_id string, issue_type string")
+    got = calibration.summarised(texts, rollup, flags)
+    assert got.columns == texts.columns
+    assert {r.calibration_id: tuple(r)[1:4] for r in got.collect()} == {"1": ("China;USA", "none", "outlier;too_short"), "2": ("own", "upper_anchor", "old"), "3": ("", "none", None)}
