@@ -167,18 +167,22 @@ def concentration(keys: str) -> str:
 
 
 def chi2(counts: str, target: str, categories: str) -> str:
-    return f"""SELECT a AS country_a, b AS country_b, '{target}' AS test_target, round(CASE WHEN k >= 2 AND n > 0 THEN chi2 ELSE 0 END, 6) AS chi2, CAST(CASE WHEN k >= 2 AND n > 0 THEN k - 1 ELSE 0 END AS INT) AS df, v FROM (
+    return f"""SELECT a AS country_a, b AS country_b, '{target}' AS test_target, round(CASE WHEN k >= 2 AND n > 0 THEN chi2 ELSE 0 END, 6) AS chi2, CAST(CASE WHEN k >= 2 AND n > 0 THEN k - 1 ELSE 0 END AS INT) AS df, v, CASE WHEN k >= 2 AND n > 0 THEN chi2 ELSE 0 END / 2 AS half FROM (
       SELECT a, b, sum(CASE WHEN ra * (x + y) / n > 0 THEN (x - ra * (x + y) / n) ** 2 / (ra * (x + y) / n) ELSE 0 END + CASE WHEN rb * (x + y) / n > 0 THEN (y - rb * (x + y) / n) ** 2 / (rb * (x + y) / n) ELSE 0 END) AS chi2, max(n) AS n, max(k) AS k, CASE WHEN max(k) >= 2 AND max(n) > 0 THEN sqrt(sum(CASE WHEN ra * (x + y) / n > 0 THEN (x - ra * (x + y) / n) ** 2 / (ra * (x + y) / n) ELSE 0 END + CASE WHEN rb * (x + y) / n > 0 THEN (y - rb * (x + y) / n) ** 2 / (rb * (x + y) / n) ELSE 0 END) / max(n)) ELSE 0 END AS v FROM (
         SELECT a, b, x, y, sum(x) OVER p AS ra, sum(y) OVER p AS rb, sum(x) OVER p + sum(y) OVER p AS n, count(*) OVER p AS k FROM (
           SELECT p.a, p.b, c.category, coalesce(u.n, 0)::DOUBLE AS x, coalesce(w.n, 0)::DOUBLE AS y FROM pairs p CROSS JOIN ({categories}) c LEFT JOIN ({counts}) u ON u.country = p.a AND u.category = c.category LEFT JOIN ({counts}) w ON w.country = p.b AND w.category = c.category) WINDOW p AS (PARTITION BY a, b)) GROUP BY a, b)"""
 
 
-def significance() -> str:
+#: The tail of chi-square by the power series of the incomplete gamma function, whose terms are all positive.
+TAIL = "CASE WHEN df <= 0 OR half <= 0 THEN 1.0::DOUBLE WHEN half > 700 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - list_sum(list_transform(range(0, 2000), lambda i: exp((df / 2.0::DOUBLE + i) * ln(half) - half - lgamma(df / 2.0::DOUBLE + i + 1))))) END"
+
+
+def significance(p_values: bool = False) -> str:
     frames = "SELECT country, name AS category, sum(hits)::BIGINT AS n FROM frames WHERE hits > 0 GROUP BY ALL"
     labels = "SELECT country, label AS category, count(*) AS n FROM sent GROUP BY ALL"
     both = chi2(frames, "frame_distribution", f"SELECT DISTINCT category FROM ({frames})") + " UNION ALL " + chi2(labels, "sentiment_distribution", "SELECT unnest(['positive', 'negative', 'neutral']) AS category")
     return f"""WITH {docs()}, {SENT}, {FRAMES}, cs AS (SELECT DISTINCT country FROM docs), pairs AS (SELECT x.country AS a, y.country AS b FROM cs x JOIN cs y ON x.country < y.country)
-    SELECT country_a, country_b, test_target, chi2, df, round(v, 6) AS cramers_v, CASE WHEN v < 0.1 THEN 'negligible' WHEN v < 0.3 THEN 'small' WHEN v < 0.5 THEN 'moderate' ELSE 'strong' END AS effect_size_label FROM ({both})"""
+    SELECT country_a, country_b, test_target, chi2, df, round(v, 6) AS cramers_v, CASE WHEN v < 0.1 THEN 'negligible' WHEN v < 0.3 THEN 'small' WHEN v < 0.5 THEN 'moderate' ELSE 'strong' END AS effect_size_label{f", printf('%.8f', {TAIL}) AS p_value" if p_values else ''} FROM ({both})"""
 
 
 LEVEL = "CASE WHEN {0} <= 10 THEN 'minimal' WHEN {0} <= 20 THEN 'very_low' WHEN {0} <= 35 THEN 'low' WHEN {0} <= 50 THEN 'moderately_low' WHEN {0} <= 65 THEN 'medium' WHEN {0} <= 80 THEN 'elevated' WHEN {0} <= 90 THEN 'high' WHEN {0} <= 97 THEN 'very_high' ELSE 'extreme' END"
@@ -262,6 +266,7 @@ def all_sql() -> dict[str, str]:
         "source_concentration_total": concentration("country"),
         "source_balance": f"{base}, c AS (SELECT source, country, count(*) AS doc_count FROM docs GROUP BY ALL) SELECT source, country, doc_count, round(doc_count::DOUBLE / sum(doc_count) OVER (PARTITION BY source), 6) AS share_within_source, round(doc_count::DOUBLE / sum(doc_count) OVER (PARTITION BY country), 6) AS share_within_country FROM c",
         "chi2_pairs": significance(),
+        "chi2_pairs_p": significance(True),
         "exact_dedup": f"{base} SELECT min(seq) AS seq FROM docs GROUP BY array_to_string(tokens, ' ')",
         "quick_prefilter": "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)threat|worthless|icens')",
         "referent_contexts": f"WITH {contexts()} SELECT * FROM contexts",
