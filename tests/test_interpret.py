@@ -1,5 +1,8 @@
 """Words for measures, filters of a reader, and checks that need no tables."""
 
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -108,3 +111,21 @@ def test_near_dedup_against_all_pairs(spark):
         if not any(near(o) for o in kept):
             kept.append((seq, h, len(tokens), mine))
     assert sorted(r.seq for r in dedup.deduplicate(df).select("seq").collect()) == [k[0] for k in kept]
+
+
+def test_quantiles_between_equal_values_are_the_value(spark):
+    """In doubles (1 - d) v + d v may be below v: rows that are the 99th percentile were above it then."""
+    for n, k in [(62, 11), (64, 11), (120, 11), (138, 11)]:
+        rows = spark.createDataFrame([(i, k / 97 if i < 5 else 0.0) for i in range(n)], "context_id int, IDI double")
+        assert percentile.outliers(rows, ["IDI"]).count() == 0
+
+
+def test_quantiles_as_duckdb_has_them(spark):
+    rnd = random.Random(3)
+    values = {f"m{k}": [rnd.randint(0, 5) / rnd.randint(7, 90) for _ in range(rnd.randint(2, 60))] for k in range(60)}
+    shares = {"p10": 0.1, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    counts = spark.createDataFrame([(m, v, 1) for m, vs in values.items() for v in vs], "metric string, v double, w long")
+    con = duckdb.connect()
+    for r in percentile.quantiles(counts, shares).collect():
+        theirs = con.execute(f"SELECT {', '.join(f'quantile_cont(v, {q})' for q in shares.values())} FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values[r.metric]]).fetchone()
+        assert tuple(r[1:]) == theirs
