@@ -129,3 +129,13 @@ def test_quantiles_as_duckdb_has_them(spark):
     for r in percentile.quantiles(counts, shares).collect():
         theirs = con.execute(f"SELECT {', '.join(f'quantile_cont(v, {q})' for q in shares.values())} FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values[r.metric]]).fetchone()
         assert tuple(r[1:]) == theirs
+
+
+def test_numbers_in_traces_are_written_as_in_sql(spark):
+    con = duckdb.connect()
+    numbers = [0.0, 0.25, 0.001, 0.000999, 0.0001, 9.9e-05, 1e-05, 1.4e-05, -0.000123, 9999999.0, 12345678.5, 123456789012.25, 1e16, 2.5e17, -2.0]
+    ours = [r[0] for r in spark.createDataFrame([(x,) for x in numbers], "x double").select(T.number_text(F.col("x"))).collect()]
+    assert ours == [con.execute("SELECT '' || ?::DOUBLE", [x]).fetchone()[0] for x in numbers] == [repr(x) for x in numbers]
+    row = {"context_id": "c", "N_content": 1001, "N_ideol": 1, "N_e_w": 0, "N_e_m": 0, "N_e_s": 0, "N_met": 0, "IDI": 1 / 1001, "EMI": 0.0, "MTI": 0.0, "positive_score": 1, "negative_score": 0, "EVI_raw": 1, "EVI_norm": 0.1, "referent_salience": 0.5, "discursive_energy": 1 / 1001, "IP_context": 0.1001}
+    told = {r.formula_name: r.substitution for r in scoring.formula_traces(spark.createDataFrame([row])).collect()}
+    assert told == {"IDI": "IDI = 1 / 1001", "EMI": "EMI = 0.0 / 1001", "MTI": "MTI = 0 / 1001", "EVI": "EVI = 1 - 0 = 1", "S_r": "S_r = 0.5", "IP": "IP = 0.1 * (1 + 0.000999)"}
