@@ -60,8 +60,14 @@ def corpus_profile_all(docs: DataFrame) -> DataFrame:
 
 
 def dedup_all(docs: DataFrame) -> DataFrame:
-    distinct = dedup.exact(docs)
-    return dedup.statistics(docs, distinct, dedup.survivors(distinct))
+    every, again, near = dedup.dropped(docs)
+    distinct = every.join(again, "seq", "left_anti")
+    return dedup.statistics(every, distinct, distinct.join(near, "seq", "left_anti"))
+
+
+def near_survivors(docs: DataFrame) -> DataFrame:
+    every, again, near = dedup.dropped(docs)
+    return every.join(again.unionByName(near), "seq", "left_anti")
 
 
 def exact_counts(docs: DataFrame) -> DataFrame:
@@ -142,7 +148,7 @@ def queries() -> dict[str, Query]:
         "chi2_pairs_p": on_docs(chi(True)),
         # duplicates
         "exact_dedup": on_docs(exact_counts),
-        "near_dedup": on_docs(lambda d: dedup.deduplicate(d).select("seq")),
+        "near_dedup": on_docs(near_survivors),
         "dedup_stats": on_docs(dedup_all),
         "simhash64": on_docs(lambda d: d.select("seq", stats.simhash64(F.col("tokens")).alias("h"))),
         # referent contexts and their scores
