@@ -315,3 +315,24 @@ def test_texts_keep_their_own_where_nothing_is_said(spark):
     got = calibration.summarised(texts, rollup, flags)
     assert got.columns == texts.columns
     assert {r.calibration_id: tuple(r)[1:4] for r in got.collect()} == {"1": ("China;USA", "none", "outlier;too_short"), "2": ("own", "upper_anchor", "old"), "3": ("", "none", None)}
+
+
+def test_similar_sets_meet_by_hashes_of_few_words(spark):
+    """All words travelled twice before, which took 19 times the input of disk."""
+    rnd = random.Random(5)
+    base = [[f"w{rnd.randint(0, 300)}" for _ in range(rnd.randint(1, 80))] for _ in range(12)]
+    rows = [(0, None), (1, " \n "), (2, "A  b"), (3, "b\ta a")]
+    for i in range(4, 90):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 4)):
+            words[rnd.randrange(len(words))] = f"w{rnd.randint(0, 300)}"
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+    sets = {i: set((t or "").lower().split()) for i, t in rows}
+    near = {j for j in sets for i in sets if i < j and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.92 * len(sets[i] | sets[j])}
+    texts = spark.createDataFrame(rows, "seq int, text string")
+    found = [r.seq for r in calibration.similar_sets(texts).collect()]
+    assert sorted(found) == sorted(near) and {3} < near
+    wide = spark.createDataFrame([(1, "\n".join(f"x{i:03}" for i in range(200)))], "seq int, t string")
+    told = calibration.prefixes(wide, {}, 0.92).first()
+    assert told.n == 200 and len(told.prefix) == 17
