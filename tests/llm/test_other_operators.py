@@ -245,3 +245,12 @@ def test_broken_segments_raise(spark):
         warc.reassembled(parts).select("block").collect()
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
+
+
+def test_growing_a_tree_joins_all_lengths_at_once(spark, monkeypatch):
+    """The driver's memory grows with the shuffles of a plan: one join and one sum, however long the contexts."""
+    grams = [(int.from_bytes(b"abcdef"[i:] + b"abcdef"[:i], "big"), 9) for i in range(6)]
+    plans, to_arrow = [], type(spark.range(0)).toArrow
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), to_arrow(df))[1])
+    assert suffix_tree_lm.grow(spark.createDataFrame(grams, "gram long, times long"), suffix_tree_lm.Tree(least_gain=0.01)).contexts > 1
+    assert len(plans) == 1 and plans[0].count("Join ") == 1 and plans[0].count("Aggregate ") == 1
