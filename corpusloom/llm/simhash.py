@@ -86,12 +86,27 @@ def components(edges: DataFrame) -> DataFrame:
         low = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         jumped = cut(low.join(up, "label", "left").select("node", F.least("label", "above").alias("label"), "was"))
-        changed = jumped.where(F.col("label") != F.col("was")).limit(1).count()
+        done = jumped.where(F.col("label") != F.col("was")).isEmpty()
         labels = jumped.select("node", "label")
-        if not changed:
+        if done:
             return labels
 
 
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels, as components gives them, after further edges (a, b); nodes may be new.
+
+    Only the components that the edges join are gone through, each as one node.
+    """
+    of = [labels.toDF(x, f"of_{x}") for x in "ab"]
+    ends = edges.select("a", "b").join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    across = cut(ends.where("a != b").distinct())
+    if across.isEmpty():
+        return labels
+    now = components(across)
+    moved = labels.join(now.toDF("label", "now"), "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    return cut(moved.union(now).distinct())
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs.
 
@@ -306,9 +321,12 @@ def all_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, s: Sket
     return met.select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, s: Sketches) -> DataFrame:
-    """The pairs that are near: the parity bits turn down most others, the shingles of both texts decide."""
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, s: Sketches, size: int = 0) -> DataFrame:
+    """The pairs that are near: the parity bits turn down most others, the shingles of both texts decide. size: as release takes it."""
     left = cut(pairs.join(bits_of(sketches, "a"), "a").join(bits_of(sketches, "b"), "b").where(few_apart(s)).select("a", "b").distinct())
+    release(left.sparkSession, size)  # of the shuffles of the pairs, before the texts travel
+    if left.isEmpty():
+        return left
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -326,7 +344,9 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, s: Sketche
     few = asked.count() <= s.few_keys  # then only the texts that are asked for travel
     needed = texts.join(F.broadcast(asked) if few else asked, "key", "left_semi").dropDuplicates(["key"])
     told = left.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return cut(short_batches(told).mapInArrow(jaccard, "a long, b long"))
+    near = cut(short_batches(told).mapInArrow(jaccard, "a long, b long"))
+    release(near.sparkSession, size)
+    return near
 
 
 def text_key(docs: DataFrame) -> Column:
@@ -352,15 +372,10 @@ def near_groups(docs: DataFrame, s: Sketches = Sketches()) -> DataFrame:
     shared = cut(shared_shingles(sketches))
     size = 16 * (sketches.agg(F.sum("n")).first()[0] or 0)  # a shingle takes up about as many bytes of shuffle
     release(docs.sparkSession, size)
-    near = verified(ball_pairs(sketches, s).union(star(shared, None, 0, s)), sketches, texts, s)
-    release(docs.sparkSession, size)
-    labels = components(near)
+    labels = components(verified(ball_pairs(sketches, s).union(star(shared, None, 0, s)), sketches, texts, s, size))
     for turn in range(1, s.rounds):
-        near = near.union(verified(star(shared, labels, turn, s), sketches, texts, s))
-        release(docs.sparkSession, size)
-        labels = components(near)
-    rest = verified(all_pairs(shared, labels, sketches, s), sketches, texts, s)
-    labels = components(near.union(rest))
+        labels = merged(labels, verified(star(shared, labels, turn, s), sketches, texts, s, size))
+    labels = merged(labels, verified(all_pairs(shared, labels, sketches, s), sketches, texts, s, size))
     return rows.join(labels, rows.key == labels.node, "left").select("doc_id", "key", F.coalesce("label", "key").alias("group"))
 
 

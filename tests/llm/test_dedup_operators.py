@@ -160,6 +160,28 @@ def test_components_of_a_chain(spark):
     assert labels[101] == 100
 
 
+def test_further_edges_join_known_components(spark, monkeypatch):
+    of = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first, further = [(i, i + 1) for i in range(10)] + [(20, 21), (30, 31)], [(5, 21), (3, 7), (40, 41), (30, 31), (41, 42)]
+    components, gone_through = simhash.components, []
+    labels, whole = components(of(first)), components(of(first + further))
+    monkeypatch.setattr(simhash, "components", lambda edges: (gone_through.extend(sorted(map(tuple, edges.collect()))), components(edges))[1])
+    assert sorted(simhash.merged(labels, of(further)).collect()) == sorted(whole.collect())
+    assert gone_through == [(0, 20), (40, 41), (41, 42)]
+    assert sorted(simhash.merged(labels, of([(3, 7)])).collect()) == sorted(labels.collect())
+    assert len(gone_through) == 3
+
+
+def test_later_pairs_do_not_go_through_all_edges_again(spark, monkeypatch):
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    components, calls = simhash.components, []
+    monkeypatch.setattr(simhash, "components", lambda edges: (calls.append(edges.count()), components(edges))[1])
+    assert len({r.group for r in simhash.near_groups(df).collect()}) == 1
+    assert len(calls) == 1
+
+
 def test_near_groups(spark):
     rnd = random.Random(9)
     base = " ".join(f"w{rnd.randint(0, 400)}" for _ in range(200)).split()
