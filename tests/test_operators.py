@@ -173,3 +173,19 @@ def test_a_family_is_compared_with_its_first_document(spark, monkeypatch):
         dedup.survivors(spark.createDataFrame(list(enumerate(docs)), "seq long, tokens array<string>")).count()
         sums.append(sum(counts))
     assert sums[1] < 3 * sums[0]
+
+
+def test_signed_documents_and_parities(spark):
+    """SimHashes were folded bit by bit in expressions, and token sets travelled for every pair of near hashes: most of the time on 1 GB."""
+    rnd = random.Random(9)
+    docs = [[f"t{rnd.randrange(n)}é" for _ in range(n)] for n in (0, 1, 2, 7, 300, 300, 2000)] + [["a", "", "b"], ["x"] * 5]
+    docs += [[*docs[5], f"new{k}"] for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(docs)), "seq int, tokens array<string>")
+    signed = dedup.signed_documents(df)
+    assert {r.seq: r.h for r in signed.collect()} == {r.seq: r.h for r in df.select("seq", stats.simhash64(F.col("tokens")).alias("h")).collect()}
+    assert {r.seq: (r.n, {*r.t.split(dedup.PART)} - {""}, r.d) for r in signed.collect()} == {i: (len(t), {*t} - {""}, len({*t} - {""})) for i, t in enumerate(docs)}
+    x, y = signed.select("seq", "d", "p").toDF("a", "da", "pa"), signed.select("seq", "d", "p").toDF("b", "db", "pb")
+    left = {(r.a, r.b) for r in x.crossJoin(y).where(dedup.may_be_similar(F.col("da"), F.col("pa"), F.col("db"), F.col("pb"), 0.92)).collect()}
+    sets = [{*t} - {""} for t in docs]
+    near = {(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets) if s | t and len(s & t) / len(s | t) >= 0.92}
+    assert near <= left and len(left) < len(near) + len(docs)
