@@ -336,3 +336,16 @@ def test_similar_sets_meet_by_hashes_of_few_words(spark):
     wide = spark.createDataFrame([(1, "\n".join(f"x{i:03}" for i in range(200)))], "seq int, t string")
     told = calibration.prefixes(wide, {}, 0.92).first()
     assert told.n == 200 and len(told.prefix) == 17
+
+
+def test_texts_travel_only_where_parities_leave_a_pair(spark, monkeypatch):
+    """Sets of words travelled for every pair that shares a rare word, within a family for all its pairs, which took five times the input of disk."""
+    rnd = random.Random(6)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(60)]
+    rows += [(100 + i, " ".join(["zz-rare", *(f"w{rnd.randrange(4000)}" for _ in range(150))])) for i in range(40)]
+    compared, counts = calibration.of_similar_words, []
+    monkeypatch.setattr(calibration, "of_similar_words", lambda p, *a: (counts.append(p.count()), compared(p, *a))[1])
+    found = calibration.similar_sets(spark.createDataFrame(rows, "seq int, text string"))
+    assert sorted(r.seq for r in found.collect()) == list(range(1, 60))
+    assert sum(counts) < 2 * len(rows)
