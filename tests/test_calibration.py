@@ -349,3 +349,44 @@ def test_texts_travel_only_where_parities_leave_a_pair(spark, monkeypatch):
     found = calibration.similar_sets(spark.createDataFrame(rows, "seq int, text string"))
     assert sorted(r.seq for r in found.collect()) == list(range(1, 60))
     assert sum(counts) < 2 * len(rows)
+
+
+def test_report_facts_count_near_duplicates_by_both_rules(spark, tmp_path):
+    """Flags of the report were told by sets of words alone; the other facts are those of the SQL."""
+    from difflib import SequenceMatcher
+
+    from compare import connection, rows_of
+    from corpusloom.plans import calibration_queries, oracles
+
+    small = "/root/testdata/sf0.001"
+    words = [f"word{i}" for i in range(24)]
+    typos = [(9_000_001, " ".join(words)), (9_000_002, " ".join(w if i % 12 else w.replace("o", "0") for i, w in enumerate(words)))]
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 3000").limit(60)
+    docs.unionByName(spark.createDataFrame(typos, "doc_id long, text string"), allowMissingColumns=True).coalesce(1).write.parquet(f"{tmp_path}/t/documents.parquet")
+    spark.read.parquet(f"{small}/labels.parquet").coalesce(1).write.parquet(f"{tmp_path}/t/labels.parquet")
+    facts = calibration_queries.report_facts(spark, f"{tmp_path}/t")
+    names, found = rows_of(facts.columns, [tuple(r) for r in facts.collect()])
+    con = connection("/nothing")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/t/{table}.parquet/*.parquet'")
+    sql = oracles.all_sql()
+    got = con.execute(calibration_queries.part_of_facts_sql(oracles.scored(), sql["candidate_terms"], sql["text_rollup"], sql["quality_flags"], oracles.half_up))
+    theirs = rows_of([d[0] for d in got.description], got.fetchall())
+    assert theirs[0] == names
+    of = lambda r: dict(zip(names, r, strict=True))
+    told = lambda rows: {of(r)["name"]: of(r)["n"] for r in rows if of(r)["section"] == 9 and of(r)["name"] in ("", "near_duplicate")}
+    others = lambda rows: [r for r in rows if of(r)["section"] != 9 or of(r)["name"] not in ("", "near_duplicate")]
+    assert others(found) == others(theirs[1])
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{tmp_path}/t/documents.parquet").collect())
+    near, by_sets = set(), set()
+    for j, (_, y) in enumerate(rows):
+        m = SequenceMatcher(None, "", y)
+        for _, x in rows[:j]:
+            s, t = {*x.lower().split()}, {*y.lower().split()}
+            m.set_seq1(x)
+            if s and t and len(s & t) >= 0.92 * len(s | t):
+                by_sets.add(j)
+            elif s and t and m.real_quick_ratio() >= 0.98 and m.quick_ratio() >= 0.98 and m.ratio() >= 0.98:
+                near.add(j)
+    more = len(near - by_sets)
+    assert more > 0 and told(found) == {"": told(theirs[1])[""] + more, "near_duplicate": len(near | by_sets)}
